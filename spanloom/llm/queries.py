@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import audio, packing, secrets, simhash, toxicity, urls
+from . import audio, lm, packing, secrets, simhash, toxicity, urls
 
 #: The URL rules.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -58,10 +58,15 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), "blob")
 
 
+def op9_ppm(spark: SparkSession, sf: str) -> DataFrame:
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    return lm.score_corpus(table(spark, sf, "documents"), training, order=4)
+
+
 def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op6_packing, op7_toxicity, op8_secrets, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls)}
 
 ORACLE_SQL: dict[str, str] = {}
