@@ -17,7 +17,7 @@ class's probability; without labelled rows each probability is zero.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .texts import with_text_columns
+
 #: A-Z lower-cased, other ASCII but letters turned to blanks.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -135,24 +137,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     return fit_chain([{shared[w] for w in r[0].split() if w in shared} for r in rows], np.array([r[1:] for r in rows], int).reshape(len(rows), len(names)))
 
 
-def score(df: DataFrame, chain: list[Link], categories: list[str], text_col: str = "text") -> DataFrame:
-    """``df`` without its text, with ``p_<category>`` for each category; columns of those names are replaced."""
+def score(df: DataFrame, chain: list[Link], categories: list[str], text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``df`` with ``p_<category>`` for each category; columns of those names are replaced, and the text goes unless ``keep_text``."""
     shared = df.sparkSession.sparkContext.broadcast(chain)
-    names = [f"p_{c}" for c in categories]
-    keep = [c for c in df.columns if c not in (*names, text_col)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[list[str | None]], list[pa.Array]]:
         known = set().union(*(link.weights for link in shared.value))
-        for batch in batches:
-            docs = [words(t) & known for t in batch.column(batch.num_columns - 1).to_pylist()]
-            p = predict_chain(shared.value, docs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(p[:, k]) for k in range(len(names)))], names=[*keep, *names])
 
-    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, T.DoubleType()) for n in names)])
-    return df.select(*keep, F.col(text_col).cast("string").alias("\x00text")).mapInArrow(run, schema)
+        def columns(texts: list[str | None]) -> list[pa.Array]:
+            p = predict_chain(shared.value, [words(t) & known for t in texts])
+            return [pa.array(p[:, k]) for k in range(len(categories))]
+
+        return columns
+
+    return with_text_columns(df, text_col, [T.StructField(f"p_{c}", T.DoubleType()) for c in categories], make, keep_text)
 
 
-def judge(docs: DataFrame, labels: DataFrame, categories: list[str], reject: str, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000) -> DataFrame:
-    """``docs`` without its text, with each category's probability and ``toxic``: whether that of ``reject`` reaches the threshold."""
+def judge(docs: DataFrame, labels: DataFrame, categories: list[str], reject: str, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000, keep_text: bool = False) -> DataFrame:
+    """``docs`` with each category's probability and ``toxic``: whether that of ``reject`` reaches the threshold."""
     chain = train(docs, labels, categories, id_col, text_col, sample)
-    return score(docs, chain, categories, text_col).withColumn("toxic", F.col(f"p_{reject}") >= threshold)
+    return score(docs, chain, categories, text_col, keep_text).withColumn("toxic", F.col(f"p_{reject}") >= threshold)
