@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import audio, decontaminate, lm, packing, secrets, simhash, toxicity, urls
+from . import audio, decontaminate, linededup, lm, packing, secrets, simhash, toxicity, urls
 
 #: The URL rules.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -37,6 +37,10 @@ def op2_audio(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.with_leaks(docs, table(spark, sf, "benchmark"), keep_text=False)
@@ -73,6 +77,6 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op4_decontaminate, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls)}
 
 ORACLE_SQL: dict[str, str] = {}
