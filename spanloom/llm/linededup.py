@@ -69,17 +69,24 @@ def descend(state: Column, level: Column, k: int, min_words: int, ends: bool) ->
     return F.transform(state, step)
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns, each computed once for a row: exploding an array of one keeps the planner from copying an expression into the lambdas that use it."""
+    for name, value in columns.items():
+        df = df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+    return df
+
+
 def candidate_runs(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """``(id, name, at, n, again)``: the shortest runs from and to each line; again, whether an equal one is before it in its row."""
-    step = df.select(F.col(id_col).alias("id"), named_lines(lines(F.col(text_col).cast("string"))).alias("l0"))
+    step = held(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), l0=named_lines(lines(F.col("text")))).drop("text")
     top = 0
     while 1 << (top + 1) < min_words:
-        step = step.withColumn(f"l{top + 1}", doubled(F.col(f"l{top}"), 1 << top))
+        step = held(step, **{f"l{top + 1}": doubled(F.col(f"l{top}"), 1 << top)})
         top += 1
     start = lambda mark: F.transform("l0", lambda x: F.struct(F.lit(0).alias("n"), F.lit(mark).cast("long").alias("h"), F.lit(0).alias("w")))
     step = step.withColumn("a", start(0)).withColumn("b", start(1))
     for k in range(top, -1, -1):
-        step = step.withColumn("a", descend(F.col("a"), F.col(f"l{k}"), k, min_words, False)).withColumn("b", descend(F.col("b"), F.col(f"l{k}"), k, min_words, True))
+        step = held(step, a=descend(F.col("a"), F.col(f"l{k}"), k, min_words, False), b=descend(F.col("b"), F.col(f"l{k}"), k, min_words, True))
     # one line more reaches min_words, unless the text ends before
     last = lambda s, i, ends: F.get("l0", i - s["n"] if ends else i + s["n"])
     run = lambda s, i, ends: F.struct(F.xxhash64(s["h"], last(s, i, ends)["h"]).alias("name"), (i - s["n"] if ends else i).alias("at"), (s["n"] + 1).alias("n"), (s["w"] + last(s, i, ends)["w"] >= min_words).alias("ok"))
@@ -88,7 +95,7 @@ def candidate_runs(df: DataFrame, id_col: str, text_col: str, min_words: int) ->
     # a run that is shortest from both ends is named once
     right = F.filter(right, lambda r: F.get("a", r["at"])["n"] + 1 != r["n"])
     every = F.transform(F.concat(left, right), lambda r: F.struct(r["name"], r["at"], r["n"]))
-    found = step.select("id", F.array_sort(every).alias("s"))
+    found = held(step.select("id", every.alias("s")), s=F.array_sort("s"))
     # next to each other once sorted, equal names in one row are repeats within it
     before = F.concat(F.array(F.expr("cast(null as struct<name:bigint,at:int,n:int>)")), F.col("s"))  # one longer than s
     flagged = F.zip_with("s", before, lambda x, y: F.struct(x["name"].alias("name"), x["at"].alias("at"), x["n"].alias("n"), F.coalesce(x["name"] == y["name"], F.lit(False)).alias("again")))
@@ -102,11 +109,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     Columns of those names in ``df`` are replaced.
     """
     scratch = Scratch(df.sparkSession, "lines")
-    runs = candidate_runs(df, id_col, text_col, min_words)
+    runs = scratch.save(candidate_runs(df, id_col, text_col, min_words))
     fresh = runs.filter(~F.col("again")).select("name", "id", "at", "n")
     shared = fresh.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("name", "first")
     later = fresh.join(shared, "name").filter(F.col("id") > F.col("first")).select("id", "at", "n")
     cut = scratch.save(later.unionByName(runs.filter("again").select("id", "at", "n")).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
+    scratch.drop(runs)
     keep = [c for c in df.columns if c not in ("lines", "deleted")]
     joined = df.select(*keep).join(cut.withColumnRenamed("id", "\x00id"), F.col(id_col).eqNullSafe(F.col("\x00id")), "left")
     text = F.col(text_col).cast("string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import audio, decontaminate, linededup, lm, packing, secrets, simhash, toxicity, urls
+from . import audio, decontaminate, licenses, linededup, lm, packing, secrets, simhash, toxicity, urls
 
 #: The URL rules.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -47,6 +47,10 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", F.col("l.item").alias("item_id"), F.col("l.similarity").alias("similarity"))
 
 
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -77,6 +81,39 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls)}
+
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def license_sql(least: float = 0.8) -> str:
+    """Bigram sets with list functions, all templates compared."""
+    values = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.TEMPLATES.items())
+    return rf"""
+    WITH units AS (
+      SELECT doc_id, 'line' AS kind, unnest(range(len(string_split(text, chr(10)))))::INT AS "at", unnest(string_split(text, chr(10))) AS t FROM documents
+      UNION ALL
+      SELECT * FROM (SELECT doc_id, 'block' AS kind, unnest(range(len(regexp_split_to_array(text, '\n\s*\n'))))::INT AS "at", unnest(regexp_split_to_array(text, '\n\s*\n')) AS t
+                     FROM documents WHERE len(regexp_split_to_array(text, '\n\s*\n')) > 1) WHERE contains(t, chr(10))
+      UNION ALL
+      SELECT doc_id, 'text', 0, text FROM documents WHERE contains(text, chr(10))),
+    every AS (SELECT 1 AS side, doc_id, kind, "at", t, '' AS name FROM units UNION ALL SELECT 2, 0, '', 0, column1, column0 FROM (VALUES {values}) v(column0, column1)),
+    worded AS (SELECT *, string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM every),
+    sets AS (SELECT side, doc_id, kind, "at", name, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM worded WHERE len(w) > 1),
+    scored AS (SELECT u.doc_id, u.kind, u."at", s.name, 2.0::DOUBLE * len(list_intersect(u.b, s.b)) / (len(u.b) + len(s.b)) AS d FROM sets u, sets s WHERE u.side = 1 AND s.side = 2),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, "at" ORDER BY d DESC, name) AS r FROM scored WHERE d >= {least})
+    SELECT doc_id, kind, "at", name AS license, round(d, 6) AS dice FROM best WHERE r = 1"""
+
+
+URL_SQL = """
+    WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_replace(substr(url, strpos(url, '://') + 3), '[?#](.|\n)*$', '') ELSE '' END AS rest FROM pages),
+    s AS (SELECT page_id, url, translate(split_part(coalesce(rest, ''), '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(coalesce(rest, ''), length(split_part(coalesce(rest, ''), '/', 1)) + 1) AS path FROM u),
+    r(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+    m AS (SELECT s.page_id, max_by(rh || rp, length(rh) * 100000 + length(rp)) AS rule, max_by(rv, length(rh) * 100000 + length(rp)) AS verdict
+          FROM s JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY s.page_id)
+    SELECT s.page_id, s.url, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (page_id)"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": license_sql(), "op10_urls": URL_SQL}

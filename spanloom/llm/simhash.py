@@ -17,6 +17,7 @@ number; a null id stays, with the component of its fingerprint.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -196,6 +197,55 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(groups, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def sketch(text: str | None, width: int, keys: int) -> tuple[bytes, list[int]]:
+    """A 256-bit SimHash and ``keys`` shard keys of a text: each key joins the minima of two hash orders of its shingles.
+
+    Two texts whose shingle sets have Jaccard similarity s share a key with
+    probability s * s, and any of them with 1 - (1 - s * s) ** keys.
+    """
+    h = shingle_hashes(words_of(text), width)
+    if not len(h):
+        return bytes(32), [0] * keys
+    print_ = b"".join(majority(remix(h, k)).to_bytes(8, "big") for k in range(4))
+    least = [int(remix(h, 4 + k).min()) for k in range(2 * keys)]
+    return print_, [(a * 0x9E3779B97F4A7C15 + b) % (1 << 63) for a, b in zip(least[::2], least[1::2], strict=True)]
+
+
+def remix(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash function made from 64-bit hashes."""
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def similar_radius(similarity: float, slack: int = 3) -> int:
+    """Differing bits of 256 expected at a Jaccard similarity of two sets of one size, and a little slack for the sketch's error."""
+    return round(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + slack
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8, keys: int = 10, tree_nodes: int = 2048) -> DataFrame:
+    """``(id_col, component_id)``: the least id in each row's group of texts with shingle sets about as similar as ``similarity``.
+
+    Shards are by minima of shingle hashes, since a radius as wide as this
+    similarity needs leaves no fingerprint block unchanged; within a shard the
+    BK-trees follow the edges within the radius.  At the similarity itself a
+    pair shares a shard with probability 1 - (1 - s * s) ** keys: 0.99996.
+    """
+    scratch = Scratch(df.sparkSession, "neardup")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t, width, keys) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    prints = scratch.save(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema))
+    shards = lambda items: prints.select("fp", F.posexplode("keys").alias("b", "v")).select("fp", F.struct("b", "v").alias("key"))  # noqa: E731, ARG005
+    groups = group_ids(prints, shards, similar_radius(similarity), tree_nodes, scratch)
+    return prints.select("id", "fp").join(groups, "fp", "left").select(F.col("id").alias(id_col), "component_id")
+
+
 def group_ids(prints: DataFrame, keys: Callable[[DataFrame], DataFrame], radius: int, tree_nodes: int, scratch: Scratch) -> DataFrame:
     """``(fp, component_id)`` for the distinct fingerprints of ``prints(id, fp, ...)``."""
     items = prints.groupBy("fp").agg(F.min("id").alias("least"))
