@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     """Fit a chain on at most ``sample`` labelled texts; ``labels`` has ``id_col`` and a 0/1 column for each category."""
     chosen = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories))).na.drop()
     chosen = chosen.groupBy("id").agg(*(F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories)))).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
+    # at most ``sample`` short rows, so that no text is shuffled
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
