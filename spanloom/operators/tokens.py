@@ -68,4 +68,4 @@ def failure_fingerprint(kind: Column, message: Column) -> Column:
     """Type and message with white space collapsed, cut at 500 characters, then numbers masked."""
     flat = F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), r"(?U)\s+", " "))
     short = F.substring(F.when(flat == "", "<no message>").otherwise(flat), 1, 500)
-    return F.concat(kind, F.lit(": "), F.regexp_replace(F.regexp_replace(short, "0x[0-9a-fA-F]+", "0x*"), r"\d+", "#"))
+    return F.concat(kind, F.lit(": "), F.regexp_replace(F.regexp_replace(short, "0x[0-9a-fA-F]+", "0x*"), r"\b\d+\b", "#"))

@@ -386,7 +386,7 @@ def failure_class(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {MESSAGES}, f AS (SELECT event_id, kind, trim(regexp_replace(msg, '\\s+', ' ', 'g')) AS t FROM m)
-SELECT event_id, kind || ': ' || regexp_replace(regexp_replace(left(CASE WHEN t = '' THEN '<no message>' ELSE t END, 500), '0x[0-9a-fA-F]+', '0x*', 'g'), '[0-9]+', '#', 'g') AS fingerprint FROM f""")
+SELECT event_id, kind || ': ' || regexp_replace(regexp_replace(left(CASE WHEN t = '' THEN '<no message>' ELSE t END, 500), '0x[0-9a-fA-F]+', '0x*', 'g'), '\\b[0-9]+\\b', '#', 'g') AS fingerprint FROM f""")
 def failure_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark, sf).select("event_id", tokens.failure_fingerprint(F.col("kind"), F.col("msg")).alias("fingerprint"))
 

@@ -48,7 +48,7 @@ def expand_inputs(inputs: str | os.PathLike | Sequence[str | os.PathLike], recur
 
 
 def recordings(spark: SparkSession, folder: str, recursive: bool = True, max_bytes: int | None = None) -> DataFrame:
-    """``(path, modified, length)`` of the audio files under a folder on any store; contents are not read, and a size limit reaches the scan."""
+    """``(path, modified, length)`` of the audio files under a folder on any store; contents and hidden files are not read, and a size limit reaches the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     kept = files.filter(is_audio(F.col("path")))
     if max_bytes is not None:
