@@ -116,4 +116,33 @@ URL_SQL = """
           FROM s JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY s.page_id)
     SELECT s.page_id, s.url, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (page_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op5_licenses": license_sql(), "op10_urls": URL_SQL}
+#: All windows of up to 20 lines that are shortest from one of their ends, compared as text.
+LINES_SQL = r"""
+    WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '(\n+)', '\1' || chr(31), 'g'), '([.!?] )', '\1' || chr(31), 'g'), chr(31)), lambda x: x <> '') AS ps, text FROM documents),
+    l AS (SELECT doc_id, ps, [trim(x, ' ' || chr(9) || chr(10) || chr(13)) FOR x IN ps] AS b FROM p),
+    n AS (SELECT doc_id, ps, b, [length(x) - length(replace(x, ' ', '')) + 1 FOR x IN b] AS w FROM l),
+    i AS (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM n),
+    c AS (SELECT *, unnest(range(i, least(i + 20, len(b) + 1))) AS e FROM i),
+    v AS (SELECT doc_id, i, e, b, list_sum(w[i:e]) AS total, w[i] AS head, w[e] AS tail FROM c),
+    k AS (SELECT doc_id, i, e, array_to_string(b[i:e], chr(31)) AS key FROM v WHERE total >= 20 AND (total - head < 20 OR total - tail < 20)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS r FROM k),
+    g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, e + 1)) AS j FROM f WHERE r > 1) GROUP BY doc_id)
+    SELECT p.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string([x FOR x, j IN ps IF NOT list_contains(gone, j)], '') END AS text, coalesce(len(gone), 0)::INT AS deleted FROM p LEFT JOIN g USING (doc_id)"""
+
+
+def secret_sql() -> str:
+    """Matches in order; each one's place is where its text next occurs."""
+    rules = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {str(r.base).lower()} AS base, {r.least} AS least, text, regexp_extract_all(text, {_quoted(r.pattern)}) AS ms, regexp_extract_all(text, {_quoted(r.pattern)}, {r.group}) AS gs FROM d" for k, r in enumerate(secrets.RULES)
+    )
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS ({rules}),
+    q AS (SELECT *, ms[i] AS m, gs[i] AS g FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM a)),
+    r AS (SELECT DISTINCT doc_id, k, 0::BIGINT AS i, 0::BIGINT AS s, 0::BIGINT AS e FROM q
+      UNION ALL SELECT q.doc_id, q.k, q.i, r.e + strpos(substr(q.text, r.e + 1), q.m) - 1, r.e + strpos(substr(q.text, r.e + 1), q.m) - 1 + length(q.m) FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k AND q.i = r.i + 1),
+    x AS (SELECT r.doc_id, r.s, r.k, q.kind, q.base, q.kind || ':' || r.s || ':' || r.e AS span FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k AND q.i = r.i WHERE length(q.g) >= q.least),
+    t AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, k) FILTER (base) AS b, string_agg(span, ',' ORDER BY s, k) AS every FROM x GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(every, '') AS spans, sha256(d.text) AS blob FROM d LEFT JOIN t USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_lines": LINES_SQL, "op8_secrets": secret_sql(), "op5_licenses": license_sql(), "op10_urls": URL_SQL}
