@@ -99,3 +99,10 @@ def plain_text(lines: Column) -> Column:
     """Trimmed non-blank lines, each ended by a newline; a newline alone for none."""
     kept = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     return F.concat(F.array_join(kept, "\n"), F.lit("\n"))
+
+
+def short_duration(seconds: Column) -> Column:
+    """``1h02m03s``, ``2m03s`` or ``3s``, of seconds rounded half to even."""
+    whole = F.rint(F.greatest(F.lit(0.0), seconds)).cast("long")
+    h, m, s = F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
+    return F.when(h > 0, F.format_string("%dh%02dm%02ds", h, m, s)).when(m > 0, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))

@@ -81,3 +81,33 @@ def recognize(df: DataFrame, column: str, make: Callable[[], Recognizer], name:
             yield pdf.assign(transcript=[t for t, _ in got], error=[e for _, e in got])
 
     return df.mapInPandas(run, schema)
+
+
+def next_limit(current: int, ceiling: int) -> int:
+    """128 tokens more or twice as many, or the ceiling if that leaves less than 128."""
+    proposed = min(ceiling, max(current + 128, 2 * current))
+    return ceiling if ceiling - proposed < 128 else proposed
+
+
+def with_retries(run: Callable[[list[Any], int], list[tuple[str, int, bool]]], items: list[Any], first: int, ceiling: int, policy: str = "retry") -> list[dict[str, Any]]:
+    """``text, tokens, retried, limited`` of each item; only truncated ones run again, with larger limits up to the ceiling.
+
+    ``run(items, limit)`` gives (text, tokens, truncated) of each.
+    """
+    out: list[dict[str, Any]] = [{"retried": False, "limited": False} for _ in items]
+    todo, limit = list(range(len(items))), first
+    while todo:
+        again = []
+        for k, (text, tokens, truncated) in zip(todo, run([items[k] for k in todo], limit), strict=True):
+            out[k] |= {"text": text, "tokens": max(tokens, out[k].get("tokens", 0))}
+            if truncated:
+                again.append(k)
+        grown = next_limit(limit, ceiling)
+        if policy != "retry" or grown <= limit:
+            for k in again:
+                out[k]["limited"] = True
+            return out
+        for k in again:
+            out[k]["retried"] = True
+        todo, limit = again, grown
+    return out

@@ -62,3 +62,10 @@ def word_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["units", "substitutions", "deletions", "insertions"])
 
     return pairs.withColumn("_c", count(reference, hypothesis)).select(*pairs.columns, "_c.*")
+
+
+def batch_rollup(batches: DataFrame, *keys: str) -> DataFrame:
+    """Totals over batch history rows ``(rows, frames, padded, tokens, failed)``: sums, the largest and the least non-zero batch, failed ones apart."""
+    good = F.when(~F.col("failed"), F.col("rows"))
+    total = lambda c: F.coalesce(F.sum(F.when(~F.col("failed"), F.col(c))), F.lit(0)).alias(c)
+    return batches.groupBy(*keys).agg(F.count(good).alias("batches"), F.count_if("failed").alias("memory_failures"), *map(total, ("rows", "frames", "padded", "tokens")), F.max(good).alias("largest"), F.min(F.nullif(good, F.lit(0))).alias("least"))

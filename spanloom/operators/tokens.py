@@ -18,7 +18,7 @@ FATAL_TYPES = ("AssertionError", "AttributeError", "ImportError", "IndexError",
 def repeats_at_end(tokens: Column) -> Column:
     """Whether the last four blocks of some period from 8 to 32 are equal, in an array of at least 96 tokens."""
     n = F.size(tokens)
-    top = F.least(F.lit(MOST_PERIOD), F.expr("1") * F.floor(n / REPEATS).cast("int"))
+    top = F.least(F.lit(MOST_PERIOD), F.floor(n / REPEATS).cast("int"))
     at = lambda i: F.get(tokens, n - 1 - i)
     periods = F.sequence(F.lit(LEAST_PERIOD), F.greatest(top, F.lit(LEAST_PERIOD)))
     loops = F.exists(periods, lambda p: F.forall(F.sequence(p, REPEATS * p - 1), lambda i: at(i) == at(i - p)))

@@ -179,3 +179,35 @@ def test_statistics(spark):
     r = stats.run_statistics(df.withColumn("status", stats.status(F.col("skipped"), F.col("error"))), 2.0).first()
     assert (r.completed, r.failed, r.skipped, r.real_time_factor, r.ok) == (1, 1, 1, 5.0, False)
     assert stats.quantiles(df.filter("duration < 0"), "duration").first().p50 is None
+
+
+def test_probe(spark):
+    rows = ['{"streams":[{"duration":"N/A"},{"duration":"3.5"}],"format":{"duration":"9"}}', '{"streams":[{}],"format":{"duration":"9","start_time":"2"}}', '{"format":{"duration":"2","start_time":"5"}}', '{"format":{"duration":"-1"}}', "no json", None, '{"streams":[{"duration":"NaN"}]}']
+    from spanloom.sources.probe import probed_duration
+
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, j string")
+    assert [r[0] for r in df.orderBy("k").select(probed_duration(F.col("j"))).collect()] == [3.5, 7.0, 2.0, None, None, None, None]
+
+
+def test_short_duration(spark):
+    df = spark.createDataFrame([(3723.5,), (123.0,), (2.5,), (-1.0,)], "s double")
+    assert [r[0] for r in df.select(cues.short_duration(F.col("s"))).collect()] == ["1h02m04s", "2m03s", "2s", "0s"]
+
+
+def test_retries():
+    calls = []
+
+    def run(items, limit):
+        calls.append((list(items), limit))
+        return [(f"t{x}", min(x, limit), x > limit) for x in items]
+
+    out = models.with_retries(run, [10, 500, 5000], 445, 896)
+    assert calls == [([10, 500, 5000], 445), ([500, 5000], 896)]
+    assert [(o["tokens"], o["retried"], o["limited"]) for o in out] == [(10, False, False), (500, True, False), (896, True, True)]
+    assert models.with_retries(run, [5000], 445, 896, "warn")[0]["limited"]
+
+
+def test_batch_rollup(spark):
+    df = spark.createDataFrame([(24, 100, 120, 50, False), (0, 0, 0, 0, False), (12, 40, 60, 20, False), (24, 100, 120, 0, True)], "rows int, frames int, padded int, tokens int, failed boolean")
+    r = stats.batch_rollup(df).first()
+    assert (r.batches, r.memory_failures, r.rows, r.frames, r.tokens, r.largest, r.least) == (3, 1, 36, 140, 70, 24, 12)
