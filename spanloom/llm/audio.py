@@ -133,6 +133,8 @@ def log_mels(x: np.ndarray, bank: np.ndarray, block: int = 64 * TILE) -> np.ndar
 
 def energy_spans(level: np.ndarray, levels: Levels = Levels()) -> list[tuple[int, int]]:
     """Half-open frame spans: opened at ``open_db``, closed by ``hang`` frames under ``close_db``; the quiet frames are cut off."""
+    if not len(level):
+        return []
     high, low = np.flatnonzero(level >= levels.open_db), level < levels.close_db
     run = np.convolve(low, np.ones(levels.hang, int))[: len(low)] == levels.hang
     shut = np.flatnonzero(run)
