@@ -2,8 +2,8 @@
 
 A trie of byte contexts up to ``order`` symbols holds, for each context, the
 symbols seen after it.  A symbol is coded at the longest seen context that has
-it; each context without it costs an escape (method C: distinct symbols over
-symbols plus distinct symbols).  After an escape, the symbols of the longer
+it; each context without it costs an escape (method D: each distinct symbol
+gives half a count to the escape).  After an escape, the symbols of the longer
 context are excluded from the shorter one.  Order -1 is uniform over the 257
 codes, 256 bytes and the end of a text, that are not excluded.  A text starts
 in a context of start marks.
@@ -49,7 +49,7 @@ BLANK[[32, *range(9, 14)]] = True
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that a task looks at at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -191,12 +191,11 @@ class Model:
                 lower = self.count[k - 1][self.symbol[k - 1].find(keys_k & np.uint64((1 << WIDTH * k) - 1))]
                 taken = np.add.reduceat(lower, at) if len(at) else lower
                 up = self.context[k - 1].find(ctx[at] & np.uint64((1 << WIDTH * (k - 1)) - 1))
-                esc = self.kinds[k - 1][up] - kinds
-                self.esc.append(esc)
-                self.den.append(self.total[k - 1][up] - taken + esc)
+                self.esc.append((self.kinds[k - 1][up] - kinds) / 2)
+                self.den.append(self.total[k - 1][up] - taken)
         top = order
         at = np.repeat(np.arange(len(self.kinds[top])), self.kinds[top])
-        self.direct = np.log10(self.count[top] / (self.total[top] + self.kinds[top])[at]) if len(at) else np.zeros(0)
+        self.direct = np.log10((self.count[top] - 0.5) / self.total[top][at]) if len(at) else np.zeros(0)
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the code at each position."""
@@ -213,13 +212,13 @@ class Model:
             first = seen & (child < 0)
             later = seen & (child >= 0)
             den, esc = np.ones(len(todo)), np.ones(len(todo))
-            den[first] = self.total[k][ctx[first]] + self.kinds[k][ctx[first]]
-            esc[first] = self.kinds[k][ctx[first]]
+            den[first] = self.total[k][ctx[first]]
+            esc[first] = self.kinds[k][ctx[first]] / 2
             if k < self.order:
                 den[later], esc[later] = self.den[k][child[later]], self.esc[k][child[later]]
             n = self.symbol[k].find(key)
             coded = n >= 0
-            out[todo[coded]] += np.log10(self.count[k][n[coded]] / den[coded])
+            out[todo[coded]] += np.log10((self.count[k][n[coded]] - 0.5) / den[coded])
             # with every symbol of this order excluded, the escape is certain
             escaped = seen & ~coded & (den > 0)
             out[todo[escaped]] += np.log10(esc[escaped] / den[escaped])
@@ -249,10 +248,10 @@ class Trie:
             left = {s: n for s, n in node.items() if s not in excluded} if node else {}
             if not left:
                 continue
-            total = sum(left.values()) + len(left)
+            total = sum(left.values())
             if code in left:
-                return out + math.log10(left[code] / total)
-            out += math.log10(len(left) / total)
+                return out + math.log10((left[code] - 0.5) / total)
+            out += math.log10(len(left) / 2 / total)
             excluded |= left.keys()
         return out - math.log10(CODES - len(excluded))
 
