@@ -57,18 +57,30 @@ def doubled(level: Column, half: int) -> Column:
     return F.zip_with(level, rest, lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("h"), (x["w"] + y["w"]).alias("w")))
 
 
-def descend(state: Column, level: Column, k: int, min_words: int, ends: bool) -> Column:
+def descend(state: Column, level: Column, k: int, min_words: int) -> Column:
     """Lengthen each position's run (n, h, w) by 2**k lines if it stays short of ``min_words``."""
 
     def step(s: Column, i: Column) -> Column:
-        more = F.get(level, i - s["n"] - ((1 << k) - 1) if ends else i + s["n"])
-        name = F.xxhash64(more["h"], s["h"]) if ends else F.xxhash64(s["h"], more["h"])
-        longer = F.struct((s["n"] + (1 << k)).alias("n"), name.alias("h"), (s["w"] + more["w"]).alias("w"))
+        more = F.get(level, i + s["n"])
+        longer = F.struct((s["n"] + (1 << k)).alias("n"), F.xxhash64(s["h"], more["h"]).alias("h"), (s["w"] + more["w"]).alias("w"))
         return F.when(s["w"] + more["w"] < min_words, longer).otherwise(s)
 
     return F.transform(state, step)
 
 
+def longer_runs(left: Column, line: Column) -> Column:
+    """The shortest runs that end at a line, where they aren't the shortest from their first line: runs of ``left`` with the lines up to the end of the next one."""
+
+    def grown(r: Column, j: Column) -> Column:
+        end, after = r["at"] + r["n"], F.get(left, j + 1)
+        more = F.coalesce(after["at"] + after["n"] - 1, F.size(line)) - end
+        name = lambda t: F.aggregate(F.slice(line, end + 1, t), r["name"], lambda h, x: F.xxhash64(h, x["h"]))
+        each = F.transform(F.sequence(F.lit(1), more), lambda t: F.struct(name(t).alias("name"), r["at"], (r["n"] + t).alias("n")))
+        return F.when(more > 0, each).otherwise(F.expr("cast(array() as array<struct<name:bigint,at:int,n:int>>)"))
+
+    return F.flatten(F.transform(left, grown))
+
+
 def held(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with the columns, each computed once for a row: exploding an array of one keeps the planner from copying an expression into the lambdas that use it."""
     for name, value in columns.items():
@@ -83,19 +95,16 @@ def candidate_runs(df: DataFrame, id_col: str, text_col: str, min_words: int) ->
     while 1 << (top + 1) < min_words:
         step = held(step, **{f"l{top + 1}": doubled(F.col(f"l{top}"), 1 << top)})
         top += 1
-    start = lambda mark: F.transform("l0", lambda x: F.struct(F.lit(0).alias("n"), F.lit(mark).cast("long").alias("h"), F.lit(0).alias("w")))
-    step = step.withColumn("a", start(0)).withColumn("b", start(1))
+    step = held(step, a=F.transform("l0", lambda x: F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("w"))))
     for k in range(top, -1, -1):
-        step = held(step, a=descend(F.col("a"), F.col(f"l{k}"), k, min_words, False), b=descend(F.col("b"), F.col(f"l{k}"), k, min_words, True))
+        step = held(step, a=descend(F.col("a"), F.col(f"l{k}"), k, min_words))
+        step = step.drop(f"l{k}") if k else step
     # one line more reaches min_words, unless the text ends before
-    last = lambda s, i, ends: F.get("l0", i - s["n"] if ends else i + s["n"])
-    run = lambda s, i, ends: F.struct(F.xxhash64(s["h"], last(s, i, ends)["h"]).alias("name"), (i - s["n"] if ends else i).alias("at"), (s["n"] + 1).alias("n"), (s["w"] + last(s, i, ends)["w"] >= min_words).alias("ok"))
-    left = F.filter(F.transform("a", lambda s, i: run(s, i, False)), lambda r: r["ok"])
-    right = F.filter(F.transform("b", lambda s, i: run(s, i, True)), lambda r: r["ok"])
-    # a run that is shortest from both ends is named once
-    right = F.filter(right, lambda r: F.get("a", r["at"])["n"] + 1 != r["n"])
-    every = F.transform(F.concat(left, right), lambda r: F.struct(r["name"], r["at"], r["n"]))
-    found = held(step.select("id", every.alias("s")), s=F.array_sort("s"))
+    last = lambda s, i: F.get("l0", i + s["n"])
+    run = lambda s, i: F.struct(F.xxhash64(s["h"], last(s, i)["h"]).alias("name"), i.alias("at"), (s["n"] + 1).alias("n"), (s["w"] + last(s, i)["w"] >= min_words).alias("ok"))
+    left = F.transform(F.filter(F.transform("a", run), lambda r: r["ok"]), lambda r: F.struct(r["name"], r["at"], r["n"]))
+    step = held(step, left=left).drop("a")
+    found = held(step.select("id", F.concat("left", longer_runs(F.col("left"), F.col("l0"))).alias("s")), s=F.array_sort("s"))
     # next to each other once sorted, equal names in one row are repeats within it
     before = F.concat(F.array(F.expr("cast(null as struct<name:bigint,at:int,n:int>)")), F.col("s"))  # one longer than s
     flagged = F.zip_with("s", before, lambda x, y: F.struct(x["name"].alias("name"), x["at"].alias("at"), x["n"].alias("n"), F.coalesce(x["name"] == y["name"], F.lit(False)).alias("again")))
@@ -104,24 +113,26 @@ def candidate_runs(df: DataFrame, id_col: str, text_col: str, min_words: int) ->
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """``df`` with the later copies of repeated line runs cut out of its text; ``lines`` and ``deleted`` count them.
+    """``df`` with the later copies of repeated line runs cut out of its text, and ``deleted``, the number of lines cut.
 
-    Columns of those names in ``df`` are replaced.
+    A column of that name in ``df`` is replaced.
     """
     scratch = Scratch(df.sparkSession, "lines")
     runs = scratch.save(candidate_runs(df, id_col, text_col, min_words))
     fresh = runs.filter(~F.col("again")).select("name", "id", "at", "n")
     shared = fresh.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("name", "first")
     later = fresh.join(shared, "name").filter(F.col("id") > F.col("first")).select("id", "at", "n")
-    cut = scratch.save(later.unionByName(runs.filter("again").select("id", "at", "n")).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
+    cut = scratch.save(later.unionByName(runs.filter("again").select("id", "at", "n")).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("\x00runs")))
     scratch.drop(runs)
-    keep = [c for c in df.columns if c not in ("lines", "deleted")]
+    keep = [c for c in df.columns if c != "deleted"]
     joined = df.select(*keep).join(cut.withColumnRenamed("id", "\x00id"), F.col(id_col).eqNullSafe(F.col("\x00id")), "left")
     text = F.col(text_col).cast("string")
-    split = joined.select(*keep, "runs", lines(text).alias("\x00pieces"))
-    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
+    # only texts that lose lines are split again
+    split = held(joined.select(*keep, "\x00runs"), **{"\x00pieces": F.when(F.col("\x00runs").isNotNull(), lines(text))})
+    gone = F.flatten(F.transform("\x00runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("\x00pieces") - 1), gone)
-    whole = F.col("runs").isNull()
-    new = F.when(whole, text).otherwise(F.array_join(F.transform(left, lambda i: F.get("\x00pieces", i)), ""))
-    count = F.greatest(F.coalesce(F.size("\x00pieces"), F.lit(0)), F.lit(0))
-    return split.select(*(new.alias(c) if c == text_col else F.col(c) for c in keep), count.alias("lines"), F.when(whole, 0).otherwise(F.size("\x00pieces") - F.size(left)).alias("deleted"))
+    split = held(split, **{"\x00left": F.when(F.col("\x00runs").isNotNull(), left)})
+    whole = F.col("\x00runs").isNull()
+    new = F.when(whole, text).otherwise(F.array_join(F.transform("\x00left", lambda i: F.get("\x00pieces", i)), ""))
+    deleted = F.when(whole, 0).otherwise(F.size("\x00pieces") - F.size("\x00left"))
+    return split.select(*(new.alias(c) if c == text_col else F.col(c) for c in keep), deleted.alias("deleted"))
