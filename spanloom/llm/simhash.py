@@ -141,6 +141,8 @@ def link_block(nodes: list[int], queries: list[int], radius: int) -> list[tuple[
     for x in nodes:
         tree.add(x)
     root: dict[int, int] = {}
+    planted = set(tree.values)  # least members of groups that hold a node of the tree
+    groups = len(planted)
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
@@ -152,7 +154,15 @@ def link_block(nodes: list[int], queries: list[int], radius: int) -> list[tuple[
         for x in tree.within(q, radius):
             a, b = find(q), find(x)
             if a != b:
+                groups -= a in planted and b in planted
+                if a in planted or b in planted:
+                    planted.add(min(a, b))
                 root[max(a, b)] = min(a, b)
+            elif groups > 1:
+                continue
+            # once the tree's nodes are one group, any link to it says all
+            if groups == 1 and x != q:
+                break
     return [(x, find(x)) for x in root if find(x) != x]
 
 
