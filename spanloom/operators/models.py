@@ -73,11 +73,11 @@ def recognize(df: DataFrame, column: str, make: Callable[[], Recognizer], name:
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", transcript string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = once(f"model_{name}", make)
         for pdf in batches:
             got: list[tuple[str | None, str | None]] = []
             for k in range(0, len(pdf), batch):
-                got += isolated(model, pdf[column].iloc[k : k + batch].tolist())
+                # made at the first item: a run with nothing to recognise loads no model
+                got += isolated(once(f"model_{name}", make), pdf[column].iloc[k : k + batch].tolist())
             yield pdf.assign(transcript=[t for t, _ in got], error=[e for _, e in got])
 
     return df.mapInPandas(run, schema)
