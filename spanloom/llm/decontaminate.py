@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A seed is a run of ``width`` words of a test item.  All texts are searched for
-all seeds; a first pass counts the texts that hold each seed.  Seeds of an
-item that are far commoner than its median seed are left out: they are common
-phrases, and say little about a leak, while the seeds of a leaked item, even
-of one in every text, stay about as common as each other.  A text that holds a
-rare seed of an item is aligned with it around its seeds, word by word; the
-similarity is the best local score over that of a whole copy.
+A seed is a run of ``width`` words of a test item.  A text that holds any seed
+of an item is aligned with it around its seeds, word by word; the similarity
+is the best local score over that of a whole copy.  No seed is too common to
+count: a phrase in every text may be all that is left of an edited copy in
+every text.  A text is spared an alignment only where it holds too few of the
+item's words, near its seeds, to reach the least similarity.  A copy without
+one unbroken run of ``width`` words has no seed and is not found.
 
 Items are compared in blocks of at most ``block_bytes`` of text, which go to
-all tasks: one pair of passes over the texts for each block.  No text is
-shuffled, and no two texts are ever compared.
+all tasks, and one pass over the texts takes all blocks.  No text is shuffled,
+and no two texts are ever compared.
 
 Defined results: null or empty texts hold nothing; items without words match
 nothing; equal items are each reported; repeated rows are each judged; words
@@ -72,20 +72,18 @@ class Seeds:
         self.key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
         self.seeds = Index(self.key)
         flat, owner = (np.concatenate(keys), np.concatenate(of)) if keys else (self.key, self.key.astype(np.int64))
-        self.pairs = np.column_stack([np.searchsorted(self.key, flat), owner]) if keys else np.zeros((0, 2), np.int64)
-        self.rare(np.zeros(len(self.key), np.int64))
-
-    def rare(self, count: np.ndarray, times: int = 4, always: int = 32) -> None:
-        """Keep each item's seeds that at most ``always`` texts have, or ``times`` as many as its median seed."""
         self.of: dict[int, list[int]] = {}
-        by_item: dict[int, list[int]] = {}
-        for seed, item in self.pairs.tolist():
-            by_item.setdefault(item, []).append(seed)
-        for item, seeds in by_item.items():
-            most = max(always, times * float(np.median(count[seeds])))
-            for seed in seeds:
-                if count[seed] <= most:
-                    self.of.setdefault(seed, []).append(item)
+        for seed, at in zip(np.searchsorted(self.key, flat).tolist(), owner.tolist(), strict=True):
+            self.of.setdefault(seed, []).append(at)
+        self.counts = [np.unique(words, return_counts=True) for _, words in self.items]
+
+    def reachable(self, item: int, window: np.ndarray) -> float:
+        """No less than the similarity of an item and a window: the share of the item's words that the window holds."""
+        names, counts = self.counts[item]
+        at = np.searchsorted(names, window)
+        at[at == len(names)] = 0
+        held = np.bincount(at[names[at] == window], minlength=len(names))
+        return int(np.minimum(held, counts).sum()) / len(self.items[item][1])
 
     def hits(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word ids of all texts in order, each word's text, position and seed of each hit)."""
@@ -123,8 +121,8 @@ def align(window: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
-def similarities(ids: np.ndarray, hits: list[tuple[int, int]], seeds: Seeds) -> list[tuple[int, float]]:
-    """(item, similarity) for the items with seeds at the given positions of one text."""
+def similarities(ids: np.ndarray, hits: list[tuple[int, int]], seeds: Seeds, least: float) -> list[tuple[int, float]]:
+    """(item, similarity) for the items with seeds at the given positions of one text; zero where ``least`` is out of reach."""
     places: dict[int, list[int]] = {}
     for at, seed in hits:
         for item in seeds.of.get(seed, ()):
@@ -140,7 +138,9 @@ def similarities(ids: np.ndarray, hits: list[tuple[int, int]], seeds: Seeds) ->
             j = k
             while j + 1 < len(at) and at[j + 1] - at[j] <= reach:
                 j += 1
-            best = max(best, align(ids[max(0, at[k] - reach) : at[j] + reach], words))
+            window = ids[max(0, at[k] - reach) : at[j] + reach]
+            if seeds.reachable(item, window) >= least:
+                best = max(best, align(window, words))
             k = j + 1
         out.append((item, best / (MATCH * len(words))))
     return out
@@ -157,7 +157,7 @@ def leaks(seeds: Seeds, texts: list[str | None], least: float) -> list[list[tupl
         cut = np.searchsorted(of[order], np.arange(len(data) + 1))
         for k in range(len(data)):
             mine = order[cut[k] : cut[k + 1]]
-            found = similarities(ids[begin[k] : begin[k + 1]], list(zip((at[mine] - begin[k]).tolist(), seed[mine].tolist(), strict=True)), seeds) if len(mine) else []
+            found = similarities(ids[begin[k] : begin[k + 1]], list(zip((at[mine] - begin[k]).tolist(), seed[mine].tolist(), strict=True)), seeds, least) if len(mine) else []
             out.append([(i, s) for i, s in found if s >= least])
     return out
 
@@ -183,24 +183,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", ite
     field = T.StructField("leaks", T.ArrayType(T.StructType([T.StructField("item", kind), T.StructField("similarity", T.DoubleType())])))
     parts = []
     for block in item_blocks(items, item_col, item_text, block_bytes):
-        seeds = Seeds(block, width)
-        shared = sc.broadcast(seeds)
-
-        def count(batches: Iterator[pa.RecordBatch], shared: Any = shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value.key), np.int64)
-            for batch in batches:
-                for _, data in groups(batch.column(0).to_pylist()):
-                    _, owner, at, seed = shared.value.hits(data)
-                    pairs = np.unique(np.column_stack([owner[at], seed]), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-                    total += np.bincount(pairs[:, 1], minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["seed", "n"])
-
-        got = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        total = np.zeros(len(seeds.key), np.int64)
-        total[got.column(0).to_numpy()] = got.column(1).to_numpy()
-        seeds.rare(total)
-        parts.append(sc.broadcast(seeds))
+        parts.append(sc.broadcast(Seeds(block, width)))
     if not parts:
         return docs.drop("leaks").withColumn("leaks", F.array().cast(field.dataType))
 

@@ -136,6 +136,31 @@ def test_op4_finds_whole_and_edited_copies(spark):
         assert all(not got[k] for k in (3, 4, 5, 6))
 
 
+def test_op4_finds_edited_copies_however_many(spark):
+    from spanloom.llm import decontaminate
+
+    words = [f"word{k}" for k in range(40)]
+    edited = " ".join("changed" if k % 5 == 4 else w for k, w in enumerate(words))
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    for n in (32, 100, 400):
+        d = spark.createDataFrame([(k, f"text {k} {edited} ends") for k in range(n)] + [(-1, "word0 word1 word2 word3 alone")], "doc_id long, text string")
+        got = {r.doc_id: [(x.item, round(x.similarity, 2)) for x in r.leaks] for r in decontaminate.with_leaks(d, items).collect()}
+        assert got.pop(-1) == [] and len(got) == n and all(x == [(7, 0.71)] for x in got.values())
+
+
+def test_op4_spares_no_alignment_that_could_reach_the_least():
+    import numpy as np
+
+    from spanloom.llm.decontaminate import MATCH, Seeds, align
+
+    rng = np.random.default_rng(5)
+    seeds = Seeds([(0, " ".join(f"w{k % 7}" for k in range(20)))], 4)
+    words = seeds.items[0][1]
+    for _ in range(200):
+        window = rng.integers(0, 8, rng.integers(1, 60))
+        assert seeds.reachable(0, window) >= align(window, words) / (MATCH * len(words))
+
+
 def test_smith_waterman():
     import numpy as np
 
