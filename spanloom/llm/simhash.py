@@ -135,8 +135,12 @@ class BKTree:
                 todo += [kids[e] for e in range(d - radius, d + radius + 1) if e in kids]
 
 
-def link_block(nodes: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """(member, root) for each member that a link joins to a smaller one, over the tree of ``nodes`` and the block ``queries``."""
+def link_block(nodes: list[int], queries: list[int], radius: int, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """(member, root) for each member that a link joins to a smaller one, over the tree of ``nodes`` and the block ``queries``.
+
+    With ``same``, two values within the radius are linked only if it says so;
+    it is not asked about members that other links have joined.
+    """
     tree = BKTree()
     for x in nodes:
         tree.add(x)
@@ -154,6 +158,8 @@ def link_block(nodes: list[int], queries: list[int], radius: int) -> list[tuple[
         for x in tree.within(q, radius):
             a, b = find(q), find(x)
             if a != b:
+                if same and not same(q, x):
+                    continue
                 groups -= a in planted and b in planted
                 if a in planted or b in planted:
                     planted.add(min(a, b))
@@ -166,10 +172,10 @@ def link_block(nodes: list[int], queries: list[int], radius: int) -> list[tuple[
     return [(x, find(x)) for x in root if find(x) != x]
 
 
-def bk_links(keyed: DataFrame, radius: int, tree_nodes: int = 2048) -> DataFrame:
-    """``keyed(fp, key)`` of distinct pairs -> links ``(u, v)`` of fingerprints that join the same groups as all links within shards.
+def tree_rows(keyed: DataFrame, tree_nodes: int) -> DataFrame:
+    """``(key, fp, p(i, j, role))``: the places of each member of ``keyed(fp, key)`` in the blocks of its shard.
 
-    Shards of one member have no links.  A member of a shard with n trees goes
+    Shards of one member have no blocks.  A member of a shard with n trees goes
     to n + 1 blocks, so a block never has more than about two trees' members.
     """
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -179,11 +185,22 @@ def bk_links(keyed: DataFrame, radius: int, tree_nodes: int = 2048) -> DataFrame
     # role 0: a node of tree i; role 1: a query of block j sent to tree i < j
     as_node = F.transform(F.sequence(F.col("own"), F.col("trees") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("role")))
     as_query = F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("role")))).otherwise(F.expr("array()"))
-    rows = placed.select("key", "fp", F.explode(F.concat(as_node, as_query)).alias("p"))
-    blocks = rows.groupBy("key", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(
+    return placed.select("key", "fp", F.explode(F.concat(as_node, as_query)).alias("p"))
+
+
+def useful_blocks(keyed: DataFrame, tree_nodes: int) -> DataFrame:
+    """``(key, i, j, nodes, queries)`` of the blocks of ``keyed(fp, key)`` that can link anything."""
+    blocks = tree_rows(keyed, tree_nodes).groupBy("key", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(
         F.collect_list(F.when(F.col("p.role") == 0, F.col("fp"))).alias("nodes"), F.collect_list(F.when(F.col("p.role") == 1, F.col("fp"))).alias("queries")
     )
 
+    # a diagonal block has its tree as queries; an off-diagonal one without queries (or nodes) links nothing
+    return blocks.filter((F.col("i") == F.col("j")) & (F.size("nodes") > 1) | (F.size("nodes") > 0) & (F.size("queries") > 0))
+
+
+def bk_links(keyed: DataFrame, radius: int, tree_nodes: int = 2048) -> DataFrame:
+    """``keyed(fp, key)`` of distinct pairs -> links ``(u, v)`` of fingerprints that join the same groups as all links within shards."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
@@ -194,9 +211,79 @@ def bk_links(keyed: DataFrame, radius: int, tree_nodes: int = 2048) -> DataFrame
                     v.append(b.to_bytes(width, "big"))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    # a diagonal block has its tree as queries; an off-diagonal one without queries (or nodes) links nothing
-    useful = blocks.filter((F.col("i") == F.col("j")) & (F.size("nodes") > 1) | (F.size("nodes") > 0) & (F.size("queries") > 0))
-    return useful.select("nodes", "queries").mapInArrow(run, "u binary, v binary").distinct()
+    return useful_blocks(keyed, tree_nodes).select("nodes", "queries").mapInArrow(run, "u binary, v binary").distinct()
+
+
+def near_members(keyed: DataFrame, radius: int, tree_nodes: int) -> DataFrame:
+    """The rows of ``keyed(fp, key)`` that have another member of their shard within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, fp = [], []
+            for k, (nodes, queries) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                width = len(nodes[0])
+                links = link_block([int.from_bytes(x, "big") for x in nodes], [int.from_bytes(x, "big") for x in queries], radius)
+                # who is linked to anything is a member or a root
+                some = {x for link in links for x in link}
+                at += [k] * len(some)
+                fp += [x.to_bytes(width, "big") for x in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(fp, pa.binary())], names=["key", "fp"])
+
+    schema = T.StructType([T.StructField("key", keyed.schema["key"].dataType), T.StructField("fp", T.BinaryType())])
+    return useful_blocks(keyed, tree_nodes).select("key", "nodes", "queries").mapInArrow(run, schema).distinct()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets of hashes; 1 for two empty ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int(np.count_nonzero(a[at] == b))
+    return both / (len(a) + len(b) - both)
+
+
+def confirmed_links(near: DataFrame, texts: DataFrame, radius: int, width: int, similarity: float, tree_nodes: int) -> DataFrame:
+    """``near(key, fp)`` and ``texts(fp, text)`` -> links ``(u, v)`` that join the same groups as all links within shards whose shingle sets are as similar as ``similarity``.
+
+    The rows of a block come one after the other, so a task holds the shingle sets of one block.
+    """
+
+    def links(block: dict[bytes, np.ndarray], nodes: list[bytes], queries: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        sets = {int.from_bytes(x, "big"): h for x, h in block.items()}
+
+        def same(x: int, y: int) -> bool:
+            a, b = sets[x], sets[y]
+            # sets of sizes too far apart are spared the comparison
+            return min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1 and jaccard(a, b) >= similarity
+
+        size = len(nodes[0]) if nodes else 0
+        found = link_block([int.from_bytes(x, "big") for x in nodes], [int.from_bytes(x, "big") for x in queries], radius, same)
+        return [a.to_bytes(size, "big") for a, _ in found], [b.to_bytes(size, "big") for _, b in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, members = None, {}, ([], [])
+        # an off-diagonal block without queries would take its nodes as queries, which its diagonal block does
+        whole = lambda: members[0] and (members[1] or now[1] == now[2])
+        for batch in batches:
+            u, v = [], []
+            for b, value, i, j, role, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != ((b, value), i, j):
+                    if now and whole():
+                        more = links(block, *members)
+                        u += more[0]
+                        v += more[1]
+                    now, block, members = ((b, value), i, j), {}, ([], [])
+                block[fp] = np.unique(shingle_hashes(words_of(text), width))
+                members[role].append(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+        if now and whole():
+            u, v = links(block, *members)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    place = ["b", "v", "i", "j"]
+    rows = tree_rows(near, tree_nodes).select(F.col("key.b").alias("b"), F.col("key.v").alias("v"), "p.i", "p.j", "p.role", "fp").join(texts, "fp")
+    return rows.select(*place, "role", "fp", "text").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "u binary, v binary").distinct()
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 2, blocks: int | None = None, tree_nodes: int = 2048) -> DataFrame:
@@ -213,7 +300,7 @@ def sketch(text: str | None, width: int, keys: int) -> tuple[bytes, list[int]]:
     Two texts whose shingle sets have Jaccard similarity s share a key with
     probability s * s, and any of them with 1 - (1 - s * s) ** keys.
     """
-    h = shingle_hashes(words_of(text), width)
+    h = np.unique(shingle_hashes(words_of(text), width))
     if not len(h):
         return bytes(32), [0] * keys
     print_ = b"".join(majority(remix(h, k)).to_bytes(8, "big") for k in range(4))
@@ -229,37 +316,54 @@ def remix(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def similar_radius(similarity: float, slack: int = 3) -> int:
-    """Differing bits of 256 expected at a Jaccard similarity of two sets of one size, and a little slack for the sketch's error."""
-    return round(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + slack
+def similar_radius(similarity: float, deviations: float = 4) -> int:
+    """Differing bits of 256 expected at a Jaccard similarity, and some standard deviations more.
+
+    The share of bits is that of two large sets of one size, or the 3 of 16 at
+    which the majorities of 4 and of 5 hashes differ if that is more: ties of
+    small sets cost more bits, and no pair at 0.8 costs more than that one.
+    """
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 3 / 16)
+    return round(256 * p + deviations * math.sqrt(256 * p * (1 - p)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8, keys: int = 10, tree_nodes: int = 2048) -> DataFrame:
-    """``(id_col, component_id)``: the least id in each row's group of texts with shingle sets about as similar as ``similarity``.
+    """``(id_col, component_id)``: the least id in each row's group of texts, linked where the Jaccard similarity of their shingle sets is at least ``similarity``.
 
     Shards are by minima of shingle hashes, since a radius as wide as this
     similarity needs leaves no fingerprint block unchanged; within a shard the
-    BK-trees follow the edges within the radius.  At the similarity itself a
-    pair shares a shard with probability 1 - (1 - s * s) ** keys: 0.99996.
+    BK-trees follow the edges within the radius and leave candidates, whose
+    links are confirmed by their shingle sets.  At the similarity itself a
+    pair shares a shard with probability 1 - (1 - s * s) ** keys: 0.99996, and
+    is within the radius with about as much.  Texts of one 256-bit fingerprint
+    are taken as one.
     """
     scratch = Scratch(df.sparkSession, "neardup")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [sketch(t, width, keys) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))], names=["id", "fp", "keys"]).append_column("text", batch.column(1))
 
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
     prints = scratch.save(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema))
-    shards = lambda items: prints.select("fp", F.posexplode("keys").alias("b", "v")).select("fp", F.struct("b", "v").alias("key"))  # noqa: E731, ARG005
-    groups = group_ids(prints, shards, similar_radius(similarity), tree_nodes, scratch)
+    shards = prints.select("fp", F.posexplode("keys").alias("b", "v")).select("fp", F.struct("b", "v").alias("key")).distinct()
+    radius = similar_radius(similarity)
+    near = scratch.save(near_members(shards, radius, tree_nodes))
+    texts = prints.groupBy("fp").agg(F.min("text").alias("text")).join(near.select("fp").distinct(), "fp", "left_semi")
+    groups = joined_ids(prints, confirmed_links(near, texts, radius, width, similarity, tree_nodes), scratch)
     return prints.select("id", "fp").join(groups, "fp", "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def group_ids(prints: DataFrame, keys: Callable[[DataFrame], DataFrame], radius: int, tree_nodes: int, scratch: Scratch) -> DataFrame:
     """``(fp, component_id)`` for the distinct fingerprints of ``prints(id, fp, ...)``."""
+    return joined_ids(prints, bk_links(keys(prints.select("fp").distinct()).distinct(), radius, tree_nodes), scratch)
+
+
+def joined_ids(prints: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(fp, component_id)`` for the distinct fingerprints of ``prints(id, fp, ...)``, by the links ``pairs(u, v)``."""
     items = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    links = components(bk_links(keys(items).distinct(), radius, tree_nodes), scratch)
+    links = components(pairs, scratch)
     rooted = scratch.save(items.join(links.select(F.col("u").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")

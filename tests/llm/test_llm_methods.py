@@ -75,6 +75,44 @@ def test_near_duplicates(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
 
 
+def test_near_duplicates_by_exact_similarity(spark):
+    """Pairs of a Jaccard similarity from 0.7 to 0.95 against brute force, with small trees as with one."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, s in enumerate(np.repeat(np.linspace(0.7, 0.95, 26), 6)):
+        n = int(rng.choice([8, 60, 300]))
+        a = [f"w{k}x{int(x)}" for x in rng.integers(0, 10**6, n + 4)]
+        same = round(2 * n * s / (1 + s))  # shingles in common if the words after the first same + 4 differ
+        b = a[: same + 4] + [f"v{k}x{j}" for j in range(n - same)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b) + "  ")]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if len(x & y) / len(x | y) >= 0.8 else 2 * k + 1}
+    # a family whose members share most shards, at least and less similar
+    a = [f"f{int(x)}" for x in rng.integers(0, 10**6, 204)]
+    sets = []
+    for k in range(12):
+        t = a[: 204 - 12 * k] + [f"g{k}x{j}" for j in range(12 * k)]
+        rows.append((1000 + k, " ".join(t)))
+        sets.append({tuple(t[i : i + 5]) for i in range(200)})
+    root = list(range(12))
+    for x in range(12):
+        for y in range(x):
+            if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8:
+                root = [min(root[x], root[y]) if r in (root[x], root[y]) else r for r in root]
+    want |= {1000 + k: 1000 + r for k, r in enumerate(root)}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 1 < len(set(root)) < 12
+    for nodes in (2048, 3):
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(d, tree_nodes=nodes).collect()} == want
+
+
+def test_near_duplicates_are_of_sets(spark):
+    """A passage repeated many times is one run of shingles, whatever else two texts hold."""
+    loop = "one two three four five six " * 200
+    d = spark.createDataFrame([(k, loop + " ".join(f"d{k}w{j}" for j in range(60))) for k in range(2)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()} == {0: 0, 1: 1}
+
+
 @pytest.mark.parametrize(("up", "down"), [(2, 3), (3, 2), (1, 1), (1, 2), (5, 3)])
 def test_polyphase(up, down):
     x = np.random.default_rng(0).normal(size=960)
