@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,13 +54,63 @@ def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int,
     return row[-1][1:]
 
 
+def edit_counts_of(pairs: list[tuple[list[str], list[str]]], cells: int = 1 << 22) -> np.ndarray:
+    """:func:`edit_counts` of each pair, for groups of pairs of about one size at once; a group's tables have at most ``cells`` cells, or are of one pair."""
+    out = np.zeros((len(pairs), 3), np.int64)
+    sizes = [(len(r), len(h)) for r, h in pairs]
+    group: list[int] = []
+    n = m = 0
+    for k in sorted(range(len(pairs)), key=lambda k: (sizes[k][0] // 8, sizes[k][1])):
+        n, m = max(n, sizes[k][0]), max(m, sizes[k][1])
+        if group and (len(group) + 1) * (n + 1) * (m + 1) > cells:
+            out[group] = _edit_group([pairs[g] for g in group])
+            group, (n, m) = [], sizes[k]
+        group.append(k)
+    if group:
+        out[group] = _edit_group([pairs[g] for g in group])
+    return out
+
+
+def _edit_group(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
+    """(substitutions, deletions, insertions) of each pair: all tables row by row, then all paths back from their ends."""
+    names: dict[str, int] = {}
+    count = len(pairs)
+    i, j = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    ref, hyp = np.full((count, i.max()), -1, np.int32), np.full((count, j.max()), -2, np.int32)
+    for k, (r, h) in enumerate(pairs):
+        ref[k, : len(r)] = [names.setdefault(w, len(names)) for w in r]
+        hyp[k, : len(h)] = [names.setdefault(w, len(names)) for w in h]
+    steps = np.arange(hyp.shape[1] + 1, dtype=np.int32)
+    same, sub, dele, ins, end = range(5)
+    back = np.empty((ref.shape[1] + 1, count, len(steps)), np.uint8)
+    back[0], back[:, :, 0], back[0, :, 0] = ins, dele, end
+    row = np.tile(steps, (count, 1))
+    for at in range(1, len(back)):
+        other = ref[:, at - 1, None] != hyp
+        after = np.full_like(row, at)
+        np.minimum(row[:, :-1] + other, row[:, 1:] + 1, out=after[:, 1:])
+        after = np.minimum.accumulate(after - steps, axis=1) + steps
+        back[at, :, 1:] = np.where(after[:, :-1] < after[:, 1:], ins, np.where(row[:, 1:] < after[:, 1:], dele, other))
+        row = after
+    every, out = np.arange(count), np.zeros((count, 5), np.int64)
+    while True:
+        move = back[i, every, j]
+        if (move == end).all():
+            return out[:, [sub, dele, ins]]
+        out[every, move] += 1
+        i = i - (move <= dele)
+        j = j - ((move <= sub) | (move == ins))
+
+
 def word_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """``pairs`` with ``units, substitutions, deletions, insertions``, over words."""
 
     @F.pandas_udf("units long, substitutions long, deletions long, insertions long", F.PandasUDFType.SCALAR)
     def count(ref, hyp):
-        rows = [(len((r or "").split()), *edit_counts((r or "").split(), (h or "").split())) for r, h in zip(ref, hyp, strict=True)]
-        return pd.DataFrame(rows, columns=["units", "substitutions", "deletions", "insertions"])
+        words = [((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp, strict=True)]
+        out = pd.DataFrame(edit_counts_of(words), columns=["substitutions", "deletions", "insertions"])
+        out.insert(0, "units", [len(r) for r, _ in words])
+        return out
 
     return pairs.withColumn("_c", count(reference, hypothesis)).select(*pairs.columns, "_c.*")
 

@@ -533,5 +533,5 @@ def wer_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Word errors of each turn against the one before it; tests hold the counts against a plain table."""
     c = table(spark, sf, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = c.select("conv_id", "turn", F.substring(before, 1, 400).alias("reference"), F.substring("text", 1, 400).alias("hypothesis")).filter("reference is not null")
+    pairs = c.select("conv_id", "turn", before.alias("reference"), F.col("text").alias("hypothesis")).filter("reference is not null")
     return stats.word_errors(pairs, "reference", "hypothesis").select("conv_id", "turn", "units", "substitutions", "deletions", "insertions")

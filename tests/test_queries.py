@@ -15,6 +15,34 @@ def test_query(spark, sf, name):
         assert df.count() >= 0
 
 
+def test_wer_pairs_counts_whole_turns(spark):
+    """Every pair of turns against a plain edit-distance table over all words; some turns are far longer than 400 characters."""
+    from spanloom.operators.stats import edit_counts
+
+    sf = "/root/testdata/sf0.01"
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    want, last = {}, {}
+    for (conv, turn), text in sorted(turns.items()):
+        if last.get(conv) is not None:
+            ref = last[conv].split()
+            want[conv, turn] = (len(ref), *edit_counts(ref, text.split()))
+        last[conv] = text
+    assert max(map(len, turns.values())) > 800
+    assert {(r.conv_id, r.turn): tuple(r)[2:] for r in driver.QUERIES["wer_pairs"](spark, sf).collect()} == want
+
+
+def test_edit_counts_of_many():
+    import numpy as np
+
+    from spanloom.operators.stats import edit_counts, edit_counts_of
+
+    rng = np.random.default_rng(6)
+    pairs = [tuple([f"w{x}" for x in rng.integers(0, 5, rng.integers(0, 14))] for _ in range(2)) for _ in range(300)]
+    for cells in (1, 500, 1 << 22):
+        assert [tuple(x) for x in edit_counts_of(pairs, cells).tolist()] == [edit_counts(*p) for p in pairs]
+    assert edit_counts_of([]).shape == (0, 3)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
