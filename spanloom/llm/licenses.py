@@ -7,20 +7,29 @@ so a template of b bigrams can only reach ``least`` if a is from
 b * least / (2 - least) to b * (2 - least) / least.  Templates outside those
 bounds are pruned before any bigram is compared.
 
+A licence that no unit of a text reports can still stand in it: behind other
+words of a line, over several blocks, or with code right after it.  So every
+run of words, wherever it begins and ends, is compared too.  A run that
+reaches ``least`` holds b * least / (2 - least) of a template's bigrams or
+more; texts that hold fewer are left out, and the rest are few.  The best run
+begins with a bigram of the template, since others only lower it.
+
 The templates are a literal of the plan: their text is bounded by
-``TEMPLATE_BYTES``.  There is no join and no exchange, so no licence, however
-common, can gather rows in a task.
+``TEMPLATE_BYTES``.  There is no join.  The exchanges are of the texts that
+hold a licence's bigrams, by text, and of what is found, by id and licence.
 
 Defined results: null and empty texts, and units of fewer than two words, match
 nothing; a unit's best template is reported, the first by name on a tie; blocks
-and wholes that equal a line or block are not reported again.
+and wholes that equal a line or block are not reported again.  A text's best
+run for a licence is reported once, the first on a tie, with the number of its
+first word as ``at``, if no unit of that id reports the licence.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TEMPLATE_BYTES = 4 << 20
@@ -70,8 +79,44 @@ def units(text: Column) -> Column:
     return F.concat(named(F.split(text, "\n"), "line"), F.when(text.rlike(r"\n\s*\n"), blocks).otherwise(none), F.when(newline, named(F.array(text), "text")).otherwise(none))
 
 
+def runs(docs: DataFrame, known: list[Column], least: float) -> DataFrame:
+    """``id, kind, at, license, dice`` of the best run of words for each template that a run of ``docs(id, text)`` reaches ``least`` with."""
+    templates = F.array(*known)
+    every = F.array_distinct(F.flatten(F.transform(templates, lambda t: t["pairs"])))
+    # exploding an array of one keeps the planner from copying its expression to each use
+    each = docs.select("id", F.explode(F.array(words(F.col("text")))).alias("word"))
+    pairs = F.zip_with("word", F.slice("word", F.lit(2), F.size("word")), lambda x, y: F.concat(x, F.lit(" "), y))
+    each = each.select("id", F.explode(F.array(F.filter(pairs, lambda p: p.isNotNull()))).alias("pairs"))
+    each = each.select("id", "pairs", F.explode(F.array(F.array_intersect("pairs", every))).alias("shared"))
+    hits = F.filter(templates, lambda t: F.size(F.array_intersect(t["pairs"], F.col("shared"))) >= t["low"])
+    names = F.when(F.size("shared") > 0, F.transform(hits, lambda t: t["name"]))
+    held = each.select("id", "pairs", F.explode(F.array(names)).alias("names")).filter(F.size("names") > 0)
+    # each bigram with the place of the one before that is equal
+    placed = held.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "names", F.posexplode("pairs").alias("pos", "pair"))
+    before = F.coalesce(F.lag("pos").over(Window.partitionBy("row", "pair").orderBy("pos")), F.lit(-1))
+    whole = placed.withColumn("before", before).groupBy("row").agg(F.first("id").alias("id"), F.first("names").alias("names"), F.array_sort(F.collect_list(F.struct("pos", "before", "pair"))).alias("seq"))
+    one = whole.select("id", "seq", F.explode(F.filter(templates, lambda t: F.array_contains(F.col("names"), t["name"]))).alias("t"))
+    marked = F.transform("seq", lambda x: F.struct(x["pos"].alias("pos"), x["before"].alias("before"), F.array_contains(F.col("t.pairs"), x["pair"]).cast("int").alias("hit")))
+    one = one.select("id", F.col("t.name").alias("license"), F.size("t.pairs").alias("b"), F.explode(F.array(marked)).alias("seq"))
+
+    def best_from(start: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("dice"))
+
+        def step(acc: Column, x: Column) -> Column:
+            new = (x["before"] < start["pos"]).cast("int")
+            size, both = acc["size"] + new, acc["both"] + new * x["hit"]
+            dice = F.lit(2.0) * both / (size + F.col("b"))
+            return F.struct(size.alias("size"), both.alias("both"), F.greatest(acc["dice"], dice).alias("dice"))
+
+        rest = F.slice("seq", start["pos"] + 1, F.size("seq"))
+        return F.struct((-F.aggregate(rest, zero, step, lambda acc: acc["dice"])).alias("minus"), start["pos"].alias("at"))
+
+    best = F.array_min(F.transform(F.filter("seq", lambda x: x["hit"] > 0), best_from))
+    return one.select("id", "license", F.explode(F.array(best)).alias("best")).filter(F.col("best.minus") <= -least).select("id", F.lit("run").alias("kind"), F.col("best.at").alias("at"), "license", F.round(-F.col("best.minus"), 6).alias("dice"))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """``id_col, kind, at, license, dice`` for each unit whose best template has a Dice coefficient of at least ``least``."""
+    """``id_col, kind, at, license, dice`` for each unit whose best template has a Dice coefficient of at least ``least``, and for the best run of each other licence."""
     templates = TEMPLATES if templates is None else templates
     if sum(len(t.encode()) for t in templates.values()) > TEMPLATE_BYTES:
         raise ValueError(f"templates exceed {TEMPLATE_BYTES} bytes; scan with parts of them")
@@ -81,8 +126,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
         if pairs:
             low, high = bounds(len(pairs), least)
             known.append(F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, pairs)).alias("pairs")))
-    text = F.col(text_col).cast("string")
-    each = df.select(F.col(id_col).alias("id"), F.explode(units(text)).alias("u"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    each = docs.select("id", F.explode(units(F.col("text"))).alias("u"))
     # exploding an array of one keeps the planner from copying its expression to each use
     each = each.select("id", "u.kind", "u.at", F.explode(F.array(words(F.col("u.text")))).alias("word"))
     each = each.select("id", "kind", "at", F.explode(F.array(bigrams(F.col("word")))).alias("pairs"))
@@ -91,4 +136,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     dice = lambda t: F.lit(2.0) * F.size(F.array_intersect(t["pairs"], F.col("pairs"))) / (n + F.size(t["pairs"]))
     judged = F.filter(F.transform(fitting, lambda t: F.struct((-dice(t)).alias("minus"), t["name"].alias("name"))), lambda m: m["minus"] <= -least)
     best = F.array_min(judged)
-    return each.filter(n > 0).select("id", "kind", "at", F.explode(F.array(best)).alias("best")).filter("best is not null").select(F.col("id").alias(id_col), "kind", "at", F.col("best.name").alias("license"), F.round(-F.col("best.minus"), 6).alias("dice"))
+    by_unit = each.filter(n > 0).select("id", "kind", "at", F.explode(F.array(best)).alias("best")).filter("best is not null").select("id", "kind", "at", F.col("best.name").alias("license"), F.round(-F.col("best.minus"), 6).alias("dice"))
+    found = by_unit.unionByName(runs(docs, known, least))
+    told = F.max(F.col("kind") != "run").over(Window.partitionBy("id", "license"))
+    return found.withColumn("told", told).filter((F.col("kind") != "run") | ~F.col("told")).select(F.col("id").alias(id_col), "kind", "at", "license", "dice")

@@ -285,6 +285,21 @@ def test_full_licence_is_found(spark):
     assert (1, "text", "MIT-text") in got and (2, "block", "MIT-text") in got and not any(d > 2 for d, _, _ in got)
 
 
+def test_licences_in_published_layout(spark):
+    """After other words, over several paragraphs in a longer text, and with code right after."""
+    prose = " ".join(f"prose{k}" for k in range(400))
+    wrapped = lambda t, n=9: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    mit, gpl, apache = (licenses.TEMPLATES[x] for x in ("MIT-text", "GPL-3.0-header", "Apache-2.0-header"))
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(wrapped(x) for x in mit.replace("conditions: The", "conditions:@The").replace("Software. THE", "Software.@THE").split("@"))
+    gpl = "\n\n".join(wrapped(x) for x in gpl.replace("version. This", "version.@This").replace("details. You", "details.@You").split("@"))
+    apache = "\n\n".join(wrapped(x) for x in apache.replace("License. You", "License.@You").replace("2.0 Unless", "2.0@Unless").split("@"))
+    rows = [(1, f"{prose}. Released under the MIT License. {prose}"), (2, f"{prose}\n\n{mit}\n\n{prose}"), (3, f"{prose}\n{gpl}\nimport this\n{prose}"), (4, f"{prose}\n\n{apache}\nimport this\n{prose}"), (5, prose), (None, f"{prose} all rights reserved {prose}"), (6, "Released under the MIT License.")]
+    got = {(r.doc_id, r.license): (r.kind, r.at, r.dice) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "MIT"), (2, "MIT-text"), (3, "GPL-3.0-header"), (4, "Apache-2.0-header"), (None, "all-rights-reserved"), (6, "MIT")} <= set(got)
+    assert not any(i == 5 for i, _ in got) and got[1, "MIT"] == ("run", 400, 1.0) and got[6, "MIT"][0] == "line"
+    assert all(got[k][0] == "run" and got[k][2] > 0.95 for k in ((2, "MIT-text"), (3, "GPL-3.0-header"), (4, "Apache-2.0-header")))
+
+
 OPERATORS = {
     "simhash": lambda d, s: simhash.simhash_components(d),
     "near": lambda d, s: simhash.near_duplicates(d),
