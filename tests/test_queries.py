@@ -15,6 +15,13 @@ def test_query(spark, sf, name):
         assert df.count() >= 0
 
 
+def test_text_normalize_takes_all_items(spark, tmp_path):
+    items = [(1, "It's a well-known \u201ctest\u201d (see 12), isn't it?"), (2, "a &lt;b&gt;\u2014c / d"), (3, "Plain, words. 7 of them"), (4, "\u2019quoted\u2019 don\u2019t"), (5, "(no digit) 1,000 x2"), (6, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.item_id: r.norm for r in driver.QUERIES["text_normalize"](spark, str(tmp_path)).collect()}
+    assert got == {1: "it's a well-known test isn't it", 2: "a b c d", 3: "plain words of them", 4: "quoted don't", 5: "no digit x2", 6: None}
+
+
 def test_wer_pairs_counts_whole_turns(spark):
     """Every pair of turns against a plain edit-distance table over all words; some turns are far longer than 400 characters."""
     from spanloom.operators.stats import edit_counts
