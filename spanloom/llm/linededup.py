@@ -1,38 +1,50 @@
-"""Line dedup: repeated runs of lines by prefix doubling over line ids; DataFrame expressions only.
+"""Line dedup: repeated runs of lines by a suffix array over line ids; DataFrame expressions only.
 
 A line ends at newlines, or after ``.``, ``!`` or ``?`` before a blank, so that
-a passage is found wherever it stands in a paragraph.  Each line has an id,
-the hash of its trimmed text.  Prefix doubling names the run of 2**k lines at
-each position from the names of its two halves.  As names are hashes of
-contents and not ranks, a round needs no sort and no exchange: a suffix's
-names are made where its text is.  From them, by binary descent, come the name
-of the shortest run with ``min_words`` words from each position on, and of the
-shortest that ends there.
-
-Suffixes that share such a name are an interval of the suffix array whose
-longest common prefix has that many words.  The first run of an interval stays,
-by id and then by position; the lines of all later ones are deleted.  A maximal
-repeated run of ``min_words`` words or more is the union of the shortest runs
-within it, so exactly the lines of such runs go, but for their first copy.
-Every deleted line thus has an equal earlier line that stays.  Intervals are
-found by least and greatest ids, summed up before the exchange; their members
-are never gathered.
+a passage is found wherever it stands in a paragraph.  A line's id is a 96-bit
+hash of its trimmed text.  All texts stand one after the other, by id and then
+by content, so that a line has one global position.
+
+*Prefix doubling.*  Level k ranks the suffixes by their first 2**k lines: the
+distinct pairs of the ranks at a position and 2**(k - 1) further are sorted, and
+a pair's place is the rank.  A suffix whose rank nothing shares leaves, since
+it repeats nothing; so does one whose 2**k lines have ``min_words`` words even
+without their first or last line, since no shortest run is that long.  So the
+levels end at about log2(``min_words``), however long a repeat is.
+
+*Intervals.*  Suffixes that agree in their first n lines are an interval of the
+suffix array whose longest common prefix is n or more.  Two ranks of the last
+level up to n, at its first line and so that the second ends with the run, name
+the interval.  Its first member stays; in the others those n lines are deleted.
+The runs looked at have ``min_words`` words and are the shortest from their
+first or to their last line.  A maximal repeated run is the union of the
+shortest ones within it, so exactly the lines of such runs go, but for their
+first copy, and every deleted line has an equal earlier line that stays.
+
+Least positions are summed up before each exchange, and the joins back to the
+suffixes are plain ones, whose hot keys Spark splits: no interval is gathered.
 
 Defined results: null and empty texts have no lines and stay as they are; rows
-that share an id are one document and don't delete each other's lines; rows
-with a null id lose only lines that repeat within the row; overlapping repeats
-within a text keep their first line; a line without words counts as one.
+that agree in id and text are one document, and don't delete each other's
+lines; other rows that share an id are documents of their own, earlier by the
+hash of their text; null ids come last; overlapping repeats within a text keep
+their first line; a line without words counts as one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from .texts import others
 
 #: Zero-width: after newlines, and after the blank that ends a sentence.
 LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )"
+#: Bits for the positions of one task's texts.
+PLACE_BITS = 42
 
 
 def lines(text: Column) -> Column:
@@ -40,76 +52,83 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, LINE_END), lambda p: p != "")
 
 
-def named_lines(pieces: Column) -> Column:
-    """(h, w) of each line: its id and its words."""
-
-    def line(p: Column) -> Column:
-        body = F.btrim(p, F.lit(" \t\r\n"))
-        words = F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1
-        return F.struct(F.xxhash64(body).alias("h"), words.alias("w"))
-
-    return F.transform(pieces, line)
-
+def content(text: Column) -> list[Column]:
+    """96 bits that tell apart the texts of one id."""
+    return [F.xxhash64(text).alias("h"), F.hash(text).alias("g")]
 
-def doubled(level: Column, half: int) -> Column:
-    """(h, w) of the run of twice ``half`` lines at each position, from those of ``half`` lines; w is null past the end."""
-    rest = F.slice(level, F.lit(half + 1), F.greatest(F.size(level) - half, F.lit(0)))
-    return F.zip_with(level, rest, lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("h"), (x["w"] + y["w"]).alias("w")))
 
+def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(row, pos, h, g, words, doc)``: each line's id and words; a row's first line has ``doc(id, h, g, size)``."""
+    text = F.col(text_col).cast("string")
+    doc = F.struct(F.col(id_col).alias("id"), *content(text), (F.length(text) + 2).cast("long").alias("size"))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), F.split(text, LINE_END).alias("parts"))
+    each = rows.select("row", "doc", F.posexplode("parts").alias("pos", "part")).filter("part != ''")
+    body, blank = F.btrim("part", F.lit(" \t\r\n")), F.lit(" ")
+    words = F.length("body") - F.length(F.replace(F.col("body"), blank, F.lit(""))) + 1
+    return each.select("row", "doc", "pos", body.alias("body")).select("row", "pos", *content(F.col("body")), words.alias("words"), F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
 
-def descend(state: Column, level: Column, k: int, min_words: int) -> Column:
-    """Lengthen each position's run (n, h, w) by 2**k lines if it stays short of ``min_words``."""
-
-    def step(s: Column, i: Column) -> Column:
-        more = F.get(level, i + s["n"])
-        longer = F.struct((s["n"] + (1 << k)).alias("n"), F.xxhash64(s["h"], more["h"]).alias("h"), (s["w"] + more["w"]).alias("w"))
-        return F.when(s["w"] + more["w"] < min_words, longer).otherwise(s)
-
-    return F.transform(state, step)
 
+def documents(each: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(row, id, h, g, start)``: a row for each document, and the global position of its first line."""
+    docs = each.filter("doc is not null").select("row", "doc.*").groupBy("id", "h", "g").agg(F.min("row").alias("row"), F.first("size").alias("size"))
+    placed = docs.orderBy(F.col("id").asc_nulls_last(), "h", "g")
+    placed = scratch.save(placed.select("*", F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("place")))
+    before = F.sum("size").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.select("row", "id", "h", "g", (F.shiftleft("part", PLACE_BITS) + F.coalesce(before, F.lit(0))).alias("start"))
 
-def longer_runs(left: Column, line: Column) -> Column:
-    """The shortest runs that end at a line, where they aren't the shortest from their first line: runs of ``left`` with the lines up to the end of the next one."""
 
-    def grown(r: Column, j: Column) -> Column:
-        end, after = r["at"] + r["n"], F.get(left, j + 1)
-        more = F.coalesce(after["at"] + after["n"] - 1, F.size(line)) - end
-        name = lambda t: F.aggregate(F.slice(line, end + 1, t), r["name"], lambda h, x: F.xxhash64(h, x["h"]))
-        each = F.transform(F.sequence(F.lit(1), more), lambda t: F.struct(name(t).alias("name"), r["at"], (r["n"] + t).alias("n")))
-        return F.when(more > 0, each).otherwise(F.expr("cast(array() as array<struct<name:bigint,at:int,n:int>>)"))
+def ranked(keyed: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, rank)`` of the keys that more than one row has, ranked by their order."""
+    shared = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return shared.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("rank"))
 
-    return F.flatten(F.transform(left, grown))
 
+def short(words: Column, first: Column, last: Column, min_words: int) -> Column:
+    """Whether a run of lines has too few words without its first or without its last line."""
+    return words - F.greatest(first, last) < min_words
 
-def held(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with the columns, each computed once for a row: exploding an array of one keeps the planner from copying an expression into the lambdas that use it."""
-    for name, value in columns.items():
-        df = df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
-    return df
 
+def neighbours(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
+    """The suffixes ranked by ``size`` lines, with ``next``, the one ``size`` lines on, and ``runs(n, rank)``.
 
-def candidate_runs(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``(id, name, at, n, again)``: the shortest runs from and to each line; again, whether an equal one is before it in its row."""
-    step = held(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), l0=named_lines(lines(F.col("text")))).drop("text")
-    top = 0
-    while 1 << (top + 1) < min_words:
-        step = held(step, **{f"l{top + 1}": doubled(F.col(f"l{top}"), 1 << top)})
-        top += 1
-    step = held(step, a=F.transform("l0", lambda x: F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("w"))))
-    for k in range(top, -1, -1):
-        step = held(step, a=descend(F.col("a"), F.col(f"l{k}"), k, min_words))
-        step = step.drop(f"l{k}") if k else step
-    # one line more reaches min_words, unless the text ends before
-    last = lambda s, i: F.get("l0", i + s["n"])
-    run = lambda s, i: F.struct(F.xxhash64(s["h"], last(s, i)["h"]).alias("name"), i.alias("at"), (s["n"] + 1).alias("n"), (s["w"] + last(s, i)["w"] >= min_words).alias("ok"))
-    left = F.transform(F.filter(F.transform("a", run), lambda r: r["ok"]), lambda r: F.struct(r["name"], r["at"], r["n"]))
-    step = held(step, left=left).drop("a")
-    found = held(step.select("id", F.concat("left", longer_runs(F.col("left"), F.col("l0"))).alias("s")), s=F.array_sort("s"))
-    # next to each other once sorted, equal names in one row are repeats within it
-    before = F.concat(F.array(F.expr("cast(null as struct<name:bigint,at:int,n:int>)")), F.col("s"))  # one longer than s
-    flagged = F.zip_with("s", before, lambda x, y: F.struct(x["name"].alias("name"), x["at"].alias("at"), x["n"].alias("n"), F.coalesce(x["name"] == y["name"], F.lit(False)).alias("again")))
-    flagged = F.filter(flagged, lambda r: r["name"].isNotNull())
-    return found.select("id", F.explode(flagged).alias("r")).select("id", "r.name", "r.at", "r.n", "r.again")
+    Those are the shortest runs of ``size`` to ``2 * size - 1`` lines: two overlapping ones of ``size`` lines, of which ``rank`` is the second.
+    """
+    by = Window.partitionBy("row").orderBy("at")
+    shown = F.struct("rank", "before", "words", "last")
+    out = suffixes.select("*", *(F.first(shown).over(by.rangeBetween(n, n)).alias(f"next{n}") for n in range(1, size + 1)))
+
+    def run(n: int) -> Column:
+        end = F.col(f"next{n}") if n else F.struct("rank", "before", "words", "last")
+        words = end["before"] + end["words"] - F.col("before")
+        fits = (words >= min_words) & short(words, F.col("first"), end["last"], min_words)
+        return F.when(fits, F.struct(F.lit(size + n).alias("n"), end["rank"].alias("rank")))
+
+    return out.select(*suffixes.columns, F.col(f"next{size}").alias("next"), F.array_compact(F.array(*map(run, range(size)))).alias("runs"))
+
+
+def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(row, at, n)``, the shortest repeated runs but for the first of each, and the documents."""
+    each = scratch.save(line_table(df, id_col, text_col))
+    docs = scratch.save(documents(each, scratch))
+    ids = scratch.save(ranked(each, "h", "g"))
+    level = each.drop("doc").join(ids, ["h", "g"]).join(docs.select("row", "start"), "row")
+    level = level.select("row", (F.col("start") + F.col("pos")).alias("at"), "rank", "words", F.col("words").alias("first"), F.col("words").alias("last"))
+    earlier = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    level = level.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    size, found = 1, []
+    while True:
+        seen = scratch.save(neighbours(level, size, min_words))
+        found.append(seen.select("row", "at", F.col("rank").alias("x"), F.explode("runs").alias("r")).select("row", "at", "r.n", "x", F.col("r.rank").alias("y")))
+        if 2 * size > min_words:
+            break
+        words = F.col("words") + F.col("next.words")
+        pairs = seen.filter(F.col("next").isNotNull() & short(words, F.col("first"), F.col("next.last"), min_words))
+        pairs = pairs.select("row", "at", F.col("rank").alias("x"), F.col("next.rank").alias("y"), words.alias("words"), "first", F.col("next.last").alias("last"), "before")
+        level = pairs.join(scratch.save(ranked(pairs, "x", "y")), ["x", "y"]).drop("x", "y")
+        size *= 2
+    runs = reduce(DataFrame.unionByName, found)
+    firsts = runs.groupBy("n", "x", "y").agg(F.min("at").alias("first"), F.max("at").alias("final")).filter("first < final").drop("final")
+    return runs.join(firsts, ["n", "x", "y"]).filter("at > first").select("row", "at", "n"), docs
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
@@ -118,21 +137,18 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     A column of that name in ``df`` is replaced.
     """
     scratch = Scratch(df.sparkSession, "lines")
-    runs = scratch.save(candidate_runs(df, id_col, text_col, min_words))
-    fresh = runs.filter(~F.col("again")).select("name", "id", "at", "n")
-    shared = fresh.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("name", "first")
-    later = fresh.join(shared, "name").filter(F.col("id") > F.col("first")).select("id", "at", "n")
-    cut = scratch.save(later.unionByName(runs.filter("again").select("id", "at", "n")).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("\x00runs")))
-    scratch.drop(runs)
-    keep = [c for c in df.columns if c != "deleted"]
-    joined = df.select(*keep).join(cut.withColumnRenamed("id", "\x00id"), F.col(id_col).eqNullSafe(F.col("\x00id")), "left")
+    runs, docs = later_copies(df, id_col, text_col, min_words, scratch)
+    gone = runs.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
+    cut = gone.groupBy("row").agg(F.collect_set("at").alias("gone")).join(docs, "row")
+    cut = scratch.save(cut.select(F.col("id").alias("\x00id"), F.col("h").alias("\x00h"), F.col("g").alias("\x00g"), F.transform("gone", lambda x: (x - F.col("start")).cast("int")).alias("\x00gone")))
+    keep = others(df, "deleted")
     text = F.col(text_col).cast("string")
-    # only texts that lose lines are split again
-    split = held(joined.select(*keep, "\x00runs"), **{"\x00pieces": F.when(F.col("\x00runs").isNotNull(), lines(text))})
-    gone = F.flatten(F.transform("\x00runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("\x00pieces") - 1), gone)
-    split = held(split, **{"\x00left": F.when(F.col("\x00runs").isNotNull(), left)})
-    whole = F.col("\x00runs").isNull()
-    new = F.when(whole, text).otherwise(F.array_join(F.transform("\x00left", lambda i: F.get("\x00pieces", i)), ""))
-    deleted = F.when(whole, 0).otherwise(F.size("\x00pieces") - F.size("\x00left"))
+    h, g = content(text)
+    same = F.col(id_col).eqNullSafe(F.col("\x00id")) & (h == F.col("\x00h")) & (g == F.col("\x00g"))
+    joined = df.select(*keep).join(cut, same, "left").select(*keep, "\x00gone")
+    # only texts that lose lines are split again; exploding an array of one keeps the planner from splitting them twice
+    split = joined.select("*", F.explode(F.array(F.when(F.col("\x00gone").isNotNull(), lines(text)))).alias("\x00parts"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("\x00parts") - 1), F.col("\x00gone"))
+    new = F.when(F.col("\x00gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get("\x00parts", i)), ""))
+    deleted = F.coalesce(F.size("\x00gone"), F.lit(0))
     return split.select(*(new.alias(c) if c == text_col else F.col(c) for c in keep), deleted.alias("deleted"))

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those named, whatever their case, as Spark tells names apart."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 Make = Callable[[], Callable[[list[str | None]], list[pa.Array]]]
 
 
@@ -19,7 +26,7 @@ def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
     text goes unless ``keep_text``.
     """
     names = [f.name for f in fields]
-    keep = [c for c in df.columns if c not in (*names, text_col)]
+    keep = others(df, *names, text_col)
     last = None if keep_text else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
