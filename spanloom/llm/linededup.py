@@ -5,19 +5,19 @@ a passage is found wherever it stands in a paragraph.  A line's id is a 96-bit
 hash of its trimmed text.  All texts stand one after the other, by id and then
 by content, so that a line has one global position.
 
-*Prefix doubling.*  Level k ranks the suffixes by their first 2**k lines: the
-distinct pairs of the ranks at a position and 2**(k - 1) further are sorted, and
-a pair's place is the rank.  A suffix whose rank nothing shares leaves, since
-it repeats nothing; so does one whose 2**k lines have ``min_words`` words even
-without their first or last line, since no shortest run is that long.  So the
-levels end at about log2(``min_words``), however long a repeat is.
+*Prefix doubling.*  Each round ranks the suffixes by twice as many lines, twice
+over: the ranks by n lines at a position and n, 2n and 3n lines on, sorted, give
+the rank by 4n lines.  A suffix whose rank nothing shares leaves, since it
+repeats nothing; so does one whose lines have ``min_words`` words even without
+their first or last line, since no shortest run is that long.  So the rounds end
+at a depth of ``min_words`` lines, however long a repeat is.
 
 *Intervals.*  Suffixes that agree in their first n lines are an interval of the
-suffix array whose longest common prefix is n or more.  Two ranks of the last
-level up to n, at its first line and so that the second ends with the run, name
-the interval.  Its first member stays; in the others those n lines are deleted.
-The runs looked at have ``min_words`` words and are the shortest from their
-first or to their last line.  A maximal repeated run is the union of the
+suffix array whose longest common prefix is n or more.  Overlapping ranks of the
+last round up to n, the last of them ending with the run, name the interval.
+Its first member stays; in the others those n lines are deleted.  The runs
+looked at have ``min_words`` words and are the shortest from their first or to
+their last line.  A maximal repeated run is the union of the
 shortest ones within it, so exactly the lines of such runs go, but for their
 first copy, and every deleted line has an equal earlier line that stays.
 
@@ -88,22 +88,36 @@ def short(words: Column, first: Column, last: Column, min_words: int) -> Column:
     return words - F.greatest(first, last) < min_words
 
 
-def neighbours(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
-    """The suffixes ranked by ``size`` lines, with ``next``, the one ``size`` lines on, and ``runs(n, rank)``.
+def further(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
+    """The suffixes ranked by ``size`` lines: ``row, at, rank, runs, before, first, words, last, x0 .. x3``.
 
-    Those are the shortest runs of ``size`` to ``2 * size - 1`` lines: two overlapping ones of ``size`` lines, of which ``rank`` is the second.
+    ``runs(n, x1, x2, x3)`` are the shortest runs of ``size`` lines up to four times
+    as many, each covered by the rank and three that overlap.  The last six are
+    of four times as many lines, which the ranks ``x0`` to ``x3`` cover: null
+    where no shortest run is that long, and missing where none can be.
     """
     by = Window.partitionBy("row").orderBy("at")
-    shown = F.struct("rank", "before", "words", "last")
-    out = suffixes.select("*", *(F.first(shown).over(by.rangeBetween(n, n)).alias(f"next{n}") for n in range(1, size + 1)))
+    shown = F.struct("at", "rank", "before", "words", "last")
+    most = min(4 * size - 1, min_words)  # a line has a word at least
+    grows = 4 * size <= min_words
+    steps = range(1, max(most - size, 3 * size * grows) + 1)
+    # each step lands on the line it should if no line between is alone in its rank, as none in a repeated run is
+    seen = suffixes.select("*", *(F.lead(shown, n).over(by).alias(f"n{n}") for n in steps))
+    there = lambda n: F.col(f"n{n}") if n else F.struct("at", "rank", "before", "words", "last")
+    total = lambda n: there(n)["before"] + there(n)["words"] - F.col("before")
+    held = lambda n: (there(n)["at"] == F.col("at") + n) & short(total(n), F.col("first"), there(n)["last"], min_words)
 
     def run(n: int) -> Column:
-        end = F.col(f"next{n}") if n else F.struct("rank", "before", "words", "last")
-        words = end["before"] + end["words"] - F.col("before")
-        fits = (words >= min_words) & short(words, F.col("first"), end["last"], min_words)
-        return F.when(fits, F.struct(F.lit(size + n).alias("n"), end["rank"].alias("rank")))
+        end = n - size
+        parts = (there(min(k * size, end))["rank"].alias(f"x{k}") for k in range(1, 4))
+        return F.when(held(end) & (total(end) >= min_words), F.struct(F.lit(n).alias("n"), *parts))
 
-    return out.select(*suffixes.columns, F.col(f"next{size}").alias("next"), F.array_compact(F.array(*map(run, range(size)))).alias("runs"))
+    out = {c: F.col(c) for c in ("row", "at", "before", "first", "rank")} | {"runs": F.array_compact(F.array(*map(run, range(size, most + 1))))}
+    if grows:
+        ends = {"words": total(3 * size), "last": there(3 * size)["last"]} | {f"x{k}": there(k * size)["rank"] for k in range(4)}
+        out |= {name: F.when(held(3 * size), x) for name, x in ends.items()}
+    got = seen.select(*(c.alias(name) for name, c in out.items()))
+    return got.filter((F.size("runs") > 0) | F.col("x3").isNotNull() if grows else F.size("runs") > 0)
 
 
 def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -115,20 +129,25 @@ def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scra
     level = level.select("row", (F.col("start") + F.col("pos")).alias("at"), "rank", "words", F.col("words").alias("first"), F.col("words").alias("last"))
     earlier = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     level = level.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    size, found = 1, []
+    size, found, done = 1, [], [each]
     while True:
-        seen = scratch.save(neighbours(level, size, min_words))
-        found.append(seen.select("row", "at", F.col("rank").alias("x"), F.explode("runs").alias("r")).select("row", "at", "r.n", "x", F.col("r.rank").alias("y")))
-        if 2 * size > min_words:
+        seen = scratch.save(further(level, size, min_words))
+        for old in done:
+            scratch.drop(old)
+        runs = seen.select("row", "at", "rank", F.explode("runs").alias("r"))
+        found.append(scratch.save(runs.select("row", "at", "r.n", F.col("rank").alias("x0"), "r.x1", "r.x2", "r.x3")))
+        size *= 4
+        if size > min_words:
             break
-        words = F.col("words") + F.col("next.words")
-        pairs = seen.filter(F.col("next").isNotNull() & short(words, F.col("first"), F.col("next.last"), min_words))
-        pairs = pairs.select("row", "at", F.col("rank").alias("x"), F.col("next.rank").alias("y"), words.alias("words"), "first", F.col("next.last").alias("last"), "before")
-        level = pairs.join(scratch.save(ranked(pairs, "x", "y")), ["x", "y"]).drop("x", "y")
-        size *= 2
+        keys = ["x0", "x1", "x2", "x3"]
+        four = seen.filter("x3 is not null").select("row", "at", "before", "first", "words", "last", *keys)
+        ranks = scratch.save(ranked(four, *keys))
+        level, done = four.join(ranks, keys).drop(*keys), [seen, ranks]
+    scratch.drop(seen)
+    name = ["n", "x0", "x1", "x2", "x3"]
     runs = reduce(DataFrame.unionByName, found)
-    firsts = runs.groupBy("n", "x", "y").agg(F.min("at").alias("first"), F.max("at").alias("final")).filter("first < final").drop("final")
-    return runs.join(firsts, ["n", "x", "y"]).filter("at > first").select("row", "at", "n"), docs
+    firsts = runs.groupBy(*name).agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).filter("earliest < latest").drop("latest")
+    return runs.join(firsts, name).filter("at > earliest").select("row", "at", "n"), docs
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
