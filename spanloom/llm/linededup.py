@@ -107,17 +107,20 @@ def further(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
     total = lambda n: there(n)["before"] + there(n)["words"] - F.col("before")
     held = lambda n: (there(n)["at"] == F.col("at") + n) & short(total(n), F.col("first"), there(n)["last"], min_words)
 
-    def run(n: int) -> Column:
-        end = n - size
+    fits = lambda n: held(n) & (total(n) >= min_words)
+
+    def run(end: int) -> Column:
         parts = (there(min(k * size, end))["rank"].alias(f"x{k}") for k in range(1, 4))
-        return F.when(held(end) & (total(end) >= min_words), F.struct(F.lit(n).alias("n"), *parts))
+        return F.when(fits(end), F.struct(F.lit(size + end).alias("n"), *parts))
 
-    out = {c: F.col(c) for c in ("row", "at", "before", "first", "rank")} | {"runs": F.array_compact(F.array(*map(run, range(size, most + 1))))}
+    ends = range(most - size + 1)
+    # most suffixes have none, and are spared the array
+    runs = F.when(reduce(Column.__or__, map(fits, ends)), F.array_compact(F.array(*map(run, ends))))
+    out = {c: F.col(c) for c in ("row", "at", "before", "first", "rank")} | {"runs": runs}
     if grows:
         ends = {"words": total(3 * size), "last": there(3 * size)["last"]} | {f"x{k}": there(k * size)["rank"] for k in range(4)}
         out |= {name: F.when(held(3 * size), x) for name, x in ends.items()}
-    got = seen.select(*(c.alias(name) for name, c in out.items()))
-    return got.filter((F.size("runs") > 0) | F.col("x3").isNotNull() if grows else F.size("runs") > 0)
+    return seen.select(*(c.alias(name) for name, c in out.items()))
 
 
 def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -147,6 +150,7 @@ def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scra
     name = ["n", "x0", "x1", "x2", "x3"]
     runs = reduce(DataFrame.unionByName, found)
     firsts = runs.groupBy(*name).agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).filter("earliest < latest").drop("latest")
+    firsts = scratch.save(firsts)  # written, so that Spark can split the join's hot keys
     return runs.join(firsts, name).filter("at > earliest").select("row", "at", "n"), docs
 
 
@@ -157,8 +161,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     scratch = Scratch(df.sparkSession, "lines")
     runs, docs = later_copies(df, id_col, text_col, min_words, scratch)
-    gone = runs.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
-    cut = gone.groupBy("row").agg(F.collect_set("at").alias("gone")).join(docs, "row")
+    # each line once: those up to the end of the runs that begin before
+    earlier = Window.partitionBy("row").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("at") + F.col("n")
+    new = runs.withColumn("from", F.greatest(F.col("at"), F.max(end).over(earlier))).filter(F.col("from") < end)
+    gone = new.select("row", F.explode(F.sequence(F.col("from"), end - 1)).alias("at"))
+    cut = gone.groupBy("row").agg(F.collect_list("at").alias("gone")).join(docs, "row")
     cut = scratch.save(cut.select(F.col("id").alias("\x00id"), F.col("h").alias("\x00h"), F.col("g").alias("\x00g"), F.transform("gone", lambda x: (x - F.col("start")).cast("int")).alias("\x00gone")))
     keep = others(df, "deleted")
     text = F.col(text_col).cast("string")

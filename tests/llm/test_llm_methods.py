@@ -181,26 +181,52 @@ def test_plan_holds_the_histogram(histogram):
         assert [a for a, _ in sorted(parts)] == [0, *itertools.accumulate(n for _, n in sorted(parts))][:-1]
 
 
-def test_line_dedup_against_brute_force(spark, docs):
-    min_words = 20
-    parts = {i: [p for p in re.split(r"(?<=\n)(?!\n)|(?<=[.!?] )", t) if p] for i, t in docs}
-    runs = []
-    for i in sorted(parts):
-        body = [p.strip(" \t\r\n") for p in parts[i]]
+def cut_lines(docs, min_words):
+    """(text, deleted) of each of the ordered documents, by comparing all runs of whole lines."""
+    parts = [[p for p in re.split(r"(?<=\n)(?!\n)|(?<=[.!?] )", t or "") if p] for t in docs]
+    first, gone = {}, defaultdict(set)
+    for i, lines in enumerate(parts):
+        body = [p.strip(" \t\r\n") for p in lines]
         size = [b.count(" ") + 1 for b in body]
         for a in range(len(body)):
-            for e in range(a, min(len(body), a + 30)):
+            for e in range(a, len(body)):
                 if sum(size[a : e + 1]) >= min_words:
-                    runs.append((tuple(body[a : e + 1]), i, a, e + 1))
-    first, gone = {}, defaultdict(set)
-    for key, i, a, e in runs:
-        first.setdefault(key, (i, a))
-        if first[key] != (i, a):
-            gone[i] |= set(range(a, e))
+                    if first.setdefault(tuple(body[a : e + 1]), (i, a)) != (i, a):
+                        gone[i] |= set(range(a, e + 1))
+                    elif sum(size[a:e]) >= min_words and e - a > 30:
+                        break
+    return [(None if t is None else "".join(p for k, p in enumerate(parts[i]) if k not in gone[i]), len(gone[i])) for i, t in enumerate(docs)]
+
+
+def test_line_dedup_against_brute_force(spark, docs):
+    docs = sorted(docs)
+    want = dict(zip((i for i, _ in docs), cut_lines([t for _, t in docs], 20), strict=True))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for r in linededup.dedup_lines(df, min_words=min_words).collect():
-        assert r.text == "".join(p for k, p in enumerate(parts[r.doc_id]) if k not in gone[r.doc_id])
-        assert r.deleted == len(gone[r.doc_id])
+    assert {r.doc_id: (r.text, r.deleted) for r in linededup.dedup_lines(df, min_words=20).collect()} == want
+
+
+def test_line_dedup_of_few_words(spark):
+    """Lines of one to four words in every mix of repeats, and texts that share ids or have none."""
+    rng = np.random.default_rng(11)
+    pool = [" ".join(f"{c}{k}" for k in range(n)) for n in (1, 1, 2, 3, 4) for c in "abc"]
+    texts = ["\n".join(rng.choice(pool, rng.integers(1, 40))) for _ in range(30)]
+    texts += [texts[0] + "\n" + texts[1], texts[2], "one two three four five\nsix", None, ""]
+    h = {r.t: (r.h, r.g) for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) h", "hash(t) g").collect()}
+    ids = [k // 3 if k < 24 else None for k in range(len(texts))]
+    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is None, r[0] or 0, h[r[1]]))
+    want = sorted(zip((i for i, _ in rows), cut_lines([t for _, t in rows], 6), strict=True), key=repr)
+    # a row that is there twice is one document
+    df = spark.createDataFrame([*rows[::-1], rows[4]], "doc_id long, text string")
+    got = sorted(((r.doc_id, (r.text, r.deleted)) for r in linededup.dedup_lines(df, min_words=6).collect()), key=repr)
+    twice = next(w for r, w in zip(rows, cut_lines([t for _, t in rows], 6), strict=True) if r is rows[4])
+    assert got == sorted([*want, (rows[4][0], twice)], key=repr)
+
+
+def test_line_dedup_deletes_only_what_repeats(spark):
+    long = [" ".join(f"{c}{k}" for k in range(25)) for c in "abcdef"]
+    rows = [(1, "\n".join(long[:3])), (2, "\n".join([long[3], long[0]])), (2, "\n".join([long[4], long[5], "tail"])), (None, "\n".join([long[1], "x"])), (None, "y only")]
+    got = sorted(((r.doc_id, r.text, r.deleted) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, rows[0][1], 0), (2, long[3] + "\n", 1), (2, rows[2][1], 0), (None, "x", 1), (None, "y only", 0)], key=repr)
 
 
 def test_ppm_tables_equal_the_trie():
