@@ -9,8 +9,8 @@ at ``open_db`` above the floor and closes after ``hang`` frames below
 records hold a fixed-shape tensor of ``TILE`` x ``MELS`` quantised log-mels with
 the tile's time span.
 
-Each row's features depend on its own bytes alone, and are computed in blocks
-of whole tiles, so that memory doesn't follow the length of the text.
+Each row's features depend on its own bytes alone.  A task holds the signal of
+one row at a time, about 50 bytes for each of its text, and the media of 256.
 
 Defined results: a null or empty text is 192 blanks; repeated rows have equal
 media and features.
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .texts import others
+
 UNIT = 192
 RATE = 12_000
 UP, DOWN = 2, 3
@@ -196,7 +198,7 @@ def audio_columns(df: DataFrame, text_col: str = "text", levels: Levels = Levels
     Columns of those names in ``df`` are replaced.
     """
     names = ["media", "tensors", "spans", "frames"]
-    keep = [c for c in df.columns if c not in (*names, text_col)]
+    keep = others(df, *names, text_col)
     kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,13 +14,20 @@ reaches ``least`` holds b * least / (2 - least) of a template's bigrams or
 more; texts that hold fewer are left out, and the rest are few.  The best run
 begins with a bigram of the template, since others only lower it.
 
-The templates are a literal of the plan: their text is bounded by
-``TEMPLATE_BYTES``.  There is no join.  The exchanges are of the texts that
-hold a licence's bigrams, by text, and of what is found, by id and licence.
+Before any of that a text is left out that holds none of some words: those are
+chosen, from the longest, until fewer of a template's bigrams have none of them
+than a match needs.
+
+The templates are a literal of the plan, in parts of ``TEMPLATE_BYTES`` of text;
+more than one part costs a pass over the texts each, and a unit's best template
+is the best of all parts.  The exchanges are of the texts that hold a licence's
+bigrams, by text, and of what is found, by id and licence.
 
 Defined results: null and empty texts, and units of fewer than two words, match
-nothing; a unit's best template is reported, the first by name on a tie; blocks
-and wholes that equal a line or block are not reported again.  A text's best
+nothing; a unit's best template is reported, the first by name on a tie; a
+text's blocks are those of more than one line, if there are several, and the
+whole counts if it has a newline, so that one licence can be told by several
+units.  A text's best
 run for a licence is reported once, the first on a tie, with the number of its
 first word as ``at``, if no unit of that id reports the licence.
 """
@@ -28,10 +35,14 @@ first word as ``at``, if no unit of that id reports the licence.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
+#: Text of the templates that one pass compares.
 TEMPLATE_BYTES = 4 << 20
 
 #: Notices and short licences, by name.
@@ -80,24 +91,24 @@ def units(text: Column) -> Column:
 
 
 def runs(docs: DataFrame, known: list[Column], least: float) -> DataFrame:
-    """``id, kind, at, license, dice`` of the best run of words for each template that a run of ``docs(id, text)`` reaches ``least`` with."""
+    """``row, id, kind, at, license, dice`` of the best run of words for each template that a run of ``docs(row, id, text)`` reaches ``least`` with."""
     templates = F.array(*known)
     every = F.array_distinct(F.flatten(F.transform(templates, lambda t: t["pairs"])))
     # exploding an array of one keeps the planner from copying its expression to each use
-    each = docs.select("id", F.explode(F.array(words(F.col("text")))).alias("word"))
+    each = docs.select("row", "id", F.explode(F.array(words(F.col("text")))).alias("word"))
     pairs = F.zip_with("word", F.slice("word", F.lit(2), F.size("word")), lambda x, y: F.concat(x, F.lit(" "), y))
-    each = each.select("id", F.explode(F.array(F.filter(pairs, lambda p: p.isNotNull()))).alias("pairs"))
-    each = each.select("id", "pairs", F.explode(F.array(F.array_intersect("pairs", every))).alias("shared"))
+    each = each.select("row", "id", F.explode(F.array(F.filter(pairs, lambda p: p.isNotNull()))).alias("pairs"))
+    each = each.select("row", "id", "pairs", F.explode(F.array(F.array_intersect("pairs", every))).alias("shared"))
     hits = F.filter(templates, lambda t: F.size(F.array_intersect(t["pairs"], F.col("shared"))) >= t["low"])
     names = F.when(F.size("shared") > 0, F.transform(hits, lambda t: t["name"]))
-    held = each.select("id", "pairs", F.explode(F.array(names)).alias("names")).filter(F.size("names") > 0)
+    held = each.select("row", "id", "pairs", F.explode(F.array(names)).alias("names")).filter(F.size("names") > 0)
     # each bigram with the place of the one before that is equal
-    placed = held.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "names", F.posexplode("pairs").alias("pos", "pair"))
+    placed = held.select("row", "id", "names", F.posexplode("pairs").alias("pos", "pair"))
     before = F.coalesce(F.lag("pos").over(Window.partitionBy("row", "pair").orderBy("pos")), F.lit(-1))
     whole = placed.withColumn("before", before).groupBy("row").agg(F.first("id").alias("id"), F.first("names").alias("names"), F.array_sort(F.collect_list(F.struct("pos", "before", "pair"))).alias("seq"))
-    one = whole.select("id", "seq", F.explode(F.filter(templates, lambda t: F.array_contains(F.col("names"), t["name"]))).alias("t"))
+    one = whole.select("row", "id", "seq", F.explode(F.filter(templates, lambda t: F.array_contains(F.col("names"), t["name"]))).alias("t"))
     marked = F.transform("seq", lambda x: F.struct(x["pos"].alias("pos"), x["before"].alias("before"), F.array_contains(F.col("t.pairs"), x["pair"]).cast("int").alias("hit")))
-    one = one.select("id", F.col("t.name").alias("license"), F.size("t.pairs").alias("b"), F.explode(F.array(marked)).alias("seq"))
+    one = one.select("row", "id", F.col("t.name").alias("license"), F.size("t.pairs").alias("b"), F.explode(F.array(marked)).alias("seq"))
 
     def best_from(start: Column) -> Column:
         zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("dice"))
@@ -112,31 +123,71 @@ def runs(docs: DataFrame, known: list[Column], least: float) -> DataFrame:
         return F.struct((-F.aggregate(rest, zero, step, lambda acc: acc["dice"])).alias("minus"), start["pos"].alias("at"))
 
     best = F.array_min(F.transform(F.filter("seq", lambda x: x["hit"] > 0), best_from))
-    return one.select("id", "license", F.explode(F.array(best)).alias("best")).filter(F.col("best.minus") <= -least).select("id", F.lit("run").alias("kind"), F.col("best.at").alias("at"), "license", F.round(-F.col("best.minus"), 6).alias("dice"))
+    return one.select("row", "id", "license", F.explode(F.array(best)).alias("best")).filter(F.col("best.minus") <= -least).select("row", "id", F.lit("run").alias("kind"), F.col("best.at").alias("at"), "license", F.round(-F.col("best.minus"), 6).alias("dice"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """``id_col, kind, at, license, dice`` for each unit whose best template has a Dice coefficient of at least ``least``, and for the best run of each other licence."""
-    templates = TEMPLATES if templates is None else templates
-    if sum(len(t.encode()) for t in templates.values()) > TEMPLATE_BYTES:
-        raise ValueError(f"templates exceed {TEMPLATE_BYTES} bytes; scan with parts of them")
-    known = []
+def needed_words(pairs: list[str], low: float) -> list[str]:
+    """Words of which a text holds one at least if it holds ``low`` of the bigrams; the longest ones, as they are rarest."""
+    left, chosen = list(pairs), []
+    for word in sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (-len(w), w)):
+        if len(left) < low:
+            break
+        chosen.append(word)
+        left = [p for p in left if word not in p.split(" ")]
+    return chosen
+
+
+def template_parts(templates: dict[str, str], part_bytes: int) -> list[dict[str, str]]:
+    """The templates by name, in parts of at most ``part_bytes`` of text or one template."""
+    parts, size = [{}], 0
     for name in sorted(templates):
-        pairs = template_bigrams(templates[name])
+        more = len(templates[name].encode())
+        if parts[-1] and size + more > part_bytes:
+            parts.append({})
+            size = 0
+        parts[-1][name] = templates[name]
+        size += more
+    return parts
+
+
+def scan_part(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """``row, id, kind, at, license, dice`` of ``docs(row, id, text)``: each unit's best template, and each template's best run."""
+    known, some = [], set()
+    for name, text in templates.items():
+        pairs = template_bigrams(text)
         if pairs:
             low, high = bounds(len(pairs), least)
+            some |= set(needed_words(pairs, low))
             known.append(F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, pairs)).alias("pairs")))
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    each = docs.select("id", F.explode(units(F.col("text"))).alias("u"))
+    # a text without any of the words reaches no template, as a whole or in part
+    docs = docs.filter(reduce(Column.__or__, (F.contains(F.lower("text"), F.lit(w)) for w in sorted(some)), F.lit(False)))
+    if not known:
+        known.append(F.struct(F.lit("").alias("name"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.array(F.lit("")).alias("pairs")))
+    each = docs.select("row", "id", F.explode(units(F.col("text"))).alias("u"))
     # exploding an array of one keeps the planner from copying its expression to each use
-    each = each.select("id", "u.kind", "u.at", F.explode(F.array(words(F.col("u.text")))).alias("word"))
-    each = each.select("id", "kind", "at", F.explode(F.array(bigrams(F.col("word")))).alias("pairs"))
+    each = each.select("row", "id", "u.kind", "u.at", F.explode(F.array(words(F.col("u.text")))).alias("word"))
+    each = each.select("row", "id", "kind", "at", F.explode(F.array(bigrams(F.col("word")))).alias("pairs"))
     n = F.size("pairs")
     fitting = F.filter(F.array(*known), lambda t: (t["low"] <= n) & (n <= t["high"]))
     dice = lambda t: F.lit(2.0) * F.size(F.array_intersect(t["pairs"], F.col("pairs"))) / (n + F.size(t["pairs"]))
     judged = F.filter(F.transform(fitting, lambda t: F.struct((-dice(t)).alias("minus"), t["name"].alias("name"))), lambda m: m["minus"] <= -least)
     best = F.array_min(judged)
-    by_unit = each.filter(n > 0).select("id", "kind", "at", F.explode(F.array(best)).alias("best")).filter("best is not null").select("id", "kind", "at", F.col("best.name").alias("license"), F.round(-F.col("best.minus"), 6).alias("dice"))
-    found = by_unit.unionByName(runs(docs, known, least))
+    by_unit = each.filter(n > 0).select("row", "id", "kind", "at", F.explode(F.array(best)).alias("best")).filter("best is not null").select("row", "id", "kind", "at", F.col("best.name").alias("license"), F.round(-F.col("best.minus"), 6).alias("dice"))
+    return by_unit.unionByName(runs(docs, known, least))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8, part_bytes: int = TEMPLATE_BYTES) -> DataFrame:
+    """``id_col, kind, at, license, dice`` for each unit whose best template has a Dice coefficient of at least ``least``, and for the best run of each other licence."""
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = template_parts(TEMPLATES if templates is None else templates, part_bytes)
+    if len(parts) == 1:
+        found = scan_part(docs, parts[0], least)
+    else:
+        scratch = Scratch(df.sparkSession, "licenses")
+        docs = scratch.save(docs)  # so that each part numbers the rows alike
+        every = reduce(DataFrame.unionByName, [scratch.save(scan_part(docs, p, least)) for p in parts])
+        unit = ["row", "id", "kind", "at"]
+        best = every.filter("kind != 'run'").groupBy(*unit).agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("b"))
+        found = best.select(*unit, "b.license", (-F.col("b.minus")).alias("dice")).unionByName(every.filter("kind = 'run'"))
     told = F.max(F.col("kind") != "run").over(Window.partitionBy("id", "license"))
     return found.withColumn("told", told).filter((F.col("kind") != "run") | ~F.col("told")).select(F.col("id").alias(id_col), "kind", "at", "license", "dice")

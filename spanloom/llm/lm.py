@@ -29,9 +29,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,50 +42,19 @@ from pyspark.sql import types as T
 
 from ..functions.worker import once
 from ..sources.scratch import Scratch
+from .texts import others
 
 START, END, CODES, WIDTH = 256, 257, 257, 9
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-BLANK = np.zeros(256, bool)
-BLANK[[32, *range(9, 14)]] = True
-#: An odd multiplier for word hashes, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that a task looks at at once.
 BLOCK = 1 << 20
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, by doubling."""
-    kept = once("powers", dict)
-    if len(kept.get(base, ())) >= n:
-        return kept[base][:n]
-    out = kept[base] = np.ones(max(BLOCK + BLOCK // 4, n), np.uint64)
-    done, n, asked = 1, len(out), n
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
-    return out[:asked]
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word in order, index of its text) for A-Z lower-cased words between blanks."""
-    joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    blank = BLANK[joined]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    value = LOWER[joined].astype(np.uint64) + np.uint64(1)
-    total = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(value * powers(BASE, len(joined)), out=total[1:])
-    h = (total[end] - total[begin]) * powers(INVERSE, len(joined))[begin]
-    # the length tells apart sums that agree by their low bits
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (end - begin).astype(np.uint64)
-    h ^= h >> np.uint64(32)
-    starts = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return h, np.searchsorted(starts, begin, side="right") - 1
+    """(XXH64 of each word in order, index of its text) for A-Z lower-cased words between blanks."""
+    words = [t.lower().split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+    return h, np.repeat(np.arange(len(words)), sizes)
 
 
 def windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,13 +142,13 @@ class Index:
 class Model:
     """The tables of a trie shard: counts of (context, code) and of contexts at each order."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, zero: tuple[np.ndarray, np.ndarray] | None = None):
-        """``zero``: the order-0 codes and counts of the whole trie, where the keys are those of a shard."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, lower: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        """``lower``: keys and counts of the first orders in the whole trie, where ``keys`` are those of a shard."""
         self.order = order
         self.count, self.symbol, self.context, self.total, self.kinds, self.den, self.esc = [], [], [], [], [], [], []
         for k in range(order + 1):
             mask = np.uint64((1 << WIDTH * (k + 1)) - 1)
-            keys_k, n = zero if k == 0 and zero is not None else tally(keys & mask, counts)
+            keys_k, n = lower[k] if lower and k < len(lower) else tally(keys & mask, counts)
             ctx = keys_k >> np.uint64(WIDTH)
             at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
             total = np.add.reduceat(n, at) if len(at) else n
@@ -188,8 +160,8 @@ class Model:
             self.kinds.append(kinds)
             if k:
                 # what is left of the next shorter context once this one's symbols are excluded
-                lower = self.count[k - 1][self.symbol[k - 1].find(keys_k & np.uint64((1 << WIDTH * k) - 1))]
-                taken = np.add.reduceat(lower, at) if len(at) else lower
+                shorter = self.count[k - 1][self.symbol[k - 1].find(keys_k & np.uint64((1 << WIDTH * k) - 1))]
+                taken = np.add.reduceat(shorter, at) if len(at) else shorter
                 up = self.context[k - 1].find(ctx[at] & np.uint64((1 << WIDTH * (k - 1)) - 1))
                 self.esc.append((self.kinds[k - 1][up] - kinds) / 2)
                 self.den.append(self.total[k - 1][up] - taken)
@@ -267,7 +239,7 @@ class Trie:
 
 def adaptive_scores(df: DataFrame, text_col: str = "text", order: int = 4) -> DataFrame:
     """``df`` without its text, with ``score``: each text's log10 probability under a model that it alone teaches as it is read."""
-    keep = [c for c in df.columns if c not in ("score", text_col)]
+    keep = others(df, "score", text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,23 +290,64 @@ def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tally(got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.int64))
 
 
-def last_byte(key: Column) -> Column:
-    """The last context code of a packed key."""
-    return F.shiftright(key, WIDTH).bitwiseAND((1 << WIDTH) - 1)
-
-
-def trie_shards(trie: DataFrame, shard_entries: int) -> list[list[int]]:
-    """The last context codes of each shard; one code is never split."""
-    sizes = {r.last: r["count"] for r in trie.groupBy(last_byte(F.col("key")).alias("last")).count().collect()}
-    shards: list[list[int]] = []
-    room = 0
-    for code in sorted(sizes):
-        if not shards or sizes[code] > room:
-            shards.append([])
-            room = shard_entries
-        shards[-1].append(code)
-        room -= sizes[code]
-    return shards or [[]]
+@dataclass(frozen=True)
+class Shard:
+    """The contexts whose last ``depth`` codes are among ``ends``, and those that only end in one of ``parents``, which are of one code less, and in none of ``known``."""
+
+    depth: int
+    ends: tuple[int, ...] = ()
+    parents: tuple[int, ...] = ()
+    known: tuple[int, ...] = ()
+
+    def own(self, keys: np.ndarray) -> np.ndarray:
+        """Which packed keys belong to the shard."""
+        if not self.depth:
+            return np.ones(len(keys), bool)
+        last = lambda n: (keys >> np.uint64(WIDTH)) & np.uint64((1 << WIDTH * n) - 1)
+        among = lambda x, some: np.isin(x, np.array(some, np.uint64))
+        return among(last(self.depth), self.ends) | (among(last(self.depth - 1), self.parents) & ~among(last(self.depth), self.known))
+
+    def suffixes(self, n: int) -> list[int]:
+        """The last ``n`` codes, less than ``depth``, of all its contexts."""
+        return sorted({x & ((1 << WIDTH * n) - 1) for x in (*self.ends, *self.parents)})
+
+
+def ending(n: int) -> Column:
+    """The last ``n`` context codes of a packed key."""
+    return F.shiftright("key", WIDTH).bitwiseAND((1 << WIDTH * n) - 1)
+
+
+def trie_shards(trie: DataFrame, shard_entries: int, order: int) -> list[Shard]:
+    """Shards of at most ``shard_entries`` leaves, or of one whole context.  Only sizes come here, 257 at most for each ending that is too large."""
+    sizes = lambda df, n: {r.end: r["count"] for r in df.groupBy(ending(n).alias("end")).count().collect()}
+    level, parents, shards = sizes(trie, min(1, order)), [0], []
+    if sum(level.values()) <= shard_entries:
+        return [Shard(0)]
+    for depth in range(1, order + 1):
+        large = [e for e in level if level[e] > shard_entries and depth < order]
+        # contexts that no training text has go with the first of their depth
+        parts, room = [[]], shard_entries
+        for e in sorted(level.keys() - set(large)):
+            if level[e] > room and parts[-1]:
+                parts.append([])
+                room = shard_entries
+            parts[-1].append(e)
+            room -= level[e]
+        shards += [Shard(depth, tuple(p), *((tuple(parents), tuple(sorted(level))) if k == 0 else ())) for k, p in enumerate(parts)]
+        if not large:
+            break
+        parents, level = large, sizes(trie.filter(ending(depth).isin(large)), depth + 1)
+    return shards
+
+
+def shard_arrays(trie: DataFrame, shard: Shard) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """The leaves of a shard, and the whole trie's counts of the orders below its depth for the contexts it needs."""
+    leaves = trie.filter(ending(shard.depth).isin(list(shard.ends))) if shard.depth else trie
+    lower = []
+    for k in range(shard.depth):
+        some = trie.filter(ending(k).isin(shard.suffixes(k))) if k else trie
+        lower.append(arrays(some.groupBy(F.col("key").bitwiseAND((1 << WIDTH * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))))
+    return arrays(leaves), lower
 
 
 def score_corpus(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = 4, shard_entries: int = 6_000_000, head_words: int = 2_000_000) -> DataFrame:
@@ -350,18 +363,16 @@ def score_corpus(df: DataFrame, training: Column, id_col: str = "doc_id", text_c
     least = next((e for e in range(64) if sum(w for k, (w, _) in sizes.items() if k >= e) <= head_words), 64)
     whole = all(e >= least for e in sizes)
     spark = df.sparkSession
-    zero = arrays(trie.groupBy(F.col("key").bitwiseAND((1 << WIDTH) - 1).alias("key")).agg(F.sum("n").alias("n")))
     norm = math.log10(total + 0.5 * (distinct + 1)) if total else math.log10(0.5)
     head = spark.sparkContext.broadcast(arrays(words.filter(F.col("n") >= F.lit(2**least))))
-    shards = trie_shards(trie, shard_entries)
+    shards = trie_shards(trie, shard_entries, order)
+    if len(shards) > 1:
+        docs = scratch.save(docs)  # so that each pass numbers the rows alike
     scored = None
-    for k, codes in enumerate(shards):
-        leaves = trie if len(shards) == 1 else trie.filter(last_byte(F.col("key")).isin(codes))
-        if k == 0:
-            # with the contexts that no training text has
-            codes = sorted(set(range(1 << WIDTH)).difference(*shards[1:]))
-        shard = spark.sparkContext.broadcast((*arrays(leaves), codes if len(shards) > 1 else None))
-        part = scratch.save(score_pass(docs, order, head if k == 0 else None, shard, zero, norm, texts, whole))
+    for k, shard in enumerate(shards):
+        shared = spark.sparkContext.broadcast((*shard_arrays(trie, shard), shard))
+        part = scratch.save(score_pass(docs, order, head if k == 0 else None, shared, norm, texts, whole))
+        shared.destroy()
         scored = part if scored is None else scored.unionByName(part)
     # the first pass has the words; further ones only add their positions
     if len(shards) > 1:
@@ -378,7 +389,7 @@ def score_corpus(df: DataFrame, training: Column, id_col: str = "doc_id", text_c
     return scored.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score_pass(docs: DataFrame, order: int, head, shard, zero: tuple[np.ndarray, np.ndarray], norm: float, texts: int, whole: bool) -> DataFrame:
+def score_pass(docs: DataFrame, order: int, head, shared, norm: float, texts: int, whole: bool) -> DataFrame:
     """One pass over the texts for a trie shard; with ``head``, also the words: sums over known ones, and the hashes of the rest."""
     fields = [
         ("part", T.IntegerType()), ("row", T.LongType()), ("id", docs.schema["id"].dataType), ("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()),
@@ -386,12 +397,8 @@ def score_pass(docs: DataFrame, order: int, head, shard, zero: tuple[np.ndarray,
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, codes = shard.value
-        model, part, row = Model(keys, counts, order, zero), TaskContext.get().partitionId(), 0
-        mine = None
-        if codes is not None:
-            mine = np.zeros(1 << WIDTH, bool)
-            mine[codes] = True
+        leaves, lower, shard = shared.value
+        model, part, row = Model(*leaves, order, lower), TaskContext.get().partitionId(), 0
         if head is not None:
             index = Index(head.value[0])
             logs = np.log10(head.value[1] + 0.5) - norm
@@ -400,12 +407,8 @@ def score_pass(docs: DataFrame, order: int, head, shard, zero: tuple[np.ndarray,
             for first, data in groups(batch.column("text").to_pylist()):
                 n = len(data)
                 key, at = windows(data, order)
-                if mine is None:
-                    cost = model.score(key)
-                else:
-                    cost = np.zeros(len(key))
-                    own = np.flatnonzero(mine[((key >> np.uint64(WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)])
-                    cost[own] = model.score(key[own])
+                cost, own = np.zeros(len(key)), np.flatnonzero(shard.own(key))
+                cost[own] = model.score(key[own])
                 score = np.add.reduceat(cost, at)
                 cols = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch.column("id").slice(first, n), batch.column("train").slice(first, n)]
                 if head is None:

@@ -9,7 +9,8 @@ by counts and not one by one.  The plan is a list of (pattern, count) runs.
 
 A piece finds its place from its rank among the pieces of its length: its rank
 within the task that cut it, stored with it, plus the counts of earlier tasks.
-So no length is ever gathered in one task, and no piece is sorted.
+So no length is ever gathered in one task.  The counts are joined by task and
+length, a table of at most tasks x capacity rows.
 
 Defined results: a null text is empty and gives the end token alone; repeated
 rows are packed like any others; an empty table gives no rows.
@@ -50,6 +51,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in t): n for t, n in model["vocab"].items() if all(c in byte for c in t) and not (t.startswith("<|") and t.endswith("|>"))}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """The strings of a ``tokenizers`` JSON file that are one token wherever they stand in a text."""
+    if not path.endswith(".json"):
+        return {}
+    added = json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that take blanks or need word ends aren't read")
+    return {t["content"]: t["id"] for t in added}
+
+
 #: Fixed value: the byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,13 +68,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
+    The text is cut at the ``added`` strings first, which have ids of their own.
     A token never spans the blank before a word, so a text without a blank
     before other white space is encoded blank by blank, from a cache.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int] | None = None):
         import tiktoken
 
+        self.added = added or {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.unsafe = re.compile(r" \s").search
         self.words: dict[bytes, bytes] = {}
@@ -73,6 +88,12 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            # every second part is an added token
+            return b"".join(self.added[p].to_bytes(4, "little") if k % 2 else self.ordinary(p) for k, p in enumerate(self.cut(text)))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         if self.unsafe(text):
             return array("I", self.encode(text)).tobytes()
         first, *rest = text.encode("utf-8", "replace").split(b" ")
@@ -83,15 +104,16 @@ class Encoder:
         return array("I", self.encode(first.decode())).tobytes() + b"".join([get(w) or new(w) for w in rest])
 
 
-def pieces(df: DataFrame, ranks: dict[bytes, int], capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32, part, rank)``: the pieces of each text; rank is among those of its length in its task."""
-    shared, shared_key = df.sparkSession.sparkContext.broadcast(ranks), zlib.crc32(repr(sorted(ranks.items())).encode())
+    ranks, added = read_ranks(tokenizer), read_added(tokenizer)
+    shared, shared_key = df.sparkSession.sparkContext.broadcast((ranks, added)), zlib.crc32(repr((sorted(ranks.items()), added)).encode())
     schema = T.StructType(
         [T.StructField("id", df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")), T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = once(f"encoder{shared_key}", lambda: Encoder(shared.value)), TaskContext.get().partitionId()
+        encode, part = once(f"encoder{shared_key}", lambda: Encoder(*shared.value)), TaskContext.get().partitionId()
         end, seen = array("I", [end_id]).tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             row, piece, start, length, crc, rank = [], [], [], [], [], []
@@ -223,7 +245,7 @@ def locate(table: dict[int, np.ndarray], length: np.ndarray, rank: np.ndarray) -
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``."""
-    cut = Scratch(df.sparkSession, "packing").save(pieces(df, read_ranks(tokenizer), capacity, end_id, id_col, text_col))
+    cut = Scratch(df.sparkSession, "packing").save(pieces(df, tokenizer, capacity, end_id, id_col, text_col))
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))

@@ -7,10 +7,13 @@ they learn how far those can be trusted on texts that were not trained on.
 
 The models are fitted on the driver from at most ``sample`` labelled rows,
 taken by hash of their id; each sampled text is sent there as the 64-bit
-hashes of its distinct words.  Scoring covers all rows and whole texts.
+hashes of its distinct words.  A link looks at the ``features`` words of the
+sample whose frequency differs most between its classes, by ``LEAST_SCORE``
+standard deviations or more.  Scoring covers all rows and whole texts.
 
 Defined results: a null or empty text has no words and gets the bias alone;
-labels that are null are left out; a category with one class only has that
+labels that are null are left out; of several
+texts with one labelled id, that with the least sum of word hashes is sampled; a category with one class only has that
 class's probability; without labelled rows each probability is zero.
 """
 
@@ -154,9 +157,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
                 found = Words.of(part)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(found.owner, minlength=found.n))])
                 some = batch.slice(first, found.n)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.word.view(np.int64))), some.column(0), *some.columns[2:]], names=["words", "k", *names])
-
-    rows = texts.mapInArrow(run, "words array<long>, k long, " + ", ".join(f"{n} int" for n in names)).toArrow().combine_chunks()
+                total = np.zeros(found.n, np.uint64)
+                np.add.at(total, found.owner, found.word)
+                words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.word.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([words, pa.array(total.view(np.int64)), some.column(0), *some.columns[2:]], names=["words", "total", "k", *names])
+
+    each = texts.mapInArrow(run, "words array<long>, total long, k long, " + ", ".join(f"{n} int" for n in names))
+    # an id in many rows is one row of the sample
+    rows = each.groupBy("k", *names).agg(F.min_by("words", "total").alias("words")).toArrow().combine_chunks()
     flat = rows.column("words").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     sizes = np.diff(flat.offsets.to_numpy())

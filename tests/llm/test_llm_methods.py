@@ -4,6 +4,7 @@ import io
 import itertools
 import math
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -154,9 +155,10 @@ def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.Encoder(packing.read_ranks(public_tokenizers.path("byte_bpe_50k.json")))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = packing.Encoder(packing.read_ranks(path), packing.read_added(path))
     assert packing.PATTERN == public_tokenizers.PATTERN
-    for text in ("", " ", "a  b", "a \nb", "x\n y", "don't I'll\n\n  so", " lead", "trail ", "é\u00a0ü \u00a0z", "日本語 text\t tab", "it's  2 x2\r\n.", "a\u2028 b"):
+    for text in ("", " ", "a  b", "a \nb", "x\n y", "don't I'll\n\n  so", " lead", "trail ", "é\u00a0ü \u00a0z", "日本語 text\t tab", "it's  2 x2\r\n.", "a\u2028 b", "<|endoftext|>", "a <|endoftext|> b", " <|endoftext|><|endoftext|>\n", "<|endoftext |>"):
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
@@ -279,13 +281,33 @@ def test_ledger_scans_only_unseen(spark):
     two = spark.createDataFrame([(5, key), (6, "AKIA" + "A" * 16)], "path long, text string")
     found, more = secrets.scan(two, ledger=ledger)
     assert more.count() == 1 and sorted(r.path for r in found.collect() if r.spans) == [5, 6]
-    assert secrets.scan(two, ledger=ledger, version=secrets.RULE_VERSION + 1)[1].count() == 2
+    assert secrets.scan(two, ledger=ledger, rules=secrets.RULES[:2])[1].count() == 2
+    twice, more = secrets.scan(two, ledger=ledger.unionByName(ledger))
+    assert more.count() == 1 and sorted(map(repr, twice.collect())) == sorted(map(repr, found.collect()))
+
+
+def test_ledger_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, "token = abcdef0123456789"), (2, "none"), (3, "none")], "path long, text string")
+    folder = str(tmp_path / "ledger")
+    first = secrets.scan_with_ledger(df, folder).collect()
+    assert spark.read.parquet(folder).count() == 2
+    assert sorted(map(repr, secrets.scan_with_ledger(df, folder).collect())) == sorted(map(repr, first))
+    assert spark.read.parquet(folder).count() == 2
+
+
+def test_many_matches_in_one_text(spark):
+    """Places are sums of lengths: 20,000 matches, with characters outside the basic plane between them."""
+    text = "\U0001f600 ".join(f"{k:016x}" for k in range(20_000))
+    began = time.perf_counter()
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "path long, text string"))[0].collect()
+    assert [(s.start, s.end) for s in row.spans] == [(18 * k, 18 * k + 16) for k in range(20_000)]
+    assert time.perf_counter() - began < 20
 
 
 def test_url_trie_equals_join(spark):
-    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("example.com", "", "block"), ("a.b", "/x/y", "block"), ("a.b", "/x/y/", "allow"), ("", "/q", "block")]
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("example.com", "", "block"), ("a.b", "/x/y", "block"), ("a.b", "/x/y/", "allow"), ("", "/q", "block"), ("d.e", "/t", "block"), ("d.e", "/t", "allow"), ("d.f", "/t", "allow"), ("d.f", "/t", "block")]
     rows = [
-        (k, u) for k, u in enumerate([None, "", "nourl", "http://", "http://Example.COM", "https://x.example.com/en/77?q#f", "ftp://com/en/", "http://notexample.com/en/7", "http://a.b/x/y", "http://z.a.b/x/y/z", "http://a.b/x/yz?", "x://h#/en/", "http://b/x/y", "a://b://c/d"])
+        (k, u) for k, u in enumerate([None, "", "nourl", "http://", "http://Example.COM", "https://x.example.com/en/77?q#f", "ftp://com/en/", "http://notexample.com/en/7", "http://a.b/x/y", "http://z.a.b/x/y/z", "http://a.b/x/yz?", "x://h#/en/", "http://b/x/y", "a://b://c/d", "http://d.e/t", "http://d.f/tt"])
     ]
     df = spark.createDataFrame(rows, "page_id int, url string")
     got = urls.judge(df, rules)
@@ -294,6 +316,7 @@ def test_url_trie_equals_join(spark):
     a = {r.page_id: r for r in got.collect()}
     assert {k: (r.rule, r.verdict) for k, r in a.items()} == {r.page_id: (r.rule, r.verdict) for r in join.collect()}
     assert (a[5].host, a[5].path, a[5].rule, a[5].verdict) == ("x.example.com", "/en/77", "example.com/en/7", "allow")
+    assert a[14].verdict == a[15].verdict == "block"
     assert a[4].rule == "example.com" and a[9].rule == "a.b/x/y/" and a[10].rule == "a.b/x/y" and a[0].host == "" and a[11].path == ""
 
 
@@ -304,6 +327,14 @@ def test_dice_bounds():
             assert low - 1e-9 <= a <= high + 1e-9
 
 
+def test_needed_words():
+    for text in licenses.TEMPLATES.values():
+        pairs = licenses.template_bigrams(text)
+        low = licenses.bounds(len(pairs), 0.8)[0]
+        some = licenses.needed_words(pairs, low)
+        assert sum(not set(p.split(" ")) & set(some) for p in pairs) < low
+
+
 def test_full_licence_is_found(spark):
     body = licenses.TEMPLATES["MIT-text"].replace("Software", "software").replace(". ", ".\n")
     df = spark.createDataFrame([(1, body), (2, "print(1)\n\n" + body + "\n\nprint(2)"), (3, "a licence of no kind"), (4, None), (5, "")], "doc_id long, text string")
@@ -323,6 +354,8 @@ def test_licences_in_published_layout(spark):
     got = {(r.doc_id, r.license): (r.kind, r.at, r.dice) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(1, "MIT"), (2, "MIT-text"), (3, "GPL-3.0-header"), (4, "Apache-2.0-header"), (None, "all-rights-reserved"), (6, "MIT")} <= set(got)
     assert not any(i == 5 for i, _ in got) and got[1, "MIT"] == ("run", 400, 1.0) and got[6, "MIT"][0] == "line"
+    parts = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=500).collect()
+    assert {(r.doc_id, r.license): (r.kind, r.at, r.dice) for r in parts} == got and len(parts) == len(got)
     assert all(got[k][0] == "run" and got[k][2] > 0.95 for k in ((2, "MIT-text"), (3, "GPL-3.0-header"), (4, "Apache-2.0-header")))
 
 
