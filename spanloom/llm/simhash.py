@@ -5,7 +5,7 @@ shingles.  Fingerprints at most ``radius`` bits apart are linked.  The search
 runs in *shards*: rows that share a shard key.  With :func:`band_keys` the
 keys are the values of block combinations of the fingerprint, so that by the
 pigeonhole principle any two fingerprints within the radius share a shard and
-no link is lost.  Each shard holds BK-trees of at most ``tree_nodes`` nodes on
+no link is lost; the more rows, the more and longer keys.  Each shard holds BK-trees of at most ``tree_nodes`` nodes on
 average; a hot shard has several, and each tree is sent to every block of the
 shard's members, which follow only the edges within the radius.  Inside such
 a task links are united at once, and at most one row for each member leaves.
@@ -86,6 +86,11 @@ def band_masks(bits: int, radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(one, blocks - radius)]
 
 
+def enough_blocks(rows: int, radius: int, share: int = 32) -> int:
+    """The fewest blocks whose shards have no more than about ``share`` unlike fingerprints, were those spread evenly."""
+    return next((b for b in range(radius + 1, 64) if rows <= share << 64 * (b - radius) // b), 64)
+
+
 def band_keys(items: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
     """``(fp, key)`` for 64-bit fingerprints: one shard key for each mask of :func:`band_masks`."""
     masks = band_masks(64, radius, blocks or radius + 1)
@@ -290,6 +295,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``(id_col, fingerprint, component_id)``: each row's fingerprint in hex and the least id in its linked group."""
     scratch = Scratch(df.sparkSession, "simhash")
     prints = scratch.save(fingerprints(df, id_col, text_col, width))
+    blocks = blocks or enough_blocks(prints.count(), radius)
     groups = group_ids(prints, lambda items: band_keys(items, radius, blocks), radius, tree_nodes, scratch)
     return prints.join(groups, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 

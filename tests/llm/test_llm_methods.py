@@ -38,6 +38,10 @@ def test_band_masks_lose_no_pair():
             assert any(a & m == b & m for m in masks)
 
 
+def test_blocks_follow_the_rows():
+    assert [simhash.enough_blocks(n, 2) for n in (0, 10**6, 10**8, 10**10, 10**12, 10**13)] == [3, 3, 4, 4, 5, 6]
+
+
 def test_hot_shard_is_split_without_loss(spark):
     """All fingerprints in one shard, trees of few nodes: the same groups as by all pairs."""
     rng = np.random.default_rng(5)

@@ -136,6 +136,36 @@ def test_op4_finds_whole_and_edited_copies(spark):
         assert all(not got[k] for k in (3, 4, 5, 6))
 
 
+def test_op4_against_all_alignments(spark, sf, docs):
+    """Every text with every item: what reaches the least similarity by alignment alone is found, and nothing else."""
+    from spanloom.llm import decontaminate
+
+    rng = __import__("random").Random(4)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:40]
+    edited = [" ".join(w if rng.random() > k / 60 else f"new{rng.random()}" for w in items[k][1].split()) for k in range(20)]
+    texts = [t for _, t in docs[:30]] + [f"{docs[k][1][:300]} {t} {docs[k][1][:200]}" for k, t in enumerate(edited)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, x.item): x.similarity for r in decontaminate.with_leaks(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=4000).collect() for x in r.leaks}
+    want = {}
+    for i, text in items:
+        seeds = decontaminate.Seeds([(i, text)], 3)
+        for k, t in enumerate(texts):
+            ids = seeds.hits([t.encode()])[0]
+            s = decontaminate.align(ids, seeds.items[0][1]) / (2 * len(seeds.items[0][1]))
+            if s >= 0.5:
+                want[k, i] = s
+    assert len(want) >= 15 and got == want
+
+
+def test_op4_finds_every_fourth_word_changed(spark):
+    from spanloom.llm import decontaminate
+
+    words = [f"word{k}" for k in range(40)]
+    d = spark.createDataFrame([(1, " ".join("new" if k % 4 == 3 else w for k, w in enumerate(words)))], "doc_id long, text string")
+    (row,) = decontaminate.with_leaks(d, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()
+    assert [x.item for x in row.leaks] == [7]
+
+
 def test_op4_finds_edited_copies_however_many(spark):
     from spanloom.llm import decontaminate
 
