@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import fold_groups
 
 #: The signs that end a sentence.
 ENDINGS = (".", "!", "?", "؟", "،", "؛", "…")
@@ -51,12 +53,8 @@ def fold_cues(words: Iterable[tuple[float, float, str]], limits: CueLimits) -> l
 def build_cues(words: DataFrame, limits: CueLimits, key: str = "job", order: tuple[str, ...] = ("segment_index", "word_index"), start: str = "word_start", end: str = "word_end", text: str = "word") -> DataFrame:
     """``(key, cue_index, start, end, text)``: cues cross segments; one exchange on the key."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        got = fold_cues(zip(pdf[start].tolist(), pdf[end].tolist(), pdf[text].tolist(), strict=True), limits)
-        return pd.DataFrame({key: pdf[key].iloc[0], "cue_index": range(len(got)), "start": [c[0] for c in got], "end": [c[1] for c in got], "text": [c[2] for c in got]})
-
-    return words.select(key, *order, start, end, text).groupBy(key).applyInPandas(run, f"{key} {dict(words.dtypes)[key]}, cue_index long, start double, end double, text string")
+    fold = lambda s, e, w: [(k, *cue) for k, cue in enumerate(fold_cues(zip(s, e, w, strict=True), limits))]
+    return fold_groups(words, key, list(order), [start, end, text], fold, [("cue_index", T.LongType()), ("start", T.DoubleType()), ("end", T.DoubleType()), ("text", T.StringType())])
 
 
 def extend_cues(cues: DataFrame, media: Column, limits: CueLimits, key: str = "job") -> DataFrame:

@@ -11,6 +11,8 @@ LEAST_TOKENS, REPEATS, LEAST_PERIOD, MOST_PERIOD = 96, 4, 8, 32
 #: Parts of messages that tell a memory failure, and a failure of the device.
 OOM_MARKERS = ("out of memory", "cannot allocate memory", "cublas_status_alloc_failed", "cuda error: memory allocation", "cuda_error_memory_allocation", "cudaerrormemoryallocation", "cudnn_status_alloc_failed", "defaultcpuallocator")
 FATAL_MARKERS = ("cublas_status", "cuda error", "cudnn_status", "device-side assert", "driver shutting down", "hip error", "illegal memory access", "mps backend failed", "unspecified launch failure")
+#: Exception types that tell a memory failure.
+OOM_TYPES = ("MemoryError", "OutOfMemoryError")
 #: Exception types that tell a fault of the program.
 FATAL_TYPES = ("AssertionError", "AttributeError", "ImportError", "IndexError", "KeyError", "NotImplementedError", "TypeError")
 
@@ -61,7 +63,7 @@ def reassemble(parts: DataFrame, job: str, index: str, text: str, expected: str)
 def failure_class(kind: Column, message: Column) -> Column:
     """oom, fatal or error; memory failures are told first."""
     has = lambda marks: F.lower(message).rlike("|".join(marks))
-    return F.when(has(OOM_MARKERS), "oom").when(kind.isin(*FATAL_TYPES) | has(FATAL_MARKERS), "fatal").otherwise("error")
+    return F.when(kind.isin(*OOM_TYPES) | has(OOM_MARKERS), "oom").when(kind.isin(*FATAL_TYPES) | has(FATAL_MARKERS), "fatal").otherwise("error")
 
 
 def failure_fingerprint(kind: Column, message: Column) -> Column:

@@ -12,7 +12,8 @@ def test_query(spark, sf, name):
     if name in driver.ORACLE_SQL:
         assert spark_rows(df) == oracle_rows(driver.ORACLE_SQL[name], sf)
     else:
-        assert df.count() >= 0
+        # those have tests of their own, by these names
+        assert len(df.columns) > 1 and any(name in f for f in globals() if f.startswith("test_"))
 
 
 def test_text_normalize_takes_all_items(spark, tmp_path):
@@ -22,6 +23,47 @@ def test_text_normalize_takes_all_items(spark, tmp_path):
     assert got == {1: "it's a well-known test isn't it", 2: "a b c d", 3: "plain words of them", 4: "quoted don't", 5: "no digit x2", 6: None}
 
 
+def test_text_normalize_against_plain_steps(spark, sf):
+    import re
+    import unicodedata
+
+    def plain(t):
+        t = re.sub(r"\([^)]*\d[^)]*\)", " ", unicodedata.normalize("NFKC", t).lower())
+        t = re.sub(r"(\S+)[\u201b\u2019\u2018](\S+)", r"\1'\2", re.sub("&lt;|&gt;|&nbsp", "", t))
+        t = "".join(" " if unicodedata.category(c)[0] in "PS" and c not in "'-" else c for c in t)
+        return " ".join(w for w in t.split() if not re.fullmatch("[0-9]+", w))
+
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    got = {r.item_id: r.norm for r in driver.QUERIES["text_normalize"](spark, sf).collect()}
+    assert got == {r.item_id: plain(r.text) for r in rows}
+
+
+def test_vad_hysteresis_limited_against_plain(spark, sf):
+    from test_intervals import plain_hysteresis
+
+    from spanloom.operators import intervals
+    from spanloom.sources.domain import frames
+
+    h = intervals.Hysteresis(max_speech=2 * intervals.SAMPLE_RATE, min_silence=4800, min_speech=8000)
+    prob = {}
+    for r in sorted(frames(spark, sf).collect(), key=lambda r: (r.job, r.frame)):
+        prob.setdefault(r.job, []).append(r.prob)
+    want = set()
+    for job, p in prob.items():
+        spans = [tuple(x) for x in plain_hysteresis(p, 512 * len(p), h)]
+        want |= {(job, k, *s) for k, s in enumerate(intervals.padded(spans, 512 * len(p), h.pad))}
+    assert {tuple(r) for r in driver.QUERIES["vad_hysteresis_limited"](spark, sf).collect()} == want
+
+
+def test_lock_offset_vector(spark, sf):
+    import hashlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(50).collect()}
+    got = {r.doc_id: r.lock_offset for r in driver.QUERIES["content_sha256"](spark, sf).collect()}
+    for i, t in texts.items():
+        assert got[i] == int.from_bytes(hashlib.sha256(t.encode()).digest()[:8]) % (2**63 - 2) + 1
+
+
 def test_wer_pairs_counts_whole_turns(spark):
     """Every pair of turns against a plain edit-distance table over all words; some turns are far longer than 400 characters."""
     from spanloom.operators.stats import edit_counts
