@@ -105,8 +105,8 @@ def _edit_group(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
 def word_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """``pairs`` with ``units, substitutions, deletions, insertions``, over words."""
 
-    @F.pandas_udf("units long, substitutions long, deletions long, insertions long", F.PandasUDFType.SCALAR)
-    def count(ref, hyp):
+    @F.pandas_udf("units long, substitutions long, deletions long, insertions long")
+    def count(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
         words = [((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp, strict=True)]
         out = pd.DataFrame(edit_counts_of(words), columns=["substitutions", "deletions", "insertions"])
         out.insert(0, "units", [len(r) for r, _ in words])

@@ -18,9 +18,31 @@ class OptionError(ValueError):
     """An option, or two together, that can't be used."""
 
 
-def _require(ok: bool, message: str) -> None:
-    if not ok:
-        raise OptionError(message)
+#: What an option's value has to be: a choice, or a kind of number.
+CHOICES = {"vad": ("silero", "auditok", "none"), "alignment": ("word", "segment", "none"), "truncation_policy": ("retry", "warn"), "existing": ("error", "skip", "overwrite")}
+KINDS = {
+    "text_only vad_merge": ("true or false", lambda v: isinstance(v, bool)),
+    "min_silence_ms speech_pad_ms batch_size max_new_tokens max_retry_tokens max_chars": ("a whole number", lambda v: isinstance(v, int) and not isinstance(v, bool)),
+    "min_dur max_dur max_silence energy_threshold vad_threshold max_cue_dur max_gap": ("a finite number", lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)),
+}
+#: (mode that a rule holds in, what must hold there, what to say if it doesn't); options of other modes are left alone.
+RULES = (
+    ("always", lambda o: o.max_dur > 0, "max_dur is zero or less"),
+    ("always", lambda o: o.batch_size >= 1, "batch_size is under 1"),
+    ("always", lambda o: 1 <= o.max_new_tokens <= o.max_retry_tokens, "max_new_tokens is not from 1 to max_retry_tokens"),
+    ("vad silero", lambda o: 0 <= o.vad_threshold <= 1, "vad_threshold is no probability"),
+    ("vad silero", lambda o: o.min_silence_ms >= 0 and o.speech_pad_ms >= 0, "min_silence_ms or speech_pad_ms is negative"),
+    ("vad silero", lambda o: 0 <= o.min_dur <= o.max_dur, "min_dur is not from 0 to max_dur"),
+    ("vad auditok", lambda o: 0 < o.min_dur <= o.max_dur, "min_dur is not over 0 and up to max_dur"),
+    ("vad auditok", lambda o: 0 <= o.max_silence < o.max_dur, "max_silence is not from 0 to below max_dur"),
+    ("vad auditok", lambda o: o.energy_threshold >= 0, "energy_threshold is negative"),
+    ("vad auditok", lambda o: not o.vad_merge, "vad_merge is for vad silero"),
+    ("vad none", lambda o: o.max_dur >= 1, "windows without vad last a second at least"),
+    ("vad none", lambda o: not o.vad_merge, "vad_merge is for vad silero"),
+    ("cues", lambda o: o.max_chars > 0 and o.max_cue_dur > 0, "max_chars or max_cue_dur is zero or less"),
+    ("cues", lambda o: o.max_gap >= 0, "max_gap is negative"),
+    ("plain text", lambda o: o.formats == ("txt",), "a run without timing writes txt alone"),
+)
 
 
 @dataclass(frozen=True)
@@ -52,36 +74,24 @@ class Options:
     existing: str = "error"
 
     def __post_init__(self) -> None:
-        for name, choices in (("vad", ("silero", "auditok", "none")), ("alignment", ("word", "segment", "none")), ("truncation_policy", ("retry", "warn")), ("existing", ("error", "skip", "overwrite"))):
-            _require(getattr(self, name) in choices, f"{name} must be one of: {', '.join(choices)}")
-        for name in ("text_only", "vad_merge"):
-            _require(isinstance(getattr(self, name), bool), f"{name} must be a boolean")
-        for name in ("min_silence_ms", "speech_pad_ms", "batch_size", "max_new_tokens", "max_retry_tokens", "max_chars"):
-            _require(isinstance(getattr(self, name), int) and not isinstance(getattr(self, name), bool), f"{name} must be an integer")
-        reals = ("min_dur", "max_dur", "max_silence", "energy_threshold", "vad_threshold", "max_cue_dur", "max_gap")
-        for name in reals:
-            value = getattr(self, name)
-            _require(isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value), f"{name} must be a finite number")
-        _require(not (self.text_only and self.alignment == "word"), "text_only conflicts with alignment word")
+        faults = [f"{name} is none of {', '.join(some)}" for name, some in CHOICES.items() if getattr(self, name) not in some]
+        faults += [f"{name} is not {what}" for names, (what, fits) in KINDS.items() for name in names.split() if not fits(getattr(self, name))]
+        if self.text_only and self.alignment == "word":
+            faults.append("text_only leaves no words to align")
+        self._raise(faults)
         if self.text_only:
             object.__setattr__(self, "alignment", "none")
-        text = self.alignment == "none"
-        formats = tuple(dict.fromkeys(self.formats)) if self.formats is not None else ("txt",) if text else ("txt", "srt", "vtt")
-        _require(bool(formats), "formats needs at least one format")
-        _require(set(formats) <= set(FORMATS), f"unsupported formats: {', '.join(sorted(set(formats) - set(FORMATS)))}")
-        _require(not text or formats == ("txt",), "plain-text runs give txt only")
-        object.__setattr__(self, "formats", formats)
-        _require(self.max_dur > 0, "max_dur must be positive")
-        _require(self.vad == "none" or 0 <= self.min_dur <= self.max_dur, "min_dur must be from 0 to max_dur")
-        _require(self.vad != "none" or self.max_dur >= 1, "vad none needs a max_dur of a second or more")
-        _require(self.vad != "silero" or 0 <= self.vad_threshold <= 1, "vad_threshold must be between 0 and 1")
-        _require(self.vad != "silero" or min(self.min_silence_ms, self.speech_pad_ms) >= 0, "silences and padding can't be negative")
-        _require(self.vad != "auditok" or (self.max_silence >= 0 and self.energy_threshold >= 0), "energy thresholds can't be negative")
-        _require(self.vad != "auditok" or (self.min_dur > 0 and self.max_silence < self.max_dur), "energy segmentation needs min_dur over 0 and max_silence under max_dur")
-        _require(not self.vad_merge or self.vad == "silero", "vad_merge needs vad silero")
-        _require(self.batch_size > 0 and self.max_new_tokens > 0, "batch_size and max_new_tokens must be positive")
-        _require(self.max_retry_tokens >= self.max_new_tokens, "max_retry_tokens must be at least max_new_tokens")
-        _require(text or (self.max_chars > 0 and self.max_cue_dur > 0 and self.max_gap >= 0), "cue limits must be positive")
+        plain = self.alignment == "none"
+        formats = self.formats if self.formats is not None else FORMATS[: 1 if plain else 3]
+        object.__setattr__(self, "formats", tuple(dict.fromkeys(formats)))
+        faults = [f"there is no format {f}" for f in sorted(set(self.formats) - set(FORMATS))] + ([] if self.formats else ["no format is given"])
+        modes = {"always", f"vad {self.vad}", "plain text" if plain else "cues"}
+        self._raise(faults + [said for mode, holds, said in RULES if mode in modes and not holds(self)])
+
+    @staticmethod
+    def _raise(faults: list[str]) -> None:
+        if faults:
+            raise OptionError("; ".join(faults))
 
     def hysteresis(self) -> Hysteresis:
         ms = SAMPLE_RATE / 1000
