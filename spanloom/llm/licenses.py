@@ -15,8 +15,7 @@ more; texts that hold fewer are left out, and the rest are few.  The best run
 begins with a bigram of the template, since others only lower it.
 
 Before any of that a text is left out that holds none of some words: those are
-chosen, from the longest, until fewer of a template's bigrams have none of them
-than a match needs.
+chosen until fewer of a template's bigrams have none of them than a match needs.
 
 The templates are a literal of the plan, in parts of ``TEMPLATE_BYTES`` of text;
 more than one part costs a pass over the texts each, and a unit's best template
@@ -126,14 +125,19 @@ def runs(docs: DataFrame, known: list[Column], least: float) -> DataFrame:
     return one.select("row", "id", "license", F.explode(F.array(best)).alias("best")).filter(F.col("best.minus") <= -least).select("row", "id", F.lit("run").alias("kind"), F.col("best.at").alias("at"), "license", F.round(-F.col("best.minus"), 6).alias("dice"))
 
 
-def needed_words(pairs: list[str], low: float) -> list[str]:
-    """Words of which a text holds one at least if it holds ``low`` of the bigrams; the longest ones, as they are rarest."""
-    left, chosen = list(pairs), []
-    for word in sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (-len(w), w)):
-        if len(left) < low:
-            break
-        chosen.append(word)
-        left = [p for p in left if word not in p.split(" ")]
+def needed_words(pairs: list[str], low: float, known: set[str] = frozenset(), rare: int = 6) -> set[str]:
+    """Words, besides the known ones, of which a text holds one at least if it holds ``low`` of the bigrams.
+
+    Of words of ``rare`` letters or more, which few texts hold, those of the most
+    bigrams; then the longest of the rest.
+    """
+    left, chosen = [set(p.split(" ")) for p in pairs], set()
+    left = [p for p in left if not p & known]
+    while len(left) >= low:
+        words = sorted(set().union(*left))
+        word = max(words, key=lambda w: (len(w) >= rare, sum(w in p for p in left) if len(w) >= rare else 0, len(w)))
+        chosen.add(word)
+        left = [p for p in left if word not in p]
     return chosen
 
 
@@ -150,17 +154,19 @@ def template_parts(templates: dict[str, str], part_bytes: int) -> list[dict[str,
     return parts
 
 
-def scan_part(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+def scan_part(docs: DataFrame, templates: dict[str, str], least: float, scratch: Scratch) -> DataFrame:
     """``row, id, kind, at, license, dice`` of ``docs(row, id, text)``: each unit's best template, and each template's best run."""
     known, some = [], set()
     for name, text in templates.items():
         pairs = template_bigrams(text)
         if pairs:
             low, high = bounds(len(pairs), least)
-            some |= set(needed_words(pairs, low))
+            some |= needed_words(pairs, low, some)
             known.append(F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, pairs)).alias("pairs")))
     # a text without any of the words reaches no template, as a whole or in part
-    docs = docs.filter(reduce(Column.__or__, (F.contains(F.lower("text"), F.lit(w)) for w in sorted(some)), F.lit(False)))
+    docs = docs.select("*", F.explode(F.array(F.lower("text"))).alias("lower"))
+    docs = docs.filter(reduce(Column.__or__, (F.contains("lower", F.lit(w)) for w in sorted(some)), F.lit(False))).drop("lower")
+    docs = scratch.save(docs)  # few, and read for units and for runs
     if not known:
         known.append(F.struct(F.lit("").alias("name"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.array(F.lit("")).alias("pairs")))
     each = docs.select("row", "id", F.explode(units(F.col("text"))).alias("u"))
@@ -179,13 +185,13 @@ def scan_part(docs: DataFrame, templates: dict[str, str], least: float) -> DataF
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8, part_bytes: int = TEMPLATE_BYTES) -> DataFrame:
     """``id_col, kind, at, license, dice`` for each unit whose best template has a Dice coefficient of at least ``least``, and for the best run of each other licence."""
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    scratch = Scratch(df.sparkSession, "licenses")
     parts = template_parts(TEMPLATES if templates is None else templates, part_bytes)
     if len(parts) == 1:
-        found = scan_part(docs, parts[0], least)
+        found = scan_part(docs, parts[0], least, scratch)
     else:
-        scratch = Scratch(df.sparkSession, "licenses")
         docs = scratch.save(docs)  # so that each part numbers the rows alike
-        every = reduce(DataFrame.unionByName, [scratch.save(scan_part(docs, p, least)) for p in parts])
+        every = reduce(DataFrame.unionByName, [scratch.save(scan_part(docs, p, least, scratch)) for p in parts])
         unit = ["row", "id", "kind", "at"]
         best = every.filter("kind != 'run'").groupBy(*unit).agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("b"))
         found = best.select(*unit, "b.license", (-F.col("b.minus")).alias("dice")).unionByName(every.filter("kind = 'run'"))

@@ -336,7 +336,7 @@ def test_needed_words():
         pairs = licenses.template_bigrams(text)
         low = licenses.bounds(len(pairs), 0.8)[0]
         some = licenses.needed_words(pairs, low)
-        assert sum(not set(p.split(" ")) & set(some) for p in pairs) < low
+        assert sum(not set(p.split(" ")) & some for p in pairs) < low
 
 
 def test_full_licence_is_found(spark):
