@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 Run = tuple[int, int, int]
+Word = tuple[str, float, float, str]
+#: Scores (frames x labels, the star last) of a text's stretch of sound.
+Scores = Callable[[str, float, float], np.ndarray]
 
 
 def best_path(scores: np.ndarray, targets: list[int], blank: int = 0) -> np.ndarray:
@@ -34,7 +42,7 @@ def best_path(scores: np.ndarray, targets: list[int], blank: int = 0) -> np.ndar
     path = np.empty(frames, np.int64)
     for t in range(frames - 1, -1, -1):
         path[t] = labels[at]
-        at -= back[t, at]
+        at -= int(back[t, at])
     return path
 
 
@@ -92,3 +100,58 @@ def stitched(samples: int, outputs: list[np.ndarray], window: int, context: int,
     extra = len(outputs) * window * ratio - samples
     core = core[: len(core) - extra // ratio]
     return np.concatenate([core, np.zeros((len(core), 1), core.dtype)], axis=1)
+
+
+def vocabulary(labels: dict[str, int], columns: int, blanks: tuple[str, ...] = ("<blank>", "<pad>", "[PAD]", "|")) -> tuple[dict[str, int], dict[int, str], int]:
+    """(label to column, column to label, blank's column): lower-cased, with the star as the last column."""
+    lower = {k.lower(): v for k, v in labels.items()} | {"<star>": columns - 1}
+    blank = next((lower[b.lower()] for b in blanks if b.lower() in lower), 0)
+    return lower, {v: k for k, v in lower.items()}, blank
+
+
+def plain_tokens(text: str) -> list[str]:
+    """Each word's letters a to z and apostrophes; a romaniser's place is here."""
+    return [re.sub("[^a-z']", "", w.lower()) for w in text.split()]
+
+
+def segment_words(scores: np.ndarray, text: str, start: float, end: float, ids: dict[str, int], stride_ms: float, tokens: Callable[[str], list[str]] = plain_tokens) -> list[Word]:
+    """(word, start, end, source) of a segment: each word after a star, aligned with the best path.
+
+    Words keep within the segment, in order.  Fewer than two frames, or scores
+    that can't spell the words, give uniform timing with its own source.
+    """
+    words = text.split()
+    try:
+        if len(scores) < 2:
+            raise ValueError("too few frames")
+        star = scores.shape[1] - 1
+        spelt = [[star, *(ids[c] for c in t if c in ids)] for t in tokens(text)]
+        if len(spelt) != len(words):
+            raise ValueError("the tokens aren't the words")
+        path = runs(best_path(scores, [x for t in spelt for x in t]))
+        spans = token_spans(path, [n for t in spelt for n in (1, len(t) - 1)])
+        times = word_times(spans[1::2], stride_ms)
+    except (ValueError, IndexError):
+        step = max(0.0, end - start) / max(1, len(words))
+        return [(w, start + k * step, start + (k + 1) * step, "uniform_fallback") for k, w in enumerate(words)]
+    out = []
+    for w, (a, b) in zip(words, times, strict=True):
+        first = min(end, max(start, start + a))
+        out.append((w, first, min(end, max(first, start + b)), "ctc"))
+    return out
+
+
+def aligned_words(segments: DataFrame, scores: Scores, ids: dict[str, int], stride_ms: float, job: str = "job") -> DataFrame:
+    """``(job, segment_index, word_index, word, word_start, word_end, timing_source)`` of ``segments(job, segment_index, text, start, end)``; blank texts have no words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, index, text, a, b in zip(pdf[job], pdf["segment_index"], pdf["text"], pdf["start"], pdf["end"], strict=True):
+                if text and text.strip():
+                    got = segment_words(scores(text, a, b), text, a, b, ids, stride_ms)
+                    rows += [(key, index, k, *word) for k, word in enumerate(got)]
+            yield pd.DataFrame(rows, columns=[job, "segment_index", "word_index", "word", "word_start", "word_end", "timing_source"])
+
+    kinds = dict(segments.dtypes)
+    return segments.select(job, "segment_index", "text", "start", "end").mapInPandas(run, f"{job} {kinds[job]}, segment_index {kinds['segment_index']}, word_index long, word string, word_start double, word_end double, timing_source string")

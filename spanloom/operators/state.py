@@ -6,9 +6,11 @@ import hashlib
 import json
 import os
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,25 @@ def open_envelope(text: str) -> Any:
     return payload
 
 
+def opened_envelopes(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``payload`` (canonical JSON) and ``fault`` in place of the envelopes in a column."""
+    keep = [c for c in df.columns if c != column]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            payload, fault = [], []
+            for text in pdf[column]:
+                try:
+                    payload.append(canonical(open_envelope(text or "")))
+                    fault.append(None)
+                except StateError as e:
+                    payload.append(None)
+                    fault.append(str(e))
+            yield pdf[keep].assign(payload=payload, fault=fault)
+
+    return df.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes if c != column) + ", payload string, fault string")
+
+
 def publish(files: dict[str, str], manifest: str, manifest_text: str) -> None:
     """Write files and then their manifest, each by an atomic rename; on a failure the earlier contents come back."""
     done: list[tuple[str, bytes | None]] = []

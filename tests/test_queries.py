@@ -3,7 +3,7 @@
 import pytest
 from compare import oracle_rows, spark_rows
 
-from spanloom.plans import driver
+from spanloom.plans import driver, results  # noqa: F401 - registers its queries
 
 
 @pytest.mark.parametrize("name", sorted(driver.QUERIES))
@@ -55,6 +55,49 @@ def test_vad_hysteresis_limited_against_plain(spark, sf):
     assert {tuple(r) for r in driver.QUERIES["vad_hysteresis_limited"](spark, sf).collect()} == want
 
 
+def test_corpus_errors_are_sums(spark, sf):
+    pairs = {}
+    for r in driver.QUERIES["wer_pairs"](spark, sf).collect():
+        u, s, d, i = pairs.get(r.conv_id, (0, 0, 0, 0))
+        pairs[r.conv_id] = (u + r.units, s + r.substitutions, d + r.deletions, i + r.insertions)
+    got = {r.conv_id: tuple(r)[1:] for r in driver.QUERIES["corpus_errors"](spark, sf).collect()}
+    assert got == {k: (*v, round(sum(v[1:]) / v[0], 9) if v[0] else None) for k, v in pairs.items()}
+
+
+def test_vad_blocks_keep_to_the_caps(spark, sf):
+    rows = driver.QUERIES["vad_blocks"](spark, sf).collect()
+    rounds, seen = {}, {}
+    for r in rows:
+        rounds.setdefault((r.pack, r.round), []).append(r.frames)
+        seen[r.conv_id] = seen.get(r.conv_id, 0) + r.frames
+    assert all(len(x) <= 8 and sum(x) <= 200 and len(x) * max(x) <= 260 and max(x) <= 40 for x in rounds.values())
+    want = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("conv_id", "ceil(length(text) / 32.0) n").groupBy("conv_id").sum("n").collect()
+    assert seen == {r[0]: r[1] for r in want if r[1]}
+
+
+def test_word_alignment_follows_the_scores(spark, sf):
+    from spanloom.operators import align
+    from spanloom.sources.domain import segments
+
+    texts = {(r.job, r.segment_index): r for r in segments(spark, sf).collect()}
+    got = {}
+    for r in driver.QUERIES["word_alignment"](spark, sf).collect():
+        got.setdefault((r.job, r.segment_index), []).append(r)
+    assert set(got) == {k for k, r in texts.items() if r.text.strip()}
+    for k, words in got.items():
+        a, b = texts[k].start_ms / 1000, texts[k].end_ms / 1000
+        words.sort(key=lambda r: r.word_index)
+        assert [w.word for w in words] == texts[k].text.split()
+        assert all(a <= w.word_start <= w.word_end <= b + 1e-9 for w in words) and all(x.word_end <= y.word_start + 1e-9 for x, y in zip(words, words[1:], strict=False))
+        at = 0
+        for w, token in zip(words, align.plain_tokens(texts[k].text), strict=True):
+            # each letter has two frames and a blank, each word one blank more
+            inner = min(b, a + (at + 1) * 0.02)
+            at += 3 * len(token) + 1
+            if w.timing_source == "ctc" and token:
+                assert w.word_start <= inner + 0.05 and w.word_end >= min(b, a + (at - 3) * 0.02) - 0.05
+
+
 def test_lock_offset_vector(spark, sf):
     import hashlib
 
