@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.worker import once
+from .packing import oom_split
 
 
 class Recognizer(Protocol):
@@ -25,19 +26,23 @@ class StubRecognizer:
         return [" ".join(f"w{b}" for b in hashlib.sha256(str(x).encode()).digest()[:4]) for x in items]
 
 
-def isolated(run: Callable[[list[Any]], list[str]], items: list[Any], cap: int | None = None, log: list[int] | None = None) -> list[tuple[str | None, str | None]]:
+def isolated(run: Callable[[list[Any]], list[str]], items: list[Any], cap: int | None = None, log: list[int] | None = None, sizes: list[float] | None = None, state: dict[str, Any] | None = None) -> list[tuple[str | None, str | None]]:
     """(text, error) of each item: a batch that fails is cut in two until the bad item is alone.
 
-    Memory failures halve the cap for the rest of the batch.  A ``SystemError``
-    means the device is lost: items not done yet fail with it.
+    Memory failures halve the cap, and with ``sizes``, longest first, cut the
+    batch where its parts cost most alike.  A ``SystemError`` means the device is
+    lost: items not done yet fail with it.  ``state`` is a dict that keeps both
+    from one call to the next.
     """
     out: list[tuple[str | None, str | None]] = [(None, None)] * len(items)
-    state = {"cap": cap or max(1, len(items)), "lost": None}
+    state = {} if state is None else state
+    state.setdefault("lost", None)
+    most = max(1, cap or len(items))
 
     def part(a: int, b: int) -> None:
         at = a
         while at < b:
-            end = min(b, at + state["cap"])
+            end = min(b, at + min(most, state.get("cap", most)))
             if state["lost"]:
                 out[at:end] = [(None, state["lost"])] * (end - at)
                 at = end
@@ -53,8 +58,12 @@ def isolated(run: Callable[[list[Any]], list[str]], items: list[Any], cap: int |
                 if end - at == 1:
                     out[at] = (None, f"MemoryError: {e}")
                 else:
-                    state["cap"] = max(1, min(state["cap"], (end - at) // 2))
-                    continue
+                    state["cap"] = max(1, min(state.get("cap", most), (end - at) // 2))
+                    if sizes is None:
+                        continue
+                    middle = at + oom_split(sizes[at:end])
+                    part(at, middle)
+                    part(middle, end)
             except Exception as e:  # noqa: BLE001 - any failure belongs to its items
                 if end - at == 1:
                     out[at] = (None, f"{type(e).__name__}: {e}")
@@ -73,11 +82,12 @@ def recognize(df: DataFrame, column: str, make: Callable[[], Recognizer], name:
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", transcript string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict[str, Any] = {}  # a lost device stays lost for the task
         for pdf in batches:
             got: list[tuple[str | None, str | None]] = []
             for k in range(0, len(pdf), batch):
                 # made at the first item: a run with nothing to recognise loads no model
-                got += isolated(once(f"model_{name}", make), pdf[column].iloc[k : k + batch].tolist())
+                got += isolated(once(f"model_{name}", make), pdf[column].iloc[k : k + batch].tolist(), state=state)
             yield pdf.assign(transcript=[t for t, _ in got], error=[e for _, e in got])
 
     return df.mapInPandas(run, schema)

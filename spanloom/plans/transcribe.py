@@ -14,12 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import align, intervals, models, state, stats, timing
 from ..operators import cues as cue_ops
-from ..operators import intervals, models, state, stats, timing
-from ..options import Options
+from ..options import OptionError, Options
 from ..sources.scratch import Scratch
 
 SpeechModel = Callable[[np.ndarray], np.ndarray]
+ALIGNED = "array<struct<word:string,word_start:double,word_end:double,timing_source:string>>"
 SEGMENT = "job_index long, segment_index long, start double, end double, speech array<struct<start:double,end:double>>, clip binary, error string"
 
 
@@ -32,24 +33,25 @@ def loudness(pcm: np.ndarray) -> np.ndarray:
 
 
 def recording_segments(pcm: np.ndarray, options: Options, model: SpeechModel) -> tuple[list[tuple[float, float]], list[tuple[float, float]]]:
-    """(segments, speech spans) in seconds of one recording's 16-bit samples."""
+    """(segments, speech spans) in seconds of one recording's 16-bit samples, checked."""
     rate = intervals.SAMPLE_RATE
+    check = lambda spans: intervals.checked(spans, len(pcm) / rate, options.max_dur)
     if options.vad == "none":
         step = max(1, int(np.rint(options.max_dur * rate)))
-        spans = [(a / rate, min(a + step, len(pcm)) / rate) for a in range(0, len(pcm), step)]
+        spans = check([(a / rate, min(a + step, len(pcm)) / rate) for a in range(0, len(pcm), step)])
         return spans, spans
     if options.vad == "auditok":
         spans = intervals.energy_spans(pcm, rate, options.energy_threshold, options.min_dur, options.max_dur, options.max_silence)
-        return spans, spans
-    speech = [(a / rate, b / rate) for a, b in intervals.speech_spans(model(pcm), len(pcm), options.hysteresis()) if b > a]
+        return check(spans), spans
+    speech = check([(a / rate, b / rate) for a, b in intervals.speech_spans(model(pcm), len(pcm), options.hysteresis())])
     if not options.vad_merge or not speech:
         return speech, speech
     a = np.array(speech)
-    return intervals.merge_sorted(a[:, 0], a[:, 1], options.max_dur, 1e-9), speech
+    return check(intervals.merge_sorted(a[:, 0], a[:, 1], options.max_dur, 1e-9)), speech
 
 
-def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loudness) -> DataFrame:
-    """A row for each segment with its clip; a recording that can't be read has one row with its error."""
+def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loudness, most_seconds: float | None = None) -> DataFrame:
+    """A row for each segment with its clip; a recording that can't be read, or lasts too long, has one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -58,6 +60,8 @@ def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loud
                 try:
                     if content is None or len(content) % 2:
                         raise ValueError("incomplete samples")
+                    if most_seconds is not None and len(content) > 2 * intervals.SAMPLE_RATE * most_seconds:
+                        raise ValueError(f"over the limit of {most_seconds} seconds")
                     pcm = np.frombuffer(content, "<i2").astype(np.float64)
                     segs, speech = recording_segments(pcm, options, model)
                     for k, (a, b) in enumerate(segs):
@@ -70,13 +74,30 @@ def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loud
     return recordings.select("job_index", "pcm").mapInPandas(run, SEGMENT)
 
 
+def aligned(texts: DataFrame, emissions: Callable[[np.ndarray], np.ndarray], ids: dict[str, int], stride_ms: float) -> DataFrame:
+    """Recognised segments with ``aligned``, their words placed by an emission model's scores of their clips."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for clip, text, a, b in zip(pdf["clip"], pdf["transcript"], pdf["start"], pdf["end"], strict=True):
+                words = [] if clip is None or not text or not text.strip() else align.segment_words(emissions(np.frombuffer(clip, "<i2").astype(np.float64)), text, a, b, ids, stride_ms)
+                rows.append([{"word": w, "word_start": s, "word_end": e, "timing_source": source} for w, s, e, source in words])
+            yield pdf.assign(aligned=rows)
+
+    return texts.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in texts.dtypes) + f", aligned {ALIGNED}")
+
+
 @dataclass(frozen=True)
 class Run:
-    """The results of a run, in the order of their inputs: ``job_index, path, status, text, duration, segments, words, cues, error``."""
+    """The results of a run: ``job_index, path, status, text, duration, segments, words, cues, error``; :meth:`ordered` has them in the order of their inputs."""
 
     options: Options
     results: DataFrame
 
+    def ordered(self) -> DataFrame:
+        return self.results.orderBy("job_index")
+
     def with_status(self, status: str) -> DataFrame:
         return self.results.filter(F.col("status") == status)
 
@@ -121,13 +142,20 @@ class Run:
         return out
 
 
-def transcribe(recordings: DataFrame, options: Options, make: Callable[[], models.Recognizer] = models.StubRecognizer, model: SpeechModel = loudness, manifest: DataFrame | None = None, checkpoints: DataFrame | None = None) -> Run:
+def transcribe(recordings: DataFrame, options: Options, make: Callable[[], models.Recognizer] = models.StubRecognizer, model: SpeechModel = loudness, manifest: DataFrame | None = None, checkpoints: DataFrame | None = None, emissions: Callable[[np.ndarray], np.ndarray] | None = None, letters: dict[str, int] | None = None, stride_ms: float = 20.0, most_seconds: float | None = None) -> Run:
     """Run over ``recordings(job_index, path, pcm)`` of 16-bit mono samples at 16 kHz.
 
+    Word alignment needs ``emissions``, the scores (frames x labels, the star last)
+    of a clip, and ``letters``, the columns of the labels; texts from checkpoints
+    have no clips, and get uniform timing.  Longer recordings than ``most_seconds`` fail.
+
     ``manifest(path, digest, asr_key, render_key)`` names published results,
     which are skipped; ``checkpoints(path, digest, asr_key, segments)`` names
     recognised ones, whose texts are used again.
     """
+    by_word = options.alignment == "word"
+    if by_word and (emissions is None or letters is None):
+        raise OptionError("alignment by word needs emissions and letters")
     scratch = Scratch(recordings.sparkSession, "transcribe")
     jobs = recordings.withColumn("digest", F.sha2("pcm", 256)).withColumn("asr_key", F.lit(options.asr_key())).withColumn("render_key", F.lit(options.render_key()))
     facts = jobs.select("job_index", "path", "digest", "asr_key", "render_key", (F.octet_length("pcm") / 2 / intervals.SAMPLE_RATE).alias("duration"))
@@ -138,10 +166,11 @@ def transcribe(recordings: DataFrame, options: Options, make: Callable[[], model
         same = ["path", "digest", "asr_key"]
         loaded = todo.select("job_index", *same).join(checkpoints.select(*same, "segments"), same).select("job_index", F.explode("segments").alias("s")).select("job_index", "s.*")
         todo = state.to_run(todo, checkpoints, same)
-    texts = models.recognize(segmented(todo, options, model).withColumnRenamed("error", "broken"), "clip", make, batch=options.batch_size)
-    texts = texts.select("job_index", "segment_index", "start", "end", "speech", F.col("transcript").alias("text"), F.coalesce("broken", F.when(F.col("segment_index").isNotNull(), F.col("error"))).alias("error"))
+    texts = models.recognize(segmented(todo, options, model, most_seconds).withColumnRenamed("error", "broken"), "clip", make, batch=options.batch_size)
+    texts = aligned(texts, emissions, letters, stride_ms) if by_word else texts.withColumn("aligned", F.expr(f"cast(null as {ALIGNED})"))
+    texts = texts.select("job_index", "segment_index", "start", "end", "speech", "aligned", F.col("transcript").alias("text"), F.coalesce("broken", F.when(F.col("segment_index").isNotNull(), F.col("error"))).alias("error"))
     if loaded is not None:
-        texts = texts.unionByName(loaded.withColumn("error", F.lit(None).cast("string")).select(texts.columns))
+        texts = texts.unionByName(loaded.withColumn("error", F.lit(None).cast("string")).withColumn("aligned", F.expr(f"cast(null as {ALIGNED})")).select(texts.columns))
     texts = scratch.save(texts)
     errors = texts.groupBy("job_index").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.coalesce("segment_index", F.lit(-1)))).alias("error"))
     good = texts.join(errors.filter("error is not null").select("job_index"), "job_index", "left_anti").filter("segment_index is not null")
@@ -149,19 +178,27 @@ def transcribe(recordings: DataFrame, options: Options, make: Callable[[], model
     if options.alignment == "none":
         words = None
     else:
-        spoken = good.filter((F.size("speech") > 0) & (F.trim("text") != ""))
+        placed = F.size(F.coalesce("aligned", F.array())) > 0
+        by_model, good_rest = good.filter(placed), good.filter(~placed)
+        spoken = good_rest.filter((F.size("speech") > 0) & (F.trim("text") != ""))
         spans = spoken.select(*keys, "text", F.posexplode("speech").alias("span_index", "p")).select(*keys, "text", "span_index", "p.start", "p.end")
-        rest = good.filter((F.size("speech") <= 0) & (F.trim("text") != ""))
-        words = timing.words_across_spans(spans, keys).unionByName(timing.uniform_words(rest.select(*keys, "text", "start", "end")).select(*keys, "word_index", "word", "word_start", "word_end"))
+        rest = good_rest.filter((F.size("speech") <= 0) & (F.trim("text") != ""))
+        fields = [*keys, "word_index", "word", "word_start", "word_end", "timing_source"]
+        across = timing.words_across_spans(spans, keys).withColumn("timing_source", F.lit("uniform_speech_spans" if options.vad_merge else "uniform_segment"))
+        uniform = timing.uniform_words(rest.select(*keys, "text", "start", "end")).withColumn("timing_source", F.lit("uniform_segment"))
+        words = across.select(fields).unionByName(uniform.select(fields))
+        if by_word:
+            each = by_model.select(*keys, F.posexplode("aligned").alias("word_index", "w")).select(*keys, "word_index", "w.*")
+            words = words.withColumn("timing_source", F.lit("uniform_fallback")).unionByName(each.select(fields))
     ordered = lambda name, *fields: F.array_sort(F.collect_list(F.struct(*fields))).alias(name)
     parts = good.groupBy("job_index").agg(ordered("segments", "segment_index", "start", "end", "text"))
     out = facts.join(parts, "job_index", "left").join(errors, "job_index", "left").join(skipped.select("job_index", F.lit(True).alias("skip")), "job_index", "left")
     if words is not None:
         cues = cue_ops.extend_cues(cue_ops.build_cues(words, options.cue_limits(), "job_index").join(facts.select("job_index", "duration"), "job_index"), F.col("duration"), options.cue_limits(), "job_index")
-        out = out.join(words.groupBy("job_index").agg(ordered("words", "segment_index", "word_index", F.col("word_start").alias("start"), F.col("word_end").alias("end"), F.col("word").alias("text"))), "job_index", "left")
+        out = out.join(words.groupBy("job_index").agg(ordered("words", "segment_index", "word_index", F.col("word_start").alias("start"), F.col("word_end").alias("end"), F.col("word").alias("text"), "timing_source")), "job_index", "left")
         out = out.join(cues.groupBy("job_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("cue_index", "start", "end", "text"))), lambda c: F.struct(c["start"], c["end"], c["text"])).alias("cues")), "job_index", "left")
     else:
-        out = out.withColumn("words", F.expr("cast(array() as array<struct<segment_index:bigint,word_index:int,start:double,end:double,text:string>>)")).withColumn("cues", F.expr("cast(array() as array<struct<start:double,end:double,text:string>>)"))
+        out = out.withColumn("words", F.expr("cast(array() as array<struct<segment_index:bigint,word_index:int,start:double,end:double,text:string,timing_source:string>>)")).withColumn("cues", F.expr("cast(array() as array<struct<start:double,end:double,text:string>>)"))
     status = stats.status(F.coalesce("skip", F.lit(False)), F.col("error"))
     lines = F.filter(F.transform(F.coalesce("segments", F.expr("cast(array() as array<struct<segment_index:bigint,start:double,end:double,text:string>>)")), lambda s: F.trim(s["text"])), lambda t: t != "")
     text = F.when(status == "completed", F.array_join(lines, "\n"))

@@ -111,7 +111,13 @@ def test_isolation():
     def lost(items):
         raise SystemError("device gone")
 
-    assert all("device gone" in e for _, e in models.isolated(lost, [1, 2, 3]))
+    state = {}
+    assert all("device gone" in e for _, e in models.isolated(lost, [1, 2, 3], state=state))
+    # the breaker stays open
+    assert all("device gone" in e for _, e in models.isolated(small, [1, 2], state=state))
+    log = []
+    got = models.isolated(small, list(range(9)), log=log, sizes=[9.0, 9, 1, 1, 1, 1, 1, 1, 1])
+    assert all(e is None for _, e in got) and log[:2] == [9, 2]
 
 
 def test_recognize(spark):

@@ -49,6 +49,24 @@ def test_skip_and_resume(recordings):
     assert a.status == "skipped" and c.status == "completed" and c.text == "from a checkpoint"
 
 
+def test_word_alignment_in_a_run(recordings):
+    letters = {c: k + 1 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+
+    def emissions(pcm):
+        return np.random.default_rng(len(pcm)).normal(size=(max(1, len(pcm) // 320), 28)) * (len(pcm) > 25_000)
+
+    options = Options(alignment="word")
+    with pytest.raises(OptionError, match="emissions"):
+        transcribe(recordings, options)
+    run = transcribe(recordings, options, emissions=emissions, letters=letters)
+    a, b, c = run.ordered().collect()
+    assert [r.job_index for r in (a, b, c)] == [0, 1, 2] and {w.timing_source for w in a.words} == {"ctc"}
+    assert all(x.end <= y.start + 1e-9 for x, y in zip(a.words, a.words[1:], strict=False))
+    assert [w.text for w in a.words] == " ".join(s.text for s in a.segments).split()
+    short = transcribe(recordings, Options(), most_seconds=3.0).ordered().collect()
+    assert [r.status for r in short] == ["failed", "failed", "completed"] and "over the limit" in short[0].error
+
+
 def test_options():
     base = Options()
     assert base.formats == ("txt", "srt", "vtt") and Options(text_only=True).formats == ("txt",)
