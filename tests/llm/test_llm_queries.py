@@ -58,6 +58,59 @@ def test_op2(spark, sf, docs):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
 
 
+def plain_feature(text):
+    """The feature column stated plainly: zero-stuffed convolution, a Fourier sum for each frame, a state machine for the spans."""
+    import numpy as np
+    import pyarrow as pa
+
+    from spanloom.llm import audio
+
+    raw = text.encode()
+    data = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+    x = np.frombuffer(data, np.uint8) / 128 - 1
+    wide = np.zeros(2 * len(x))
+    wide[::2] = x
+    taps = audio.lowpass(2, 3)
+    y = np.convolve(wide, taps)[len(taps) // 2 :][: len(wide)][::3]
+    frames = max(1, -(-len(y) // 80))
+    y = np.append(y, np.zeros(max(0, (frames - 1) * 80 + 200 - len(y))))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(200), np.arange(129)) / 256)
+    bank = audio.mel_bank(8000.0)
+    mel = np.array([10 * np.log10(np.abs((y[80 * k : 80 * k + 200] * np.hanning(200)) @ wave) ** 2 @ bank + 1e-6) for k in range(frames)])
+    tenths = np.rint(mel * 10).astype(np.int16)
+    level = tenths.mean(1) / 10
+    level = np.round(level - np.round(level.mean(), 3), 3)
+    spans, start, quiet = [], None, 0
+    for k, v in enumerate(level):
+        if start is None:
+            if v >= 1:
+                start, quiet = k, 0
+        else:
+            quiet = quiet + 1 if v < -1 else 0
+            if quiet == 3:
+                spans.append((start, k - 2))
+                start = None
+    spans += [(start, frames)] if start is not None else []
+    tiles = -(-frames // 32)
+    cells = np.zeros((tiles * 32, 20), np.int16)
+    cells[:frames] = tenths
+    kind = pa.fixed_shape_tensor(pa.int16(), (32, 20))
+    tensor = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), 640))
+    begin = np.arange(tiles) * 32 * 0.01
+    schema = pa.schema([("mel", kind), ("start_s", pa.float64()), ("end_s", pa.float64())])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_batch(pa.record_batch([tensor, pa.array(begin), pa.array(np.minimum(begin + 32 * 0.01, frames * 0.01))], schema=schema))
+    stamps = ",".join(f"{round(a * 0.01, 6)}-{round(b * 0.01, 6)}" for a, b in spans)
+    return f"{frames};{hashlib.sha256(sink.getvalue().to_pybytes()).hexdigest()};{stamps}"
+
+
+def test_op2_features(spark, sf, docs):
+    got = {r.doc_id: r.feature for r in queries.op2_audio(spark, sf).collect()}
+    for i, text in docs[:60]:
+        assert got[i] == plain_feature(text)
+
+
 def test_op6(spark, sf, docs):
     from tokenizers import Tokenizer
 
@@ -109,6 +162,58 @@ def test_op9(spark, sf, docs):
     assert -sum(r.score for r in out) / math.log10(2) < 3 * sum(len(dict(docs)[r.doc_id].encode()) for r in out)
 
 
+def test_op9_scores_equal_the_plain_trie(spark, sf, docs):
+    from spanloom.llm import lm
+
+    trie = lm.Trie(4)
+    for i, text in docs:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            context = (lm.START,) * 4
+            for code in (*text.encode(), lm.END):
+                trie.learn(context, code)
+                context = (*context, code)[1:]
+    got = {r.doc_id: r.score for r in queries.op9_ppm(spark, sf).collect()}
+    some = sorted(docs, key=lambda d: len(d[1]))[:120]
+    assert {zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in some} == {True, False}
+    for i, text in some:
+        assert got[i] == pytest.approx(trie.text(text.encode(), learn=False), rel=1e-9)
+
+
+def test_op7_probabilities_equal_plain_sums(spark):
+    """Each link's sum over a text's set of words, link after link, for every text."""
+    from spanloom.llm import toxicity
+
+    folder = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels, names = queries.label_table(spark, folder), ["low_quality", "toxic"]
+    chain = toxicity.train(d, labels, names)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for r in queries.op7_toxicity(spark, folder).collect():
+        words = {xxhash.xxh64_intdigest(w) for w in re.split(rb"[^a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (texts[r.doc_id] or "").encode())) if w}
+        earlier = []
+        for link in chain:
+            z = link.bias + sum(w for h, w in zip(link.words.tolist(), link.weights.tolist(), strict=True) if h in words) + sum(a * b for a, b in zip(earlier, link.earlier.tolist(), strict=True))
+            earlier.append(1 / (1 + math.exp(-max(-40, min(40, z)))))
+        assert (r.p_low_quality, r.p_toxic) == pytest.approx(tuple(earlier), abs=3e-9) and r.toxic == (r.p_toxic >= 0.3)
+
+
+def test_op7_sample_is_bounded(spark):
+    """An id in many rows, or in many labels, is one row of the sample."""
+    from spanloom.llm import toxicity
+
+    d = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(2, "other"), (3, "third")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, y int")
+    seen = []
+    fit = toxicity.fit_chain
+    toxicity.fit_chain = lambda docs, y: seen.append(docs.n) or fit(docs, y)
+    try:
+        toxicity.train(d, labels, ["y"], sample=2)
+        toxicity.train(d, labels, ["y"])
+    finally:
+        toxicity.fit_chain = fit
+    assert seen == [2, 3]
+
+
 def test_op7_held_out(spark):
     """Models of one half of the labels find the toxic texts of the other half."""
     from spanloom.llm import toxicity
