@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import fold_groups
 
 SAMPLE_BYTES, RATE = 4, 16_000
 
@@ -123,9 +125,7 @@ class BatchSize:
 
 def fold_rows(df: DataFrame, key: str, order: list[str], name: str, fold, value: str) -> DataFrame:
     """``df`` with ``name``: ``fold`` of a key's values in order, one number for each row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{name: fold(pdf[value].tolist())})
-
-    return df.groupBy(key).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + f", {name} long")
+    rest = [c for c in df.columns if c != key]
+    at = rest.index(value)
+    rows = lambda *columns: list(zip(*columns, fold(columns[at]), strict=True))
+    return fold_groups(df, key, order, rest, rows, [*((c, df.schema[c].dataType) for c in rest), (name, T.LongType())])

@@ -286,13 +286,15 @@ def batch_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE d AS (SELECT source, doc_id, n_chars * 3840 AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
-r AS (SELECT source, doc_id, n, 0 AS g, b AS used, 1 AS held FROM d WHERE n = 1
-  UNION ALL SELECT d.source, d.doc_id, d.n, r.g + CASE WHEN x THEN 1 ELSE 0 END, CASE WHEN x THEN d.b ELSE r.used + d.b END, CASE WHEN x THEN 1 ELSE r.held + 1 END FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1, LATERAL (SELECT r.used + d.b > 67108864 OR r.held >= 16 AS x))
-SELECT source, doc_id, g::BIGINT AS grp FROM r""")
+WITH RECURSIVE d AS (SELECT source, doc_id // 1000 AS shard, doc_id, n_chars * 3840 AS b, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS n FROM documents),
+r AS (SELECT source, shard, doc_id, n, 0 AS g, b AS used, 1 AS held FROM d WHERE n = 1
+  UNION ALL SELECT d.source, d.shard, d.doc_id, d.n, r.g + CASE WHEN x THEN 1 ELSE 0 END, CASE WHEN x THEN d.b ELSE r.used + d.b END, CASE WHEN x THEN 1 ELSE r.held + 1 END FROM r JOIN d ON d.source = r.source AND d.shard = r.shard AND d.n = r.n + 1, LATERAL (SELECT r.used + d.b > 67108864 OR r.held >= 16 AS x))
+SELECT source, shard, doc_id, g::BIGINT AS grp FROM r""")
 def group_partition(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("source", "doc_id", (F.col("n_chars") * 3840).alias("bytes"))
-    return packing.fold_rows(d, "source", ["doc_id"], "grp", lambda x: packing.next_fit(x, 67_108_864, 16), "bytes").select("source", "doc_id", "grp")
+    """Groups within a thousand ids of a source: next-fit is sequential, and a whole source would be one task."""
+    d = table(spark, sf, "documents").select("source", F.expr("doc_id div 1000").alias("shard"), "doc_id", (F.col("n_chars") * 3840).alias("bytes"))
+    d = d.withColumn("key", F.concat_ws("/", "source", "shard"))
+    return packing.fold_rows(d, "key", ["doc_id"], "grp", lambda x: packing.next_fit(x, 67_108_864, 16), "bytes").select("source", "shard", "doc_id", "grp")
 
 
 @query("""
