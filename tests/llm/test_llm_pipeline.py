@@ -101,6 +101,24 @@ def test_packing_holds_every_token(stages):
     assert len(places) <= 1.01 * sum(sizes.values()) / 1024 + 1
 
 
+def test_stages_on_odd_rows(spark, sf, odd):
+    """Nulls, empty and long texts, repeated rows and ids, and columns that operators make themselves."""
+    import corpus_pipeline as p
+
+    names = ["Toxic", "Deleted", "LEAKS", "gone", "Component_id", "key"]
+    docs = odd.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", *(f"'{n} kept' AS {n}" for n in names))
+    rows = docs.count()
+    for name, stage in p.STAGES:
+        got = stage(spark, docs, sf)
+        kept = got.collect()
+        if name == "packing":
+            assert sum(r.piece == 0 for r in kept) == rows
+            continue
+        assert got.columns == docs.columns and all(r[n] == f"{n} kept" for r in kept for n in names)
+        assert len(kept) == {"near_dedup": 8}.get(name, rows)
+        assert stage(spark, docs.filter("lang = 'none'"), sf).collect() == []
+
+
 def test_run(spark, sf, stages):
     import corpus_pipeline as p
 
