@@ -337,7 +337,7 @@ def trie_shards(trie: DataFrame, shard_entries: int, order: int) -> list[Shard]:
         if not large:
             break
         parents, level = large, sizes(trie.filter(ending(depth).isin(large)), depth + 1)
-    return shards
+    return shards or [Shard(0)]
 
 
 def shard_arrays(trie: DataFrame, shard: Shard) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:

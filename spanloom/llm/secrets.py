@@ -29,7 +29,7 @@ from .texts import others
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern (Java syntax, without look-around), and the group that must have ``least`` characters."""
+    """A pattern (Java syntax; it matches a character at least), and the group that must have ``least`` characters."""
 
     kind: str
     pattern: str
