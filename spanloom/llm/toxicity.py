@@ -56,7 +56,7 @@ class Words:
 
     def rows(self, some: np.ndarray) -> Words:
         """The texts of the given numbers, which are ascending, numbered anew."""
-        place = np.full(self.n, -1)
+        place = np.full(self.n, -1, np.int32)
         place[some] = np.arange(len(some))
         kept = place[self.owner] >= 0
         return Words(place[self.owner[kept]], self.word[kept], len(some))
@@ -168,16 +168,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     flat = rows.column("words").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     sizes = np.diff(flat.offsets.to_numpy())
-    word, owner = flat.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    word, owner = flat.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     # by id and content, so that the folds don't depend on the order of arrival
     total = np.zeros(len(sizes), np.uint64)
     np.add.at(total, owner, word)
     order = np.lexsort((total, rows.column("k").to_numpy())) if len(sizes) else np.zeros(0, np.int64)
-    place = np.empty(len(sizes), np.int64)
+    place = np.empty(len(sizes), np.int32)
     place[order] = np.arange(len(sizes))
     by = np.argsort(place[owner], kind="stable")
     y = np.column_stack([rows.column(n).to_numpy() for n in names])[order] if len(sizes) else np.zeros((0, len(names)), int)
-    return fit_chain(Words(place[owner][by], word[by], len(sizes)), y)
+    sample_words = Words(place[owner][by], word[by], len(sizes))
+    del rows, flat, word, owner, by  # the driver holds the sample once while it fits
+    return fit_chain(sample_words, y)
 
 
 def score(df: DataFrame, chain: list[Link], categories: list[str], text_col: str = "text", keep_text: bool = False) -> DataFrame:

@@ -396,3 +396,24 @@ def test_odd_rows(spark, odd, name):
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_table(spark, odd, name):
     assert OPERATORS[name](odd.filter("n > 5"), spark).collect() == []
+
+
+def test_columns_that_clash_whatever_their_case(spark):
+    """A column that an operator makes replaces one of that name in any case; all others stay as they are."""
+    names = ["Blob", "SPANS", "Media", "Tensors", "Frames", "Host", "Path", "Rule", "Verdict", "Deleted", "Leaks", "P_a", "P_b", "Toxic", "Score", "b", "row", "Id", "gone", "t", "k"]
+    text = "http://x.com/en/ token = abcdef0123456789"
+    df = spark.createDataFrame([(1, text, *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    made = {"audio": {"media", "tensors", "spans", "frames"}, "lines": {"deleted"}, "leaks": {"leaks"}, "secrets": {"blob", "spans"}, "urls": {"host", "path", "rule", "verdict"}, "toxicity": {"p_a", "p_b", "toxic"}}
+    for name, new in made.items():
+        got = OPERATORS[name](df, spark)
+        lower = [c.lower() for c in got.columns]
+        assert len(lower) == len(set(lower)) and new <= set(got.columns), name
+        for r in got.collect():
+            assert all(r[n] == n for n in names if n.lower() not in new), name
+    adaptive = lm.adaptive_scores(df)
+    assert "score" in adaptive.columns and "Score" not in adaptive.columns and adaptive.count() == 2
+    for name in ("simhash", "near", "licenses", "packing", "lm"):
+        assert OPERATORS[name](df, spark).count() >= (name != "licenses") * 2
+    split = urls.judge(df, [("x.com", "/en/", "block")], url_col="text").drop("rule", "verdict")
+    join = urls.judge_by_join(split, spark.createDataFrame([("x.com", "/en/", "block")], "r_host string, r_path string, r_verdict string"), "allow")
+    assert sorted(r.verdict for r in join.collect()) == ["allow", "block"]
