@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
@@ -68,30 +68,50 @@ def opened_envelopes(df: DataFrame, column: str) -> DataFrame:
     return df.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes if c != column) + ", payload string, fault string")
 
 
-def publish(files: dict[str, str], manifest: str, manifest_text: str) -> None:
-    """Write files and then their manifest, each by an atomic rename; on a failure the earlier contents come back."""
+def _written(path: str, content: bytes) -> str:
+    """A synced temporary file beside a path."""
+    fd, temp = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=".publish-")
+    with os.fdopen(fd, "wb") as f:
+        f.write(content)
+        f.flush()
+        os.fsync(f.fileno())
+    return temp
+
+
+def publish(files: dict[str, str], manifest: str, manifest_text: str, check: Callable[[], None] | None = None) -> None:
+    """Write files and then their manifest, each by an atomic rename; on a failure the earlier contents come back, last first.
+
+    All contents are on disk before the first rename, and ``check`` runs between:
+    it raises if the source is no longer what was read.
+    """
+    order = [*files, manifest]
+    temps: dict[str, str] = {}
     done: list[tuple[str, bytes | None]] = []
     try:
-        for path, text in [*files.items(), (manifest, manifest_text)]:
+        for path, text in zip(order, [*files.values(), manifest_text], strict=True):
+            temps[path] = _written(path, text.encode())
+        if check:
+            check()
+        for path in order:
             old = Path(path).read_bytes() if os.path.exists(path) else None
-            fd, temp = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
-            try:
-                with os.fdopen(fd, "w", encoding="utf-8") as f:
-                    f.write(text)
-                    f.flush()
-                    os.fsync(f.fileno())
-                os.replace(temp, path)
-            except BaseException:
-                os.path.exists(temp) and os.unlink(temp)
-                raise
+            os.replace(temps.pop(path), path)
             done.append((path, old))
+        for folder in {os.path.dirname(p) or "." for p in order}:
+            at = os.open(folder, os.O_RDONLY)
+            try:
+                os.fsync(at)
+            finally:
+                os.close(at)
     except BaseException:
         for path, old in reversed(done):
             if old is None:
                 os.unlink(path)
             else:
-                Path(path).write_bytes(old)
+                os.replace(_written(path, old), path)
         raise
+    finally:
+        for temp in temps.values():
+            os.unlink(temp)
 
 
 def verified(jobs: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:

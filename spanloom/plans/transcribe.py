@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, intervals, models, state, stats, timing
 from ..operators import cues as cue_ops
+from ..operators import text as text_ops
 from ..options import OptionError, Options
 from ..sources.scratch import Scratch
 
@@ -138,7 +139,7 @@ class Run:
         if "json" in self.options.formats:
             kept = F.filter("segments", lambda s: F.trim(s["text"]) != "")
             body = F.struct(F.lit(1).alias("schema_version"), "path", F.col("duration").alias("duration_seconds"), F.lit(self.options.language).alias("language"), F.lit(self.options.vad).alias("segmentation"), F.lit(self.options.alignment).alias("timing"), kept.alias("segments"), "words", "cues")
-            out = out.join(done.select("job_index", F.to_json(body).alias("json")), "job_index")
+            out = out.join(done.select("job_index", text_ops.pretty_text(F.to_json(body, {"ignoreNullFields": "false"})).alias("json")), "job_index")
         return out
 
 

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,6 +149,59 @@ def test_publish_rolls_back(tmp_path):
     state.publish({str(a): "new"}, str(tmp_path / "m"), "{}")
     assert a.read_text() == "new" and (tmp_path / "m").exists()
 
+    def changed():
+        raise state.StateError("source changed")
+
+    with pytest.raises(state.StateError, match="source changed"):
+        state.publish({str(a): "newer"}, str(tmp_path / "m"), "{}", check=changed)
+    # a manifest that can't be put in place takes the files back
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x").write_text("")
+    with pytest.raises(OSError):
+        state.publish({str(a): "newest", str(tmp_path / "n"): "n"}, str(tmp_path / "d"), "{}")
+    assert a.read_text() == "new" and not (tmp_path / "n").exists() and not list(tmp_path.glob(".publish-*"))
+
+
+def test_vocabulary():
+    from spanloom.operators import align
+
+    ids, names, blank = align.vocabulary({"A": 1, "b": 2, "<pad>": 0}, 4)
+    assert ids == {"a": 1, "b": 2, "<pad>": 0, "<star>": 3} and names[3] == "<star>" and blank == 0
+
+
+def test_segment_words_fall_back():
+    from spanloom.operators import align
+
+    few = align.segment_words(np.zeros((1, 4)), "one two", 1.0, 3.0, {"o": 1}, 20.0)
+    assert few == [("one", 1.0, 2.0, "uniform_fallback"), ("two", 2.0, 3.0, "uniform_fallback")]
+    ids = {c: k + 1 for k, c in enumerate("abc")}
+    scores = np.full((40, 5), -9.0)
+    path = [0] * 4 + [1] * 4 + [2] * 4 + [0] * 8 + [3] * 4 + [0] * 16
+    scores[np.arange(40), path] = 0
+    scores[:, -1] = -0.1
+    words = align.segment_words(scores, "ab c", 10.0, 10.8, ids, 20.0)
+    assert [w for w, *_ in words] == ["ab", "c"] and {s for *_, s in words} == {"ctc"}
+    (_, a0, a1, _), (_, c0, c1, _) = words
+    assert 10.0 <= a0 <= 10.12 and a1 <= c0 and 10.2 <= c0 <= 10.42 and c1 <= 10.8
+    # a label that nothing can spell in so few frames
+    assert align.segment_words(scores[:2], "abcabc", 0.0, 1.0, ids, 20.0)[0][3] == "uniform_fallback"
+
+
+def test_results_rules(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import results
+
+    df = spark.createDataFrame([(k, f"r{k}") for k in (3, 1, 4, 2, 0)], "job_index int, name string")
+    assert [r.job_index for r in results.in_order(df).collect()] == [0, 1, 2, 3, 4]
+    assert [r.name for r in results.sliced(df, 1, 3).collect()] == ["r1", "r2"] and results.sliced(df, 0, 9).count() == 5
+    one = spark.range(1)
+    version = lambda v: one.select(results.version_at_least(F.lit(v), 0, 14)).first()[0]
+    assert [version(v) for v in ("0.13.9", "0.14.0+cu1", "1.0", "x", "")] == [False, True, True, False, False]
+    assert one.select(results.default_batch(F.lit("cuda")), results.default_batch(F.lit("tpu"))).first()[:] == (24, 4)
+    none = results.corpus_errors(spark.createDataFrame([], "units long, substitutions long, deletions long, insertions long")).first()
+    assert (none.units, none.rate) == (0, None)
+
 
 def test_discovery(tmp_path, spark):
     for n in (".hidden.ogg", "A first.mp3", "archive.tar.WAV", "z last.wav", "مرحبا.WEBM", "notes.txt"):
