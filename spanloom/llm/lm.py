@@ -350,7 +350,7 @@ def shard_arrays(trie: DataFrame, shard: Shard) -> tuple[tuple[np.ndarray, np.nd
     return arrays(leaves), lower
 
 
-def score_corpus(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = 4, shard_entries: int = 6_000_000, head_words: int = 2_000_000) -> DataFrame:
+def score_corpus(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = 4, shard_entries: int = 4_000_000, head_words: int = 2_000_000) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row; ``training`` tells which rows teach."""
     scratch = Scratch(df.sparkSession, "lm")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
