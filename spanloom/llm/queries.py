@@ -1,4 +1,4 @@
-"""The thin queries op1_ to op10_ and pipeline, and their DuckDB SQL."""
+"""The thin queries op1_ to op13_, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import audio, decontaminate, licenses, linededup, lm, packing, secrets, simhash, toxicity, urls
+from . import audio, decontaminate, licenses, linededup, lm, merkle, packing, secrets, simhash, toxicity, urls
 
 #: The URL rules.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -81,9 +81,19 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls)}
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    told = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    claim = F.when(told, merkle.leaf([*head, F.replace("text", F.lit("\n"), F.lit(""))]))
+    proofs = merkle.prove(docs, merkle.leaf([*head, F.col("text")]), carry={"claim": claim})
+    back = merkle.folded(F.coalesce("claim", "leaf"), F.col("path"))
+    out = proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), back.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls, op12_merkle)}
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -145,4 +155,30 @@ def secret_sql() -> str:
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(every, '') AS spans, sha256(d.text) AS blob FROM d LEFT JOIN t USING (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_lines": LINES_SQL, "op8_secrets": secret_sql(), "op5_licenses": license_sql(), "op10_urls": URL_SQL}
+#: CRC-32 by bits; the trees a level at a time, all siblings of a level by one join.
+MERKLE_SQL = """
+    WITH RECURSIVE f AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND xor(4294967295, list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS told FROM documents),
+    h AS (SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+             || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text, told FROM f),
+    l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(told) || ':' || told, '-')) AS claim FROM h),
+    o AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS row, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+             dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM l),
+    t AS (SELECT 0 AS lv, s, i, n, leaf AS digest FROM o
+      UNION ALL SELECT lv + 1, s, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lv, s, i // 3, n),
+    q AS (SELECT lv AS top, s, digest FROM t WHERE n = 1),
+    u AS (SELECT 0 AS lv, s AS i, count(*) OVER () AS n, digest FROM q
+      UNION ALL SELECT lv + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lv, i // 3, n),
+    a AS (SELECT row, lv, coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i < o.i // (3 ** lv)::BIGINT), '') AS left_, coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i > o.i // (3 ** lv)::BIGINT), '') AS right_
+          FROM o JOIN t ON t.s = o.s AND t.n > 1 AND t.i // 3 = o.i // (3 ** (lv + 1))::BIGINT GROUP BY row, lv),
+    b AS (SELECT row, q.top + lv AS lv, coalesce(string_agg(u.digest, '' ORDER BY u.i) FILTER (u.i < o.s // (3 ** lv)::BIGINT), '') AS left_, coalesce(string_agg(u.digest, '' ORDER BY u.i) FILTER (u.i > o.s // (3 ** lv)::BIGINT), '') AS right_
+          FROM o JOIN q ON q.s = o.s JOIN u ON u.n > 1 AND u.i // 3 = o.s // (3 ** (lv + 1))::BIGINT GROUP BY row, q.top, lv),
+    p AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+    w AS (SELECT row, 0 AS lv, claim AS digest FROM o
+      UNION ALL SELECT w.row, w.lv + 1, sha256(left_ || w.digest || right_) FROM w JOIN p ON p.row = w.row AND p.lv = w.lv),
+    e AS (SELECT row, max_by(digest, lv) AS folded_root FROM w GROUP BY row),
+    z AS (SELECT row, sha256(string_agg(left_ || right_, '' ORDER BY lv)) AS proof_sha256 FROM p GROUP BY row),
+    r AS (SELECT digest AS root FROM u WHERE n = 1)
+    SELECT doc_id, leaf, q.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o JOIN q ON q.s = o.s JOIN e ON e.row = o.row LEFT JOIN z ON z.row = o.row, r"""
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle": MERKLE_SQL, "op3_lines": LINES_SQL, "op8_secrets": secret_sql(), "op5_licenses": license_sql(), "op10_urls": URL_SQL}
