@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import audio, decontaminate, licenses, linededup, lm, merkle, packing, secrets, simhash, toxicity, urls
+from . import audio, crosstok, decontaminate, licenses, linededup, lm, merkle, packing, secrets, simhash, toxicity, urls
 
 #: The URL rules.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -92,7 +92,12 @@ def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls, op12_merkle)}
+def op13_crosstok(spark: SparkSession, sf: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return crosstok.cross_align(table(spark, sf, "documents"), *paths)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls, op12_merkle, op13_crosstok)}
 
 
 def _quoted(text: str) -> str:
