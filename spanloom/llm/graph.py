@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One round: every node hands its larger (or, if small, all its lower) neighbours the least node it knows."""
+def _star(edges: DataFrame, small: bool, scratch: Scratch) -> DataFrame:
+    """One round: every node hands its larger (or, if small, all its lower) neighbours the least node it knows.
+
+    The least nodes are written before the join, so that Spark can split a hot node's arcs.
+    """
     if small:
         arcs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     else:
         arcs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = scratch.save(arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     moved = arcs.join(least, "u")
     if small:
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -36,6 +39,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if tuple(seen) == mark or seen.n == 0:
             return now.select("u", F.col("v").alias("root"))
         mark = tuple(seen)
-        after = scratch.save(_star(_star(now, small=False), small=True))
+        large = scratch.save(_star(now, False, scratch))
+        after = scratch.save(_star(large, True, scratch))
+        scratch.drop(large)
         scratch.drop(now)
         now = after
