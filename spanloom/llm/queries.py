@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import audio, crosstok, decontaminate, licenses, linededup, lm, merkle, packing, secrets, simhash, toxicity, urls
+from . import audio, crosstok, decontaminate, licenses, linededup, lm, merkle, minhash, packing, secrets, simhash, toxicity, urls
 
 #: The URL rules.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -81,6 +81,10 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op11_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf, "documents").select("doc_id", "text"), words=5, percent=85)
+
+
 def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -97,7 +101,7 @@ def op13_crosstok(spark: SparkSession, sf: str) -> DataFrame:
     return crosstok.cross_align(table(spark, sf, "documents"), *paths)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls, op12_merkle, op13_crosstok)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls, op11_minhash, op12_merkle, op13_crosstok)}
 
 
 def _quoted(text: str) -> str:
@@ -160,6 +164,18 @@ def secret_sql() -> str:
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(every, '') AS spans, sha256(d.text) AS blob FROM d LEFT JOIN t USING (doc_id)"""
 
 
+#: All pairs that share a shingle; what each document reaches by links.
+MINHASH_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+    n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), e AS (SELECT doc_id, unnest(s) AS h FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b),
+    m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT n.doc_id, n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN m USING (doc_id)"""
+
 #: CRC-32 by bits; the trees a level at a time, all siblings of a level by one join.
 MERKLE_SQL = """
     WITH RECURSIVE f AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND xor(4294967295, list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
@@ -186,4 +202,4 @@ MERKLE_SQL = """
     r AS (SELECT digest AS root FROM u WHERE n = 1)
     SELECT doc_id, leaf, q.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o JOIN q ON q.s = o.s JOIN e ON e.row = o.row LEFT JOIN z ON z.row = o.row, r"""
 
-ORACLE_SQL: dict[str, str] = {"op12_merkle": MERKLE_SQL, "op3_lines": LINES_SQL, "op8_secrets": secret_sql(), "op5_licenses": license_sql(), "op10_urls": URL_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_minhash": MINHASH_SQL, "op12_merkle": MERKLE_SQL, "op3_lines": LINES_SQL, "op8_secrets": secret_sql(), "op5_licenses": license_sql(), "op10_urls": URL_SQL}
