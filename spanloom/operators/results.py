@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import casefold
+
 SAMPLE_RATE, FRAME_MS = 16_000, 32
 
 
@@ -71,7 +73,7 @@ def shown_first(labels: Column, most: int = 10) -> Column:
 
 def lock_order(locks: DataFrame, path: str, offset: str, identity: str, group: str) -> DataFrame:
     """``locks`` with ``turn``: the order to take a group's locks in, by case-folded path, offset and case-folded identity."""
-    w = Window.partitionBy(group).orderBy(F.lower(path), offset, F.lower(identity))
+    w = Window.partitionBy(group).orderBy(casefold(path), offset, casefold(identity))
     return locks.withColumn("turn", F.row_number().over(w))
 
 

@@ -72,7 +72,12 @@ def edit_counts_of(pairs: list[tuple[list[str], list[str]]], cells: int = 1 << 2
 
 
 def _edit_group(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
-    """(substitutions, deletions, insertions) of each pair: all tables row by row, then all paths back from their ends."""
+    """(substitutions, deletions, insertions) of each pair: all tables row by row, each cell with the deletions on its path.
+
+    Two rows are held at a time.  A cell's cost, its deletions and its place
+    give the other counts: insertions exceed deletions by as much as the
+    hypothesis exceeds the reference.
+    """
     names: dict[str, int] = {}
     count = len(pairs)
     i, j = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
@@ -81,25 +86,24 @@ def _edit_group(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
         ref[k, : len(r)] = [names.setdefault(w, len(names)) for w in r]
         hyp[k, : len(h)] = [names.setdefault(w, len(names)) for w in h]
     steps = np.arange(hyp.shape[1] + 1, dtype=np.int32)
-    same, sub, dele, ins, end = range(5)
-    back = np.empty((ref.shape[1] + 1, count, len(steps)), np.uint8)
-    back[0], back[:, :, 0], back[0, :, 0] = ins, dele, end
-    row = np.tile(steps, (count, 1))
-    for at in range(1, len(back)):
-        other = ref[:, at - 1, None] != hyp
+    row, gone = np.tile(steps, (count, 1)), np.zeros((count, len(steps)), np.int32)
+    cost, deletions = j.copy(), np.zeros(count, np.int64)
+    for at in range(1, ref.shape[1] + 1):
         after = np.full_like(row, at)
-        np.minimum(row[:, :-1] + other, row[:, 1:] + 1, out=after[:, 1:])
+        np.minimum(row[:, :-1] + (ref[:, at - 1, None] != hyp), row[:, 1:] + 1, out=after[:, 1:])
         after = np.minimum.accumulate(after - steps, axis=1) + steps
-        back[at, :, 1:] = np.where(after[:, :-1] < after[:, 1:], ins, np.where(row[:, 1:] < after[:, 1:], dele, other))
+        # on a tie an insertion, then a deletion, else the words are the same or one stands for the other
+        own = gone + 1
+        own[:, 1:] = np.where(row[:, 1:] < after[:, 1:], gone[:, 1:] + 1, gone[:, :-1])
+        inserted = np.zeros_like(row)
+        inserted[:, 1:] = np.where(after[:, :-1] < after[:, 1:], 0, steps[1:])
+        # insertions keep the deletions of the cell that they start from
+        gone = np.take_along_axis(own, np.maximum.accumulate(inserted, axis=1), axis=1)
         row = after
-    every, out = np.arange(count), np.zeros((count, 5), np.int64)
-    while True:
-        move = back[i, every, j]
-        if (move == end).all():
-            return out[:, [sub, dele, ins]]
-        out[every, move] += 1
-        i = i - (move <= dele)
-        j = j - ((move <= sub) | (move == ins))
+        done = np.flatnonzero(i == at)
+        cost[done], deletions[done] = row[done, j[done]], gone[done, j[done]]
+    insertions = deletions + j - i
+    return np.stack([cost - deletions - insertions, deletions, insertions], axis=1)
 
 
 def word_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:

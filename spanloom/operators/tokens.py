@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,37 @@ def repeats_at_end(tokens: Column) -> Column:
     return F.when(n >= LEAST_TOKENS, loops).otherwise(F.lit(False))
 
 
+def first_loop(tokens: np.ndarray) -> int | None:
+    """The length of the shortest prefix that ends in four equal blocks of some period, in time linear in the tokens.
+
+    A prefix ends so if its last three blocks' tokens all equal those a period
+    before them: for each period, the runs of such tokens are measured once.
+    """
+    n, best = len(tokens), None
+    for p in range(LEAST_PERIOD, min(MOST_PERIOD, n // REPEATS) + 1):
+        same = tokens[p:] == tokens[:-p]
+        place = np.arange(len(same))
+        run = place - np.maximum.accumulate(np.where(same, -1, place))
+        long = np.flatnonzero(run >= (REPEATS - 1) * p)
+        # the shortest prefix that is looked at may lie inside a run
+        k = np.searchsorted(long, LEAST_TOKENS - p - 1)
+        if k < len(long) and (best is None or long[k] + p + 1 < best):
+            best = int(long[k]) + p + 1
+    return best
+
+
 def repetition_point(tokens: Column, eos: list[int]) -> Column:
     """The length of the first prefix that loops, before any end token; null if there is none."""
-    n = F.size(tokens)
-    prefixes = F.when(n >= LEAST_TOKENS, F.sequence(F.lit(LEAST_TOKENS), n)).otherwise(F.expr("cast(array() as array<int>)"))
-    ends = F.array(*map(F.lit, eos)) if eos else F.expr("cast(array() as array<bigint>)")
-    hit = F.filter(prefixes, lambda m: repeats_at_end(F.slice(tokens, F.lit(1), m)) & ~F.arrays_overlap(F.slice(tokens, F.lit(1), m), ends))
-    return F.get(hit, F.lit(0))
+
+    @F.pandas_udf("long")
+    def point(rows: pd.Series) -> pd.Series:
+        out: list[int | None] = []
+        for row in rows:
+            found = None if row is None else first_loop(np.asarray(row))
+            out.append(None if found is None or eos and np.isin(row[:found], eos).any() else found)
+        return pd.Series(out, dtype="Int64")
+
+    return point(tokens)
 
 
 def analyze(generated: Column, limit: int, eos: list[int], pad: int | None, looped: Column) -> Column:

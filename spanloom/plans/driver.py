@@ -342,6 +342,18 @@ def repetition_guard(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.size("a").cast("long").alias("n"), tokens.repeats_at_end(F.col("a")).alias("looped"))
 
 
+@query("""
+WITH t AS (SELECT doc_id, [length(w)::BIGINT FOR w IN string_split_regex(trim(text), '\\s+')] AS a FROM documents),
+p AS (SELECT doc_id, a, unnest(range(8, 33)) AS p FROM t), i AS (SELECT doc_id, a, p, unnest(range(1, len(a) + 1)) AS i FROM p),
+r AS (SELECT doc_id, p, i, i - coalesce(max(i) FILTER (i <= p OR a[i] <> a[i - p]) OVER (PARTITION BY doc_id, p ORDER BY i), 0) AS run FROM i),
+h AS (SELECT doc_id, min(i) FILTER (run >= 3 * p AND i >= 96) AS point FROM r GROUP BY doc_id)
+SELECT t.doc_id, point::BIGINT AS point, CASE WHEN list_position(a, 12) IS NULL OR list_position(a, 12) > point THEN point END::BIGINT AS stopped FROM t LEFT JOIN h USING (doc_id)""")
+def loop_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the tokens of each document first loop, and where a decoder stops for it: not after an end token, here 12."""
+    t = table(spark, sf, "documents").select("doc_id", F.transform(timing.words(F.col("text")), lambda w: F.length(w).cast("long")).alias("a"))
+    return t.select("doc_id", *(tokens.repetition_point(F.col("a"), eos).alias(n) for n, eos in (("point", []), ("stopped", [12]))))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN c - p < 128 THEN c ELSE p END AS next_limit FROM (SELECT *, least(c, greatest(cur + 128, 2 * cur)) AS p FROM (SELECT l_orderkey, l_linenumber, least(l_partkey, 1024 - l_suppkey % 64) AS c, (l_quantity * 16)::BIGINT AS cur FROM lineitem))")
 def retry_limit(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
@@ -482,11 +494,12 @@ def output_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.collisions(j, "output", "input")
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, 1 + (('0x' || left(sha256(text), 16))::UBIGINT::HUGEINT % 9223372036854775806)::BIGINT AS lock_offset FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(text) AS sha256, 1 + (('0x' || left(sha256(text), 16))::UBIGINT::HUGEINT % 9223372036854775806)::BIGINT AS lock_offset FROM documents")
 def content_sha256(spark: SparkSession, sf: str) -> DataFrame:
+    """The hash of each text and the lock's place that follows from it; nulls for a null text."""
     digest = F.sha2("text", 256)
     offset = (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(9223372036854775806).cast("decimal(20,0)") + 1).cast("long")
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", digest.alias("sha256"), offset.alias("lock_offset"))
+    return table(spark, sf, "documents").select("doc_id", digest.alias("sha256"), offset.alias("lock_offset"))
 
 
 PUBLISHED = "pub AS (SELECT doc_id, sha256(text) AS digest, CASE WHEN quality = 1 THEN 'k1' ELSE 'k2' END AS contract FROM documents JOIN labels USING (doc_id))"

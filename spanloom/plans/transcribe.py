@@ -65,9 +65,16 @@ def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loud
                         raise ValueError(f"over the limit of {most_seconds} seconds")
                     pcm = np.frombuffer(content, "<i2").astype(np.float64)
                     segs, speech = recording_segments(pcm, options, model)
+                    own = []
                     for k, (a, b) in enumerate(segs):
                         inside = [{"start": max(a, s), "end": min(b, e)} for s, e in speech if e > a and s < b]
-                        rows.append((job, k, a, b, inside, content[2 * int(a * intervals.SAMPLE_RATE) : 2 * int(b * intervals.SAMPLE_RATE)], None))
+                        # seconds stand for whole samples, which they can miss by a rounding error
+                        first, end = (int(np.rint(x * intervals.SAMPLE_RATE)) for x in (a, b))
+                        clip = content[2 * first : 2 * end]
+                        if not clip:
+                            raise ValueError(f"segment {k} has no samples")
+                        own.append((job, k, a, b, inside, clip, None))
+                    rows += own
                 except Exception as e:  # noqa: BLE001 - a recording's failure is its own
                     rows.append((job, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["job_index", "segment_index", "start", "end", "speech", "clip", "error"]).astype({"segment_index": "Int64"})

@@ -271,3 +271,72 @@ def test_batch_rollup(spark):
     df = spark.createDataFrame([(24, 100, 120, 50, False), (0, 0, 0, 0, False), (12, 40, 60, 20, False), (24, 100, 120, 0, True)], "rows int, frames int, padded int, tokens int, failed boolean")
     r = stats.batch_rollup(df).first()
     assert (r.batches, r.memory_failures, r.rows, r.frames, r.tokens, r.largest, r.least) == (3, 1, 36, 140, 70, 24, 12)
+
+
+def test_first_loop_is_the_first_prefix_that_loops():
+    rng = np.random.default_rng(8)
+
+    def loops(t):
+        return any(t[-p:] == t[-2 * p : -p] == t[-3 * p : -2 * p] == t[-4 * p : -3 * p] for p in range(8, min(32, len(t) // 4) + 1))
+
+    for _ in range(120):
+        t = rng.integers(0, 3, rng.integers(0, 130)).tolist()
+        at = int(rng.integers(0, len(t) + 1))
+        block = rng.integers(0, 3, rng.integers(6, 35)).tolist()
+        t[at:at] = block * int(rng.integers(1, 8))
+        want = next((m for m in range(96, len(t) + 1) if loops(t[:m])), None)
+        assert tokens.first_loop(np.array(t, np.int64)) == want
+
+
+def test_first_loop_of_long_rows_is_quick():
+    import time
+
+    began = time.perf_counter()
+    t = np.arange(1_000_000)
+    t[-400:] = np.tile(np.arange(20), 20)
+    assert tokens.first_loop(t) == 1_000_000 - 400 + 80
+    assert time.perf_counter() - began < 10
+
+
+def test_loops_after_an_end_token_stop_nothing(spark):
+    t = list(range(100)) + list(range(10)) * 6
+    df = spark.createDataFrame([(1, t), (2, [*t[:99], 7777, *t[100:]]), (3, None), (4, [])], "i int, a array<long>")
+    got = {r.i: r.p for r in df.select("i", tokens.repetition_point(F.col("a"), [7777]).alias("p")).collect()}
+    assert got == {1: 140, 2: None, 3: None, 4: None}
+
+
+def test_edit_counts_take_linear_space():
+    """Two texts of 12,000 words: a table of one byte a cell would have 144 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a, b = ([f"w{x}" for x in rng.integers(0, 50, 12_000)] for _ in range(2))
+    tracemalloc.start()
+    (s, d, i) = stats.edit_counts_of([(a, b)])[0].tolist()
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000 and d == i and 0 < s + d + i < 12_000
+    tracemalloc.stop()
+
+
+def test_casefold_orders_locks(spark):
+    from spanloom.operators import results
+
+    rows = [(1, "STRASSE", 0), (2, "straße", 1), (3, "strasse", 2), (4, "Ärger", 0), (5, "a", 9)]
+    df = spark.createDataFrame(rows, "i int, path string, off int").withColumn("g", F.lit(1))
+    got = [r.i for r in results.lock_order(df, "path", "off", "path", "g").orderBy("turn").collect()]
+    assert got == [i for i, p, o in sorted(rows, key=lambda r: (r[1].casefold(), r[2], r[1].casefold()))] == [5, 1, 2, 3, 4]
+
+
+def test_apostrophes_of_long_words(spark):
+    """The last quote that has a sign on both sides; a word of many quotes takes no square of its length."""
+    import re
+
+    words = ["don\u2019t", "\u2019a\u2019", "a\u2019b\u2018c\u201b", "a\u2019\u2019", "\u2019", "x\u2019\u2019\u2019y\u2018\u2018", "a\u2019b \u2019c d\u2019"]
+    rng = np.random.default_rng(9)
+    words += ["".join(rng.choice(list("ab\u2019\u2018 "), rng.integers(1, 12))) for _ in range(200)]
+    from spanloom.operators import text
+
+    # punctuation goes after this step, so only apostrophes that it made are left
+    want = [re.sub("[\u2018\u2019\u201b]", " ", re.sub(r"(\S+)[\u201b\u2019\u2018](\S+)", r"\1'\2", w)).split() for w in words]
+    df = spark.createDataFrame(list(enumerate([*words, "\u2019a" * 200_000])), "i int, t string")
+    got = [r.n for r in df.orderBy("i").select(text.normalized(F.col("t")).alias("n")).collect()]
+    assert [g.split() for g in got[:-1]] == want and got[-1].endswith("a'a")

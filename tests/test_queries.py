@@ -55,13 +55,42 @@ def test_vad_hysteresis_limited_against_plain(spark, sf):
     assert {tuple(r) for r in driver.QUERIES["vad_hysteresis_limited"](spark, sf).collect()} == want
 
 
-def test_corpus_errors_are_sums(spark, sf):
-    pairs = {}
-    for r in driver.QUERIES["wer_pairs"](spark, sf).collect():
-        u, s, d, i = pairs.get(r.conv_id, (0, 0, 0, 0))
-        pairs[r.conv_id] = (u + r.units, s + r.substitutions, d + r.deletions, i + r.insertions)
-    got = {r.conv_id: tuple(r)[1:] for r in driver.QUERIES["corpus_errors"](spark, sf).collect()}
-    assert got == {k: (*v, round(sum(v[1:]) / v[0], 9) if v[0] else None) for k, v in pairs.items()}
+def test_corpus_errors_against_plain_tables(spark, sf):
+    """All edits over all words of a conversation, from tables that know nothing of the library."""
+    turns, want = {}, {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.text))
+    for conv, texts in turns.items():
+        units = edits = 0
+        texts = [t.split() for _, t in sorted(texts)]
+        for ref, hyp in zip(texts, texts[1:], strict=False):
+            row = list(range(len(hyp) + 1))
+            for i, x in enumerate(ref, 1):
+                row = [i, *row]
+                for j, y in enumerate(hyp, 1):
+                    row[j] = min(row[j] + (x != y), row[j - 1] + 1, row[j + 1] + 1)
+                row.pop()
+            units, edits = units + len(ref), edits + row[-1]
+        if len(texts) > 1:
+            want[conv] = (units, edits)
+    got = {r.conv_id: r for r in driver.QUERIES["corpus_errors"](spark, sf).collect()}
+    assert {k: (r.units, r.substitutions + r.deletions + r.insertions) for k, r in got.items()} == want
+    assert all(r.rate == (round(want[k][1] / want[k][0], 9) if want[k][0] else None) for k, r in got.items())
+
+
+def test_character_errors_of_all_scripts(spark, sf, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(before + (x != y), row[j - 1] + 1, row[j] + 1)
+        return row[-1]
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(-1, "مرحبا بالعالم"), (-2, "日本語テキスト"), (-3, ""), (-4, "ÀÉß x")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.item_id: (r.units, r.distance) for r in driver.QUERIES["character_errors"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(t.lower()), distance(t.lower(), t.lower()[::-1])) for i, t in items} and got[-1] == (13, 10)
 
 
 def test_vad_blocks_keep_to_the_caps(spark, sf):

@@ -75,3 +75,20 @@ def test_options():
     for bad in ({"vad": "x"}, {"text_only": True, "alignment": "word"}, {"formats": ()}, {"formats": ("doc",)}, {"min_dur": 40.0}, {"vad_threshold": 1.5}, {"max_gap": float("nan")}, {"batch_size": 0}, {"vad_merge": True, "vad": "none"}, {"max_retry_tokens": 4}, {"max_dur": 0.5, "vad": "none"}):
         with pytest.raises(OptionError):
             Options(**bad)
+
+
+def test_clips_join_up_to_the_samples(spark):
+    """Windows of a number of samples that no second divides: each clip has exactly its samples."""
+    import types
+
+    import numpy as np
+
+    from spanloom.plans import transcribe as plan
+
+    pcm = np.arange(5_000, dtype="<i2").tobytes()
+    recordings = spark.createDataFrame([(1, pcm), (2, b"")], "job_index long, pcm binary")
+    for window in (1001, 333, 512):
+        options = types.SimpleNamespace(vad="none", max_dur=window / 16_000)
+        rows = sorted(plan.segmented(recordings, options).collect(), key=lambda r: r.segment_index)
+        assert [len(r.clip) // 2 for r in rows] == [min(window, 5_000 - a) for a in range(0, 5_000, window)]
+        assert b"".join(bytes(r.clip) for r in rows) == pcm and not any(r.error for r in rows)
