@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+from .stats import interpolated, selected
 from .text import casefold
 
 SAMPLE_RATE, FRAME_MS = 16_000, 32
@@ -39,9 +41,9 @@ def prepared_rollup(batches: DataFrame, discarded: Column, *values: str) -> Data
 def inferred_durations(segments: DataFrame, duration: str, generated: Column, restored: Column) -> DataFrame:
     """Two rows: count, sum and quartiles of all segments' durations, and of those recognised in this run."""
     rows = segments.select(F.col(duration).alias("d"), F.explode(F.when(generated & ~restored, F.array(F.lit("all"), F.lit("inferred"))).otherwise(F.array(F.lit("all")))).alias("kind"))
-    q = F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = rows.groupBy("kind").agg(F.count("*").alias("segments"), F.round(F.sum("d"), 6).alias("seconds"), q.alias("q"))
-    return got.select("kind", "segments", "seconds", *(F.round(F.get("q", F.lit(k)), 9).alias(n) for k, n in enumerate(("p25", "p50", "p75"))))
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    found = selected(rows, "d", ["kind"], list(quartiles.values()), Scratch(segments.sparkSession, "quantiles")).select("kind", *(F.round(interpolated(p), 9).alias(n) for n, p in quartiles.items()))
+    return rows.groupBy("kind").agg(F.count("*").alias("segments"), F.round(F.sum("d"), 6).alias("seconds")).join(found, "kind", "left")
 
 
 def packed_stats(items: DataFrame, pack: str, frames: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 
 def status(skipped: Column, error: Column) -> Column:
     """skipped before failed before completed."""
@@ -28,11 +32,131 @@ def padding_ratio(items: DataFrame, batch: list[str], frames: str) -> DataFrame:
     return per.agg(F.count("*").alias("batches"), valid.alias("valid"), padded.alias("padded"), F.round(F.when(padded > 0, 1 - valid / padded).otherwise(0.0), 9).alias("padding"))
 
 
+#: Rows of a group that one sort may hold when ranks are looked for.
+SORTED = 1_000_000
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as 64 bits whose order as an unsigned number is that of the values."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("long")
+    return F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(1 << 63))))
+
+
+def selected(df: DataFrame, value: str, keys: list[str], probabilities: list[float], scratch: Scratch, bound: int = SORTED) -> DataFrame:
+    """``(*keys, rows, min, max, ranked)`` with ``ranked`` a map from rank to value, for the ranks that the probabilities lie between.
+
+    Ranks are found digit by digit: a histogram over the leading bits, then
+    over the next ones of only those rows whose leading bits hold a wanted
+    rank, until the rows left of each group are few enough to be sorted.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null").withColumn("b", ordered_bits(F.col("v")))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    shift, width = 64, 20
+    first = rows.groupBy(*keys, F.shiftrightunsigned("b", 44).alias("d")).agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    first = scratch.save(first)
+    groups = first.groupBy(*keys).agg(F.sum("n").alias("rows"), F.min("min").alias("min"), F.max("max").alias("max"))
+    places = F.array(*(F.lit(float(p)) * (F.col("rows") - 1) for p in probabilities))
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    # the histogram of a prefix takes the place of its rows, rank by rank
+    wanted = scratch.save(groups.select(*keys, F.explode(ranks).alias("rank")).withColumn("rest", F.col("rank")).withColumn("p", F.lit(0).cast("long")))
+    counts = first.select(*keys, F.lit(0).cast("long").alias("p"), "d", "n")
+    while True:
+        before = F.sum("n").over(Window.partitionBy(*keys, "p").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+        bins = counts.withColumn("before", before)
+        holds = [F.col("l.p") == F.col("r.p"), F.col("l.rest") >= F.col("before"), F.col("l.rest") < F.col("before") + F.col("n")]
+        shift -= width
+        found = wanted.alias("l").join(bins.alias("r"), _all([*same, *holds]))
+        wanted = scratch.save(found.select(*(F.col(f"l.{k}").alias(k) for k in keys), "l.rank", (F.col("l.rest") - F.col("before")).alias("rest"), F.shiftleft(F.col("l.p"), width).bitwiseOR(F.col("r.d")).alias("p"), "n"))
+        most = wanted.agg(F.max("n")).first()[0]
+        inside = rows.alias("l").join(wanted.select(*keys, "p").distinct().alias("r"), _all([*same, F.shiftrightunsigned("l.b", shift) == F.col("r.p")]), "left_semi")
+        if not shift or most is None or most <= bound:
+            break
+        width = min(22, shift)
+        digit = F.shiftrightunsigned("b", shift - width).bitwiseAND(F.lit((1 << width) - 1))
+        counts = scratch.save(inside.groupBy(*keys, F.shiftrightunsigned("b", shift).alias("p"), digit.alias("d")).agg(F.count("*").alias("n")))
+        wanted = wanted.drop("n")
+    # equal values are one row, so a prefix of all bits needs no sort
+    last = inside.groupBy(*keys, F.shiftrightunsigned("b", shift).alias("p") if shift else F.col("b").alias("p"), "v").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys, "p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    holds = [F.col("l.p") == F.col("r.p"), F.col("l.rest") >= F.col("before"), F.col("l.rest") < F.col("before") + F.col("r.n")]
+    values = wanted.alias("l").join(last.withColumn("before", before).alias("r"), _all([*same, *holds])).select(*(F.col(f"l.{k}").alias(k) for k in keys), "l.rank", "r.v")
+    ranked = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("ranked"))
+    if not keys:
+        return groups.join(F.broadcast(ranked))
+    return groups.alias("l").join(ranked.alias("r"), _all(same)).select("l.*", "ranked")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def interpolated(probability: float) -> Column:
+    """The quantile between the two ranked values that it lies between, of the rows of :func:`selected`."""
+    place = F.lit(float(probability)) * (F.col("rows") - 1)
+    low, high = (F.element_at("ranked", f(place)) for f in (F.floor, F.ceil))
+    return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
 def quantiles(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """min, p50, p90, p99 and max with linear interpolation; nulls without rows."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    got = df.groupBy(*keys).agg(F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return got.select(*keys, "min", *(F.round(F.get("_q", F.lit(k)), 9).alias(n) for k, n in enumerate(("p50", "p90", "p99"))), "max")
+    """min, p50, p90, p99 and max with linear interpolation; groups without values have no row."""
+    got = selected(df, value, list(keys), [0.5, 0.9, 0.99], Scratch(df.sparkSession, "quantiles"))
+    return got.select(*keys, "min", *(F.round(interpolated(p), 9).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))), "max")
+
+
+#: Fixed values of a 32-bit hash: multipliers whose products stay below 2**63.
+MIXERS = (0x21F0AAAD, 0x735A2D97)
+#: Poisson(1) by a 32-bit number: a cluster is drawn once more at each of these.
+POISSON = [round(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) * (1 << 32)) for n in range(12)]
+
+
+def mixed(df: DataFrame) -> DataFrame:
+    """``df`` with a 32-bit hash of its column ``x`` in its place, in 64-bit arithmetic that any engine has.
+
+    Each step is a column of its own, as it reads the one before twice.
+    """
+    for multiplier, shift in zip(MIXERS, (16, 15), strict=True):
+        df = df.withColumn("x", F.col("x").bitwiseXOR(F.shiftright("x", shift)) * multiplier % (1 << 32))
+    return df.withColumn("x", F.col("x").bitwiseXOR(F.shiftright("x", 15)))
+
+
+def cluster_words(cluster: Column) -> list[Column]:
+    """Two 32-bit numbers ``w0, w1`` that stand for a cluster."""
+    digest = F.md5(cluster.cast("string"))
+    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"w{k}") for k in range(2)]
+
+
+def multiplicities(df: DataFrame, seed: int = 0) -> DataFrame:
+    """``df(w0, w1, r, ...)`` with ``m``: how often the replicate ``r`` draws the cluster, a Poisson(1) number from a hash of both, so that no draw is stored."""
+    x = mixed(df.withColumn("x", (F.col("w0") + F.col("r") * 2654435769 + seed) % (1 << 32)))
+    x = mixed(x.withColumn("x", F.col("x").bitwiseXOR(F.col("w1"))))
+    m = F.when(F.col("x") >= POISSON[0], 1).otherwise(0)
+    for bound in POISSON[1:]:
+        m = m + F.when(F.col("x") >= bound, 1).otherwise(0)
+    return x.withColumn("m", m.cast("long")).drop("x")
+
+
+def bootstrap_interval(counts: DataFrame, cluster: Column, units: str, errors: str, others: str, *keys: str, replicates: int = 5000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """``(*keys, clusters, units, rate, other_rate, difference, low, high)``: a paired percentile interval of the difference of two corpus error rates.
+
+    ``counts`` has the units of each row and the errors of two systems on it.
+    Rows of a cluster are drawn together: their counts are summed once, and
+    each replicate multiplies the sums, which add up by replicate before the
+    exchange.  A replicate without units counts for nothing.
+    """
+    sums = counts.groupBy(*keys, cluster.alias("cluster")).agg(*(F.first(w).alias(f"w{k}") for k, w in enumerate(cluster_words(cluster))), F.sum(units).cast("long").alias("u"), F.sum(errors).cast("long").alias("a"), F.sum(others).cast("long").alias("b"))
+    sums = Scratch(counts.sparkSession, "bootstrap").save(sums)
+    drawn = multiplicities(sums.select(*keys, "u", "a", "b", "w0", "w1", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("r")), seed)
+    drawn = drawn.filter("m > 0").groupBy(*keys, "r").agg(*(F.sum(F.col("m") * F.col(c)).alias(c) for c in ("u", "a", "b")))
+    # one number for each replicate, however many clusters there are
+    tails = F.percentile((F.col("a") - F.col("b")) / F.nullif(F.col("u"), F.lit(0)), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    found = drawn.groupBy(*keys).agg(tails.alias("q"))
+    whole = sums.groupBy(*keys).agg(F.count("*").alias("clusters"), F.sum("u").alias("units"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    joined = whole.join(F.broadcast(found)) if not keys else whole.alias("l").join(found.alias("r"), _all([F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])).select("l.*", "q")
+    rate = lambda x: F.round(x / F.nullif(F.col("units"), F.lit(0)), 9)
+    return joined.select(*keys, "clusters", "units", rate(F.col("a")).alias("rate"), rate(F.col("b")).alias("other_rate"), rate(F.col("a") - F.col("b")).alias("difference"), *(F.round(F.get("q", F.lit(k)), 9).alias(n) for k, n in enumerate(("low", "high"))))
 
 
 def share_of_batch(df: DataFrame, batch: str, weight: str, seconds: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import align, models, packing, state, stats
+from ..operators import align, models, packing, state, stats, timing
 from ..operators import results as ops
 from ..operators.folds import fold_groups
 from ..operators.intervals import validate_spans
@@ -214,6 +214,31 @@ def corpus_errors(spark: SparkSession, sf: str) -> DataFrame:
     return ops.corpus_errors(stats.word_errors(pairs, "reference", "hypothesis"), "conv_id")
 
 
+def _mix_sql(x: str) -> str:
+    """The 32-bit hash of :func:`stats.mixed` as SQL over a column ``x`` of a subquery chain."""
+    for multiplier, shift in zip(stats.MIXERS, (16, 15), strict=True):
+        x = f"(xor({x}, {x} >> {shift}) * {multiplier} % 4294967296)"
+    return f"xor({x}, {x} >> 15)"
+
+
+@query(f"""
+WITH t AS (SELECT CASE WHEN conv_id % 5 = 0 THEN 'u' || conv_id || '/' || turn ELSE 's' || conv_id END AS cluster, string_split_regex(trim(text), '\\s+') AS w FROM conversations),
+c AS (SELECT cluster, sum(len(w))::BIGINT AS u, sum(len(list_filter(w, lambda x: length(x) > 7)))::BIGINT AS a, sum(len(list_filter(w, lambda x: length(x) % 4 = 1)))::BIGINT AS b FROM t GROUP BY cluster),
+k AS (SELECT *, ('0x' || md5(cluster)[1:8])::BIGINT AS w0, ('0x' || md5(cluster)[9:16])::BIGINT AS w1 FROM c),
+x AS (SELECT u, a, b, w1, r, (w0 + r * 2654435769) % 4294967296 AS x FROM k, range(5000) AS q(r)), y AS (SELECT u, a, b, r, xor({_mix_sql("x")}, w1) AS x FROM x), z AS (SELECT u, a, b, r, {_mix_sql("x")} AS x FROM y),
+m AS (SELECT *, {" + ".join(f"(x >= {bound})::INT" for bound in stats.POISSON)} AS m FROM z),
+d AS (SELECT r, (sum(m * a) - sum(m * b))::DOUBLE / sum(m * u) AS d FROM m GROUP BY r HAVING sum(m * u) > 0),
+q AS (SELECT quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM d)
+SELECT count(*) AS clusters, sum(u)::BIGINT AS units, round(sum(a)::DOUBLE / sum(u), 9) AS rate, round(sum(b)::DOUBLE / sum(u), 9) AS other_rate, round((sum(a) - sum(b))::DOUBLE / sum(u), 9) AS difference, round(any_value(low), 9) AS low, round(any_value(high), 9) AS high FROM c, q""")
+def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Two systems' errors on the words of all turns, with 5,000 replicates over speakers, or turns where no speaker is known."""
+    words = timing.words(F.col("text"))
+    cluster = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("u"), "conv_id", F.lit("/"), "turn")).otherwise(F.concat(F.lit("s"), "conv_id"))
+    long, odd = (F.size(F.filter(words, f)) for f in (lambda w: F.length(w) > 7, lambda w: F.length(w) % 4 == 1))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.size(words).alias("units"), long.alias("errors"), odd.alias("others"))
+    return stats.bootstrap_interval(turns, cluster, "units", "errors", "others")
+
+
 @query()
 def character_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Characters of whole items and their edits to the items backwards; DuckDB's distance counts bytes, so a plain table holds this."""
