@@ -8,8 +8,9 @@ links.  How many texts hold an id pair linked is counted by Spark over the
 texts' sets of pairs, and joined back to each text's pairs.
 
 A blank between two visible characters ends a token of both kinds, so a text
-is aligned chunk by chunk, and chunks that occur again come from a cache.  A
-text without such blanks is one chunk.
+is encoded chunk by chunk, and chunks that occur again come from a cache.  The
+graphs of many texts are one graph, whose components are found at once; a very
+long text is cut at such blanks, so that memory doesn't grow with it.
 
 Defined results: texts that are null or empty, or that either tokenizer
 doesn't give back byte for byte, have no tokens: zeros and an empty hash.
@@ -23,8 +24,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
 
@@ -40,92 +41,79 @@ from ..sources.scratch import Scratch
 from .packing import Encoder, read_ranks
 
 #: Chunks that a worker's cache holds before it starts again, and the longest one it keeps.
-CACHE, LONGEST = 150_000, 48
+CACHE, LONGEST = 500_000, 48
 #: Distinct pairs whose counts may be sent to every task; Spark joins more of them by shuffle.
 PAIRS = 1_000_000
-#: Pairs of one batch that leaves a task.
-FLUSH = 500_000
+#: Characters that are aligned at once, and rows that leave a task together.
+STRETCH, ROWS = 200_000, 500
 
 #: A blank that ends tokens of both kinds: no token has a visible character before a blank.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 UNSAFE = re.compile(r"\s | \s|^ | \Z").search
 
 
-class Tokens(NamedTuple):
-    """A tokenizer: the ids of a chunk after a blank, and the bytes of an id."""
-
-    ids: Callable[[str], list[int]]
-    text: Callable[[int], bytes]
-
-
-def byte_level(ranks: dict[bytes, int]) -> Tokens:
-    """Byte-level BPE by its ranks."""
-    encoder, text = Encoder(ranks), {n: b for b, n in ranks.items()}
-    return Tokens(lambda chunk: np.frombuffer(encoder.ordinary(" " + chunk), np.uint32).tolist(), text.__getitem__)
-
-
-def pieces(model: bytes) -> Tokens:
-    """A sentencepiece model that puts a blank before a text and changes nothing else of it."""
-    from sentencepiece import SentencePieceProcessor
-
-    p = SentencePieceProcessor(model_proto=model)
-
-    def text(n: int) -> bytes:
-        if p.is_byte(n):
-            return bytes([int(p.id_to_piece(n)[3:5], 16)])
-        return p.id_to_piece(n).replace("▁", " ").encode()
-
-    if any("▁" in p.id_to_piece(n).lstrip("▁") for n in range(p.get_piece_size())):
-        raise ValueError("a piece has a blank after another character, so texts can't be cut at blanks")
-    return Tokens(p.encode, once_each(text))
-
-
-def once_each(text: Callable[[int], bytes]) -> Callable[[int], bytes]:
-    """``text`` with its results kept, at most one for each id of the vocabulary."""
-    known: dict[int, bytes] = {}
-
-    def get(n: int) -> bytes:
-        if n not in known:
-            known[n] = text(n)
-        return known[n]
-
-    return get
-
-
-def overlaps(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """The places of all tokens of two tilings of the same bytes whose ranges overlap, in order."""
-    out, i, j = [], 0, 0
-    while i < len(a_ends) and j < len(b_ends):
-        out.append((i, j))
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-    return out
+class Pieces:
+    """Ids of a text by a sentencepiece model that puts a blank before it, as little-endian unsigned 32-bit integers.
 
+    A text is encoded chunk by chunk from a cache; None if the model doesn't give it back.
+    """
 
-def components(n_a: int, n_b: int, edges: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
-    """The connected components of a bipartite graph, as members of either side, in order of the first ones."""
-    up = list(range(n_a + n_b))
+    def __init__(self, model: bytes):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = p = SentencePieceProcessor(model_proto=model)
+        names = [p.id_to_piece(n) for n in range(p.get_piece_size())]
+        if any("▁" in name.lstrip("▁") for name in names):
+            raise ValueError("a piece has a blank after another character, so texts can't be cut at blanks")
+        self.texts = [bytes([int(name[3:5], 16)]) if p.is_byte(n) else name.replace("▁", " ").encode() for n, name in enumerate(names)]
+        self.known: dict[str, bytes | None] = {}
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes | None]:
+        made = {}
+        for chunk, ids in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True):
+            fine = b"".join([self.texts[n] for n in ids]) == b" " + chunk.encode()
+            made[chunk] = array("I", ids).tobytes() if fine else None
+        if len(self.known) > CACHE:
+            self.known.clear()
+        self.known |= {chunk: ids for chunk, ids in made.items() if len(chunk) <= LONGEST}
+        return made
 
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def __call__(self, text: str) -> bytes | None:
+        chunks = CUT.split(text) if UNSAFE(text) else text.split(" ")
+        try:
+            ids = [self.known[c] for c in chunks]
+        except KeyError:
+            # the cache can start again, so what this text has is kept aside
+            own = {c: self.known[c] for c in set(chunks) if c in self.known}
+            own |= self._learn([c for c in set(chunks) if c not in own])
+            ids = [own[c] for c in chunks]
+        return None if None in ids else b"".join(ids)
 
-    for i, j in edges:
-        x, y = find(i), find(n_a + j)
-        up[max(x, y)] = min(x, y)
-    groups: dict[int, tuple[list[int], list[int]]] = {}
-    for i in range(n_a):
-        groups.setdefault(find(i), ([], []))[0].append(i)
-    for j in range(n_b):
-        groups.setdefault(find(n_a + j), ([], []))[1].append(j)
-    return list(groups.values())
 
+def united(nodes: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each node's connected component: union-find over all edges at once.
 
-class Chunk(NamedTuple):
-    """What a chunk adds to its text: numbers, linked pairs with their occurrences, and the groups as text."""
+    Each round hooks the roots that an edge joins, the larger to the smaller
+    one, and then halves all paths until every node points at its root.
+    """
+    up = np.arange(nodes)
+    while True:
+        a, b = up[u], up[v]
+        apart = a != b
+        if not apart.any():
+            return up
+        # only edges between two roots go on
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        up[np.maximum(a, b)] = np.minimum(a, b)
+        while True:
+            half = up[up]
+            if (half == up).all():
+                break
+            up = half
+
+
+class Aligned(NamedTuple):
+    """The alignment of one stretch of text: numbers, linked pairs with their occurrences, and the groups as text."""
 
     n_a: int
     n_b: int
@@ -136,60 +124,127 @@ class Chunk(NamedTuple):
     groups: bytes
 
 
-def align(chunk: str, a: Tokens, b: Tokens) -> Chunk | None:
-    """The alignment of a chunk after a blank; None if either side doesn't give it back."""
-    whole = b" " + chunk.encode("utf-8", "replace")
-    ids = a.ids(chunk), b.ids(chunk)
-    texts = [list(map(t.text, n)) for t, n in zip((a, b), ids, strict=True)]
-    if any(b"".join(t) != whole for t in texts):
-        return None
-    a_ends, b_ends = (np.cumsum([len(x) for x in t]).tolist() for t in texts)
-    edges = overlaps(a_ends, b_ends)
-    groups = components(len(a_ends), len(b_ends), edges)
-    # a component's links are those of its members among themselves
-    links: list[int] = []
-    for of_a, of_b in groups:
-        for i, j in overlaps([a_ends[i] for i in of_a], [b_ends[j] for j in of_b]):
-            links.append(ids[0][of_a[i]] << 32 | ids[1][of_b[j]])
-    pairs, times = np.unique(np.array(links, np.int64), return_counts=True)
-    named = ";".join(",".join(str(ids[0][i]) for i in g) + "|" + ",".join(str(ids[1][j]) for j in h) for g, h in groups)
-    return Chunk(len(a_ends), len(b_ends), len(groups), len(links), pairs, times, named.encode())
-
-
 class Aligner:
-    """Alignments of texts, from a cache of chunks."""
-
-    def __init__(self, a: Tokens, b: Tokens):
-        self.a, self.b = a, b
-        self.known: dict[str, Chunk | None] = {}
-
-    def chunk(self, chunk: str) -> Chunk | None:
-        if chunk in self.known:
-            return self.known[chunk]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        made = align(chunk, self.a, self.b)
-        if len(chunk) <= LONGEST:
-            self.known[chunk] = made
-        return made
-
-    def text(self, text: str | None) -> Chunk:
-        """The whole text's alignment, its groups hashed; zeros if it has none."""
-        none = Chunk(0, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), b"")
-        if not text:
-            return none
-        chunks = CUT.split(text) if UNSAFE(text) else text.split(" ")
-        count = Counter(chunks)
-        made = {c: self.chunk(c) for c in count}
-        if None in made.values():
-            return none
-        parts, often = list(made.values()), np.fromiter(count.values(), np.int64, len(count))
-        n_a, n_b, n_groups, n_links = (int(often @ np.fromiter((p[k] for p in parts), np.int64, len(parts))) for k in range(4))
-        sizes = np.fromiter((len(p.pairs) for p in parts), np.int64, len(parts))
-        pairs, at = np.unique(np.concatenate([p.pairs for p in parts]), return_inverse=True)
-        times = np.bincount(at, np.concatenate([p.times for p in parts]) * np.repeat(often, sizes), len(pairs)).astype(np.int64)
-        digest = hashlib.sha256(b";".join([made[c].groups for c in chunks])).hexdigest()
-        return Chunk(n_a, n_b, n_groups, n_links, pairs, times, digest.encode())
+    """Aligns many stretches of text at once."""
+
+    def __init__(self, ranks: dict[bytes, int], model: bytes):
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("a byte has no token, so texts may not come back")
+        self.encoder, self.pieces = Encoder(ranks), Pieces(model)
+        top = max(ranks.values()) + 1
+        self.a_size = np.zeros(top, np.int64)
+        for text, n in ranks.items():
+            self.a_size[n] = len(text)
+        self.b_size = np.array([len(t) for t in self.pieces.texts])
+        # ids as text, with what comes after them inside a group and at the end of its side
+        self.shown = [b"%d%s" % (n, end) for count, ends in ((top, (b",", b"|")), (len(self.b_size), (b",", b";"))) for end in ends for n in range(count)]
+
+    def __call__(self, texts: list[str]) -> list[Aligned | None]:
+        """The alignment of each text; None for those that don't come back."""
+        kept, ids = [], []
+        for k, text in enumerate(texts):
+            b = self.pieces(text)
+            if b is not None:
+                kept.append(k)
+                ids.append((np.frombuffer(self.encoder.ordinary(" " + text), np.uint32).astype(np.int64), np.frombuffer(b, np.uint32).astype(np.int64)))
+        out: list[Aligned | None] = [None] * len(texts)
+        if kept:
+            for k, made in zip(kept, self._tiled([a for a, _ in ids], [b for _, b in ids]), strict=True):
+                out[k] = made
+        return out
+
+    def _tiled(self, of_a: list[np.ndarray], of_b: list[np.ndarray]) -> list[Aligned]:
+        a, b = np.concatenate(of_a), np.concatenate(of_b)
+        a_cut, b_cut = (np.cumsum([0, *map(len, x)]) for x in (of_a, of_b))
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends_a, ends_b = (np.zeros(a_ends[-1] + 1, bool) for _ in range(2))
+        ends_a[a_ends] = ends_b[b_ends] = True
+        # two tokens overlap in one stretch between neighbouring ends of either side
+        ends = np.flatnonzero(ends_a | ends_b)
+        i, j = (np.cumsum(x)[ends] - x[ends] for x in (ends_a, ends_b))
+        root = united(len(a) + len(b), i, len(a) + j)
+        # the least member of a group is a token of the first side, so its places number the groups
+        first = root[: len(a)] == np.arange(len(a))
+        group_a = np.cumsum(first) - 1
+        group_b = group_a[root[len(a) :]]
+        # the members of each group in turn, as text
+        b_before = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=group_a[-1] + 1))])
+        a_until = np.cumsum(np.bincount(group_a))
+        named = np.empty(len(a) + len(b), np.int64)
+        last = lambda g: np.append(g[1:] != g[:-1], True)
+        named[np.arange(len(a)) + b_before[group_a]] = a + len(self.a_size) * last(group_a)
+        named[np.arange(len(b)) + a_until[group_b]] = 2 * len(self.a_size) + b + len(self.b_size) * last(group_b)
+        # the links of each text, sorted, with their occurrences
+        owner = np.searchsorted(a_cut, i, side="right") - 1
+        links = np.sort(owner << 32 | a[i] * len(self.b_size) + b[j])
+        new = np.flatnonzero(np.append(True, links[1:] != links[:-1]))
+        times, links = np.diff(np.append(new, len(links))), links[new]
+        code = links & 0xFFFFFFFF
+        pairs = code // len(self.b_size) << 32 | code % len(self.b_size)
+        cut = np.searchsorted(links >> 32, np.arange(len(of_a) + 1))
+        n_groups, n_links = np.add.reduceat(first, a_cut[:-1]), np.bincount(owner, minlength=len(of_a))
+        shown = self.shown.__getitem__
+        out = []
+        for k in range(len(of_a)):
+            text = b"".join(map(shown, named[a_cut[k] + b_cut[k] : a_cut[k + 1] + b_cut[k + 1]].tolist()))[:-1]
+            out.append(Aligned(len(of_a[k]), len(of_b[k]), int(n_groups[k]), int(n_links[k]), pairs[cut[k] : cut[k + 1]], times[cut[k] : cut[k + 1]], text))
+        return out
+
+
+def stretches(text: str, most: int) -> Iterator[str]:
+    """A long text cut at blanks that end tokens, into stretches of ``most`` characters, or of more where there is no such blank."""
+    start = 0
+    while len(text) - start > most and (found := CUT.search(text, start + most)):
+        yield text[start : found.start()]
+        start = found.end()
+    yield text[start:]
+
+
+class Row:
+    """A text's alignment, stretch after stretch."""
+
+    def __init__(self) -> None:
+        self.numbers = np.zeros(4, np.int64)
+        self.digest = hashlib.sha256()
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.fine = True
+
+    def add(self, made: Aligned | None) -> None:
+        if made is None:
+            self.fine = False
+        elif self.fine:
+            self.digest.update(b";" + made.groups if self.parts else made.groups)
+            self.numbers += made[:4]
+            self.parts.append((made.pairs, made.times))
+
+    def result(self) -> Aligned:
+        if not self.fine or not self.parts:
+            return Aligned(0, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), b"")
+        pairs, times = self.parts[0]
+        if len(self.parts) > 1:
+            pairs, at = np.unique(np.concatenate([p for p, _ in self.parts]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([t for _, t in self.parts])).astype(np.int64)
+        return Aligned(*map(int, self.numbers), pairs, times, self.digest.hexdigest().encode())
+
+
+def rows_of(texts: list[str | None], aligner: Aligner) -> list[Aligned]:
+    """The whole alignment of each text, its groups hashed; zeros where there is none."""
+    rows, waiting, size = [Row() for _ in texts], [], 0
+
+    def close() -> None:
+        for (k, _), made in zip(waiting, aligner([t for _, t in waiting]), strict=True):
+            rows[k].add(made)
+        waiting.clear()
+
+    for k, text in enumerate(texts):
+        for part in stretches(text, STRETCH) if text else ():
+            waiting.append((k, part))
+            size += len(part)
+            if size > STRETCH:
+                close()
+                size = 0
+    close()
+    return [r.result() for r in rows]
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -205,24 +260,21 @@ def alignments(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = once(key, lambda: Aligner(byte_level(shared.value[0]), pieces(shared.value[1])))
+        aligner = once(key, lambda: Aligner(*shared.value))
         row = TaskContext.get().partitionId() << 33
 
-        def out(ids: pa.Array, made: list[Chunk]) -> pa.RecordBatch:
+        def out(ids: pa.Array, made: list[Aligned]) -> pa.RecordBatch:
             offsets = pa.array(np.cumsum([0, *(len(m.pairs) for m in made)]), pa.int32())
             members = pa.StructArray.from_arrays([np.concatenate([m.pairs for m in made]), np.concatenate([m.times for m in made])], names=["pair", "times"])
             numbers = [pa.array([m[k] for m in made], pa.int64()) for k in range(4)]
             return pa.RecordBatch.from_arrays([ids, pa.array(np.arange(row, row + len(made))), *numbers, pa.array([m.groups.decode() for m in made]), pa.ListArray.from_arrays(offsets, members)], names=schema.names)
 
         for batch in batches:
-            made, first, waiting = [], 0, 0
-            for k in range(batch.num_rows):
-                made.append(aligner.text(batch.column(1)[k].as_py()))
-                waiting += len(made[-1].pairs)
-                if waiting > FLUSH or k + 1 == batch.num_rows:
-                    yield out(batch.column(0).slice(first, len(made)), made)
-                    row += len(made)
-                    made, first, waiting = [], k + 1, 0
+            # so many rows at a time that their pairs, and the rows' own copies, stay small
+            for first in range(0, batch.num_rows, ROWS):
+                made = rows_of(batch.column(1).slice(first, ROWS).to_pylist(), aligner)
+                yield out(batch.column(0).slice(first, len(made)), made)
+                row += len(made)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -87,26 +88,30 @@ def test_random_texts(spark, tokens):
     assert rows_of(crosstok.cross_align(spark.createDataFrame(rows, "doc_id long, text string"), A, B)) == plain(rows, tokens)
 
 
-def test_components_are_the_minimal_groups():
-    rng = random.Random(3)
+def test_components_are_those_of_a_plain_search():
+    rng = np.random.default_rng(3)
     for _ in range(200):
-        n = rng.randint(1, 30)
-        a, b = (sorted({n, *rng.choices(range(1, n + 1), k=rng.randint(0, n))}) for _ in range(2))
-        edges = crosstok.overlaps(a, b)
-        assert edges == [(i, j) for i, y in enumerate(a) for j, z in enumerate(b) if max([0, *a][i], [0, *b][j]) < min(y, z)]
-        got = crosstok.components(len(a), len(b), edges)
-        common = sorted(set(a) & set(b))
-        assert got == [([k for k, e in enumerate(a) if x < e <= y], [k for k, e in enumerate(b) if x < e <= y]) for x, y in zip([0, *common], common, strict=False)]
-
-
-def test_memory_is_bounded(tokens, monkeypatch):
-    """A full cache starts again with equal results."""
+        n, m = int(rng.integers(1, 40)), int(rng.integers(0, 60))
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        near = {x: {x} for x in range(n)}
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            joined = near[a] | near[b]
+            for x in joined:
+                near[x] = joined
+        assert crosstok.united(n, u, v).tolist() == [min(near[x]) for x in range(n)]
+
+
+def test_small_caches_and_stretches(tokens, monkeypatch):
+    """A cache that starts again, texts cut into many stretches, and stretches of many texts give equal results."""
     from spanloom.llm.packing import read_ranks
 
-    aligner = crosstok.Aligner(crosstok.byte_level(read_ranks(A)), crosstok.pieces(open(B, "rb").read()))
-    text = " ".join(f"word{k % 50}" for k in range(400))
-    once = aligner.text(text)
+    texts = [" ".join(f"word{k % 50} und  {k}" for k in range(400)), "ein " * 300, None, "", "x" * 900, "kurz", "▁ nein " * 20, " ".join(f"w{k}" for k in range(700)) + " "]
+    whole = crosstok.rows_of(texts, crosstok.Aligner(read_ranks(A), open(B, "rb").read()))
     monkeypatch.setattr(crosstok, "CACHE", 7)
-    aligner.known.clear()
-    again = aligner.text(text)
-    assert once[:4] == again[:4] and once.groups == again.groups and (once.pairs == again.pairs).all() and len(aligner.known) <= 9
+    monkeypatch.setattr(crosstok, "STRETCH", 50)
+    parts = crosstok.rows_of(texts, crosstok.Aligner(read_ranks(A), open(B, "rb").read()))
+    plain_rows = {i: (a, b, g, n, h) for i, a, b, g, n, _, _, h in plain(list(enumerate(texts)), tokens)}
+    for k, (x, y) in enumerate(zip(whole, parts, strict=True)):
+        assert (*x[:4], x.groups.decode()) == plain_rows[k] == (*y[:4], y.groups.decode())
+        assert (x.pairs == y.pairs).all() and (x.times == y.times).all()
+    assert list(crosstok.stretches("ab cd  ef gh", 2)) == ["ab", "cd  ef", "gh"]
