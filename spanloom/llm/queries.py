@@ -65,13 +65,25 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.judge(docs, label_table(spark, sf), ["low_quality", "toxic"], reject="toxic")
 
 
-def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf, "documents").select("doc_id", "text"))
+def secret_rows(found: DataFrame) -> DataFrame:
+    """The contract's columns of a scan."""
     base = F.filter("spans", lambda s: s["base"])
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), "blob")
 
 
+def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_rows(secrets.scan(table(spark, sf, "documents").select("doc_id", "text"))[0])
+
+
+def op8_secrets_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of op8_secrets by a second run: a first one left its ledger of half of all blobs, and only the others are scanned."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    earlier = docs.filter(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 1) < "8")
+    _, ledger = secrets.scan(earlier)
+    return secret_rows(secrets.scan(docs, ledger=ledger)[0])
+
+
 def op9_ppm(spark: SparkSession, sf: str) -> DataFrame:
     training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     return lm.score_corpus(table(spark, sf, "documents"), training, order=4)
@@ -101,7 +113,7 @@ def op13_crosstok(spark: SparkSession, sf: str) -> DataFrame:
     return crosstok.cross_align(table(spark, sf, "documents"), *paths)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op9_ppm, op10_urls, op11_minhash, op12_merkle, op13_crosstok)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op2_audio, op3_lines, op4_decontaminate, op5_licenses, op6_packing, op7_toxicity, op8_secrets, op8_secrets_resumed, op9_ppm, op10_urls, op11_minhash, op12_merkle, op13_crosstok)}
 
 
 def _quoted(text: str) -> str:
@@ -149,17 +161,23 @@ LINES_SQL = r"""
     SELECT p.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string([x FOR x, j IN ps IF NOT list_contains(gone, j)], '') END AS text, coalesce(len(gone), 0)::INT AS deleted FROM p LEFT JOIN g USING (doc_id)"""
 
 
+#: Rules that DuckDB's patterns can only say with the sign before a match, and the group without it.
+WITH_SIGN = {"web_token": (r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1)}
+
+
 def secret_sql() -> str:
-    """Matches in order; each one's place is where its text next occurs."""
+    """Matches in order; each one's place is where its text next occurs, and its span ends there."""
+    stated = lambda r: WITH_SIGN.get(r.kind, (r.pattern, 0))
     rules = " UNION ALL ".join(
-        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {str(r.base).lower()} AS base, {r.least} AS least, text, regexp_extract_all(text, {_quoted(r.pattern)}) AS ms, regexp_extract_all(text, {_quoted(r.pattern)}, {r.group}) AS gs FROM d" for k, r in enumerate(secrets.RULES)
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {str(r.base).lower()} AS base, {r.least} AS least, text, regexp_extract_all(text, {_quoted(stated(r)[0])}) AS ms, regexp_extract_all(text, {_quoted(stated(r)[0])}, {stated(r)[1]}) AS ws, regexp_extract_all(text, {_quoted(stated(r)[0])}, {r.group}) AS gs FROM d"
+        for k, r in enumerate(secrets.RULES)
     )
     return f"""
     WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS ({rules}),
-    q AS (SELECT *, ms[i] AS m, gs[i] AS g FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM a)),
+    q AS (SELECT *, ms[i] AS m, ws[i] AS w, gs[i] AS g FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM a)),
     r AS (SELECT DISTINCT doc_id, k, 0::BIGINT AS i, 0::BIGINT AS s, 0::BIGINT AS e FROM q
       UNION ALL SELECT q.doc_id, q.k, q.i, r.e + strpos(substr(q.text, r.e + 1), q.m) - 1, r.e + strpos(substr(q.text, r.e + 1), q.m) - 1 + length(q.m) FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k AND q.i = r.i + 1),
-    x AS (SELECT r.doc_id, r.s, r.k, q.kind, q.base, q.kind || ':' || r.s || ':' || r.e AS span FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k AND q.i = r.i WHERE length(q.g) >= q.least),
+    x AS (SELECT r.doc_id, r.e - length(q.w) AS s, r.k, q.kind, q.base, q.kind || ':' || (r.e - length(q.w)) || ':' || r.e AS span FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k AND q.i = r.i WHERE length(q.g) >= q.least),
     t AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, k) FILTER (base) AS b, string_agg(span, ',' ORDER BY s, k) AS every FROM x GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(every, '') AS spans, sha256(d.text) AS blob FROM d LEFT JOIN t USING (doc_id)"""
 
@@ -202,4 +220,4 @@ MERKLE_SQL = """
     r AS (SELECT digest AS root FROM u WHERE n = 1)
     SELECT doc_id, leaf, q.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o JOIN q ON q.s = o.s JOIN e ON e.row = o.row LEFT JOIN z ON z.row = o.row, r"""
 
-ORACLE_SQL: dict[str, str] = {"op11_minhash": MINHASH_SQL, "op12_merkle": MERKLE_SQL, "op3_lines": LINES_SQL, "op8_secrets": secret_sql(), "op5_licenses": license_sql(), "op10_urls": URL_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_minhash": MINHASH_SQL, "op12_merkle": MERKLE_SQL, "op3_lines": LINES_SQL, "op8_secrets": secret_sql(), "op8_secrets_resumed": secret_sql(), "op5_licenses": license_sql(), "op10_urls": URL_SQL}

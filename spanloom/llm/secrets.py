@@ -45,7 +45,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}"),
     # kinds that the ledger adds to the base ones
     Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", base=False),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", base=False),
+    # one start for each run of these letters, and no run is given back, so that long runs aren't searched again and again
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", base=False),
 )
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,base:boolean>>"
@@ -96,7 +97,8 @@ def scan(df: DataFrame, text_col: str = "text", ledger: DataFrame | None = None,
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keep = others(df, text_col, "blob", "spans")
     scratch, version = Scratch(df.sparkSession, "secrets"), F.lit(rules_version(rules)).alias("rule_version")
-    unseen = df.select(text.alias("t")).distinct().select(F.sha2("t", 256).alias("blob"), "t")
+    # a blob's address stands for its text in the exchange's key
+    unseen = df.select(F.sha2(text, 256).alias("blob"), text.alias("t")).groupBy("blob").agg(F.first("t").alias("t"))
     known = None
     if ledger is not None:
         # a pair that is in the ledger twice counts once
