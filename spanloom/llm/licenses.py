@@ -12,7 +12,10 @@ words of a line, over several blocks, or with code right after it.  So every
 run of words, wherever it begins and ends, is compared too.  A run that
 reaches ``least`` holds b * least / (2 - least) of a template's bigrams or
 more; texts that hold fewer are left out, and the rest are few.  The best run
-begins with a bigram of the template, since others only lower it.
+begins with a bigram of the template that it has once: others only lower it,
+and one that comes again can be left out.  It ends before it has more bigrams
+than a match can have.  So a text of any length, and one that repeats a
+licence many times, costs work in proportion to its words.
 
 Before any of that a text is left out that holds none of some words: those are
 chosen until fewer of a template's bigrams have none of them than a match needs.
@@ -27,7 +30,7 @@ nothing; a unit's best template is reported, the first by name on a tie; a
 text's blocks are those of more than one line, if there are several, and the
 whole counts if it has a newline, so that one licence can be told by several
 units.  A text's best
-run for a licence is reported once, the first on a tie, with the number of its
+run for a licence is reported once, the shortest and then the first on a tie, with the number of its
 first word as ``at``, if no unit of that id reports the licence.
 """
 
@@ -43,17 +46,24 @@ from ..sources.scratch import Scratch
 
 #: Text of the templates that one pass compares.
 TEMPLATE_BYTES = 4 << 20
+#: Words of a run that are read first, and a place that no text has.
+STRETCH, NEVER = 64, 2**31 - 1
 
 #: Notices and short licences, by name.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-2-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "BSD-3-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "all-rights-reserved": "All rights reserved.",
 }
 
@@ -101,15 +111,24 @@ def runs(docs: DataFrame, known: list[Column], least: float) -> DataFrame:
     hits = F.filter(templates, lambda t: F.size(F.array_intersect(t["pairs"], F.col("shared"))) >= t["low"])
     names = F.when(F.size("shared") > 0, F.transform(hits, lambda t: t["name"]))
     held = each.select("row", "id", "pairs", F.explode(F.array(names)).alias("names")).filter(F.size("names") > 0)
-    # each bigram with the place of the one before that is equal
+    # each bigram with the places of the ones before and after it that are equal
     placed = held.select("row", "id", "names", F.posexplode("pairs").alias("pos", "pair"))
-    before = F.coalesce(F.lag("pos").over(Window.partitionBy("row", "pair").orderBy("pos")), F.lit(-1))
-    whole = placed.withColumn("before", before).groupBy("row").agg(F.first("id").alias("id"), F.first("names").alias("names"), F.array_sort(F.collect_list(F.struct("pos", "before", "pair"))).alias("seq"))
+    equal = Window.partitionBy("row", "pair").orderBy("pos")
+    placed = placed.withColumn("before", F.coalesce(F.lag("pos").over(equal), F.lit(-1))).withColumn("after", F.coalesce(F.lead("pos").over(equal), F.lit(NEVER)))
+    whole = placed.groupBy("row").agg(F.first("id").alias("id"), F.first("names").alias("names"), F.array_sort(F.collect_list(F.struct("pos", "before", "after", "pair"))).alias("seq"))
     one = whole.select("row", "id", "seq", F.explode(F.filter(templates, lambda t: F.array_contains(F.col("names"), t["name"]))).alias("t"))
-    marked = F.transform("seq", lambda x: F.struct(x["pos"].alias("pos"), x["before"].alias("before"), F.array_contains(F.col("t.pairs"), x["pair"]).cast("int").alias("hit")))
-    one = one.select("row", "id", F.col("t.name").alias("license"), F.size("t.pairs").alias("b"), F.explode(F.array(marked)).alias("seq"))
+    marked = F.transform("seq", lambda x: F.struct(x["pos"].alias("pos"), x["before"].alias("before"), x["after"].alias("after"), F.array_contains(F.col("t.pairs"), x["pair"]).cast("int").alias("hit")))
+    one = one.select("row", "id", F.col("t.name").alias("license"), F.size("t.pairs").alias("b"), F.col("t.high").alias("high"), F.explode(F.array(marked)).alias("seq"))
+    # a run is read stretch by stretch, each twice as long as the one before
+    stretches = F.array(*(F.struct(F.lit(STRETCH * (2**k - 1)).alias("skip"), F.lit(STRETCH * 2**k).alias("most")) for k in range(24)))
 
     def best_from(start: Column) -> Column:
+        """The best run that begins here: up to where its first bigram comes again, or where it has more bigrams than a match can have.
+
+        A run whose first bigram comes again is no better than without it, so
+        at each word no more than ``high`` runs are still open, and the work
+        grows in proportion to the text.
+        """
         zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("dice"))
 
         def step(acc: Column, x: Column) -> Column:
@@ -118,8 +137,12 @@ def runs(docs: DataFrame, known: list[Column], least: float) -> DataFrame:
             dice = F.lit(2.0) * both / (size + F.col("b"))
             return F.struct(size.alias("size"), both.alias("both"), F.greatest(acc["dice"], dice).alias("dice"))
 
-        rest = F.slice("seq", start["pos"] + 1, F.size("seq"))
-        return F.struct((-F.aggregate(rest, zero, step, lambda acc: acc["dice"])).alias("minus"), start["pos"].alias("at"))
+        def stretch(acc: Column, part: Column) -> Column:
+            first = start["pos"] + part["skip"]
+            length = F.least(part["most"], start["after"] - first)
+            return F.when((acc["size"] > F.col("high")) | (length <= 0) | (first >= F.size("seq")), acc).otherwise(F.aggregate(F.slice("seq", first + 1, length), acc, step))
+
+        return F.struct((-F.aggregate(stretches, zero, stretch, lambda acc: acc["dice"])).alias("minus"), start["pos"].alias("at"))
 
     best = F.array_min(F.transform(F.filter("seq", lambda x: x["hit"] > 0), best_from))
     return one.select("row", "id", "license", F.explode(F.array(best)).alias("best")).filter(F.col("best.minus") <= -least).select("row", "id", F.lit("run").alias("kind"), F.col("best.at").alias("at"), "license", F.round(-F.col("best.minus"), 6).alias("dice"))
