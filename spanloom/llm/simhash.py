@@ -177,13 +177,14 @@ def link_block(nodes: list[int], queries: list[int], radius: int, same: Callable
     return [(x, find(x)) for x in root if find(x) != x]
 
 
-def tree_rows(keyed: DataFrame, tree_nodes: int) -> DataFrame:
+def tree_rows(keyed: DataFrame, tree_nodes: int, scratch: Scratch) -> DataFrame:
     """``(key, fp, p(i, j, role))``: the places of each member of ``keyed(fp, key)`` in the blocks of its shard.
 
     Shards of one member have no blocks.  A member of a shard with n trees goes
     to n + 1 blocks, so a block never has more than about two trees' members.
     """
-    size = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # written before the join, so that Spark can split a hot shard
+    size = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     trees = F.ceil(F.col("n") / F.lit(tree_nodes)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     placed = keyed.join(size, "key").withColumn("trees", trees).withColumn("own", own)
@@ -193,9 +194,9 @@ def tree_rows(keyed: DataFrame, tree_nodes: int) -> DataFrame:
     return placed.select("key", "fp", F.explode(F.concat(as_node, as_query)).alias("p"))
 
 
-def useful_blocks(keyed: DataFrame, tree_nodes: int) -> DataFrame:
+def useful_blocks(keyed: DataFrame, tree_nodes: int, scratch: Scratch) -> DataFrame:
     """``(key, i, j, nodes, queries)`` of the blocks of ``keyed(fp, key)`` that can link anything."""
-    blocks = tree_rows(keyed, tree_nodes).groupBy("key", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(
+    blocks = tree_rows(keyed, tree_nodes, scratch).groupBy("key", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(
         F.collect_list(F.when(F.col("p.role") == 0, F.col("fp"))).alias("nodes"), F.collect_list(F.when(F.col("p.role") == 1, F.col("fp"))).alias("queries")
     )
 
@@ -203,7 +204,7 @@ def useful_blocks(keyed: DataFrame, tree_nodes: int) -> DataFrame:
     return blocks.filter((F.col("i") == F.col("j")) & (F.size("nodes") > 1) | (F.size("nodes") > 0) & (F.size("queries") > 0))
 
 
-def bk_links(keyed: DataFrame, radius: int, tree_nodes: int = 2048) -> DataFrame:
+def bk_links(keyed: DataFrame, radius: int, scratch: Scratch, tree_nodes: int = 2048) -> DataFrame:
     """``keyed(fp, key)`` of distinct pairs -> links ``(u, v)`` of fingerprints that join the same groups as all links within shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +217,10 @@ def bk_links(keyed: DataFrame, radius: int, tree_nodes: int = 2048) -> DataFrame
                     v.append(b.to_bytes(width, "big"))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    return useful_blocks(keyed, tree_nodes).select("nodes", "queries").mapInArrow(run, "u binary, v binary").distinct()
+    return useful_blocks(keyed, tree_nodes, scratch).select("nodes", "queries").mapInArrow(run, "u binary, v binary").distinct()
 
 
-def near_members(keyed: DataFrame, radius: int, tree_nodes: int) -> DataFrame:
+def near_members(keyed: DataFrame, radius: int, tree_nodes: int, scratch: Scratch) -> DataFrame:
     """The rows of ``keyed(fp, key)`` that have another member of their shard within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,7 @@ def near_members(keyed: DataFrame, radius: int, tree_nodes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(fp, pa.binary())], names=["key", "fp"])
 
     schema = T.StructType([T.StructField("key", keyed.schema["key"].dataType), T.StructField("fp", T.BinaryType())])
-    return useful_blocks(keyed, tree_nodes).select("key", "nodes", "queries").mapInArrow(run, schema).distinct()
+    return useful_blocks(keyed, tree_nodes, scratch).select("key", "nodes", "queries").mapInArrow(run, schema).distinct()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -248,7 +249,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def confirmed_links(near: DataFrame, texts: DataFrame, radius: int, width: int, similarity: float, tree_nodes: int) -> DataFrame:
+def confirmed_links(near: DataFrame, texts: DataFrame, radius: int, width: int, similarity: float, tree_nodes: int, scratch: Scratch) -> DataFrame:
     """``near(key, fp)`` and ``texts(fp, text)`` -> links ``(u, v)`` that join the same groups as all links within shards whose shingle sets are as similar as ``similarity``.
 
     The rows of a block come one after the other, so a task holds the shingle sets of one block.
@@ -287,7 +288,7 @@ def confirmed_links(near: DataFrame, texts: DataFrame, radius: int, width: int,
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     place = ["b", "v", "i", "j"]
-    rows = tree_rows(near, tree_nodes).select(F.col("key.b").alias("b"), F.col("key.v").alias("v"), "p.i", "p.j", "p.role", "fp").join(texts, "fp")
+    rows = tree_rows(near, tree_nodes, scratch).select(F.col("key.b").alias("b"), F.col("key.v").alias("v"), "p.i", "p.j", "p.role", "fp").join(texts, "fp")
     return rows.select(*place, "role", "fp", "text").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "u binary, v binary").distinct()
 
 
@@ -353,17 +354,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
     prints = scratch.save(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema))
-    shards = prints.select("fp", F.posexplode("keys").alias("b", "v")).select("fp", F.struct("b", "v").alias("key")).distinct()
+    shards = scratch.save(prints.select("fp", F.posexplode("keys").alias("b", "v")).select("fp", F.struct("b", "v").alias("key")).distinct())
     radius = similar_radius(similarity)
-    near = scratch.save(near_members(shards, radius, tree_nodes))
+    near = scratch.save(near_members(shards, radius, tree_nodes, scratch))
     texts = prints.groupBy("fp").agg(F.min("text").alias("text")).join(near.select("fp").distinct(), "fp", "left_semi")
-    groups = joined_ids(prints, confirmed_links(near, texts, radius, width, similarity, tree_nodes), scratch)
+    groups = joined_ids(prints, confirmed_links(near, texts, radius, width, similarity, tree_nodes, scratch), scratch)
     return prints.select("id", "fp").join(groups, "fp", "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def group_ids(prints: DataFrame, keys: Callable[[DataFrame], DataFrame], radius: int, tree_nodes: int, scratch: Scratch) -> DataFrame:
     """``(fp, component_id)`` for the distinct fingerprints of ``prints(id, fp, ...)``."""
-    return joined_ids(prints, bk_links(keys(prints.select("fp").distinct()).distinct(), radius, tree_nodes), scratch)
+    return joined_ids(prints, bk_links(scratch.save(keys(prints.select("fp").distinct()).distinct()), radius, scratch, tree_nodes), scratch)
 
 
 def joined_ids(prints: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -371,5 +372,5 @@ def joined_ids(prints: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFra
     items = prints.groupBy("fp").agg(F.min("id").alias("least"))
     links = components(pairs, scratch)
     rooted = scratch.save(items.join(links.select(F.col("u").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = scratch.save(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return rooted.join(least, "root").select("fp", "component_id")

@@ -14,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from spanloom.sources.scratch import Scratch
 from spanloom.llm import audio, decontaminate, graph, licenses, linededup, lm, packing, secrets, simhash, toxicity, urls
 from spanloom.sources.scratch import Scratch
 
@@ -48,7 +49,7 @@ def test_hot_shard_is_split_without_loss(spark):
     base = int(rng.integers(0, 1 << 60))
     values = sorted({base ^ int(x) for x in rng.integers(0, 1 << 9, 90)})
     rows = [(v.to_bytes(8, "big"), 1) for v in values]
-    links = simhash.bk_links(spark.createDataFrame(rows, "fp binary, key int"), 1, tree_nodes=8)
+    links = simhash.bk_links(spark.createDataFrame(rows, "fp binary, key int"), 1, Scratch(spark, "test"), tree_nodes=8)
     got = {int.from_bytes(r.u, "big"): int.from_bytes(r.root, "big") for r in graph.components(links, Scratch(spark, "t")).collect()}
     root = {v: v for v in values}
 
