@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .intervals import context_windows
 
 Run = tuple[int, int, int]
 Word = tuple[str, float, float, str]
@@ -102,6 +105,65 @@ def stitched(samples: int, outputs: list[np.ndarray], window: int, context: int,
     return np.concatenate([core, np.zeros((len(core), 1), core.dtype)], axis=1)
 
 
+def windowed_rows(frames: DataFrame, frame: str, window: int, context: int) -> DataFrame:
+    """``frames`` without ``frame``, with ``window_index`` and ``at``: each row in every window that sees it, at its place in the window."""
+    first = F.greatest(F.lit(0), F.floor((F.col(frame) - context - window) / window) + 1)
+    last = F.floor((F.col(frame) + context) / window)
+    seen = frames.withColumn("window_index", F.explode(F.sequence(first, last)))
+    return seen.withColumn("at", F.col(frame) - F.col("window_index") * window + context).drop(frame)
+
+
+def stitched_rows(scores: DataFrame, frame: str, window: int, context: int, frames: str | None = None) -> DataFrame:
+    """The rows ``scores(window_index, at, ...)`` of all windows as one sequence: each frame from the window whose core it is in, with its index over all.
+
+    A frame's index follows from its window and its place there, so that no
+    recording is gathered.  ``frames`` is a column with the recording's number of
+    frames, past which those of the last window are left out.
+    """
+    core = scores.filter((F.col("at") >= context) & (F.col("at") < context + window))
+    out = core.withColumn(frame, F.col("window_index") * window + F.col("at") - context)
+    return (out if frames is None else out.filter(F.col(frame) < F.col(frames))).drop("window_index", "at")
+
+
+def window_scores(recordings: DataFrame, model: Callable[[np.ndarray], np.ndarray], window: int, context: int, ratio: int, batch: int = 8) -> DataFrame:
+    """``recordings(job_index, pcm)`` of 16-bit samples -> ``(job_index, frame, scores)``: log-probabilities with a zero for the star, a row a frame.
+
+    ``window`` and ``context`` are frames of ``ratio`` samples.  Each window is
+    a row of its own, so that one recording is scored by many tasks; ``model``
+    gets up to ``batch`` windows (rows x samples, missing samples zero) and gives
+    (rows x frames x labels).  A window takes its own samples from the
+    recording's, and the frames past its end are left out.
+    """
+    size = window * ratio
+    jobs = recordings.select("job_index", "pcm", F.floor(F.octet_length("pcm") / 2).cast("long").alias("samples")).filter("samples > 0")
+    seen = context_windows(jobs, "samples", size, context * ratio)
+    clips = seen.select("job_index", "window_index", "left_pad", "samples", F.substring("pcm", (2 * F.col("begin") + 1).cast("int"), (2 * (F.col("end") - F.col("begin"))).cast("int")).alias("clip"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), batch):
+                part = pdf.iloc[k : k + batch]
+                x = np.zeros((len(part), size + 2 * context * ratio))
+                for row, clip, left in zip(x, part["clip"], part["left_pad"], strict=True):
+                    row[left : left + len(clip) // 2] = np.frombuffer(clip, "<i2")
+                out = np.asarray(model(x))
+                if out.shape[1] < context + window:
+                    raise ValueError("too few frames for the window")
+                out = out[:, context : context + window]
+                top = out.max(2, keepdims=True)
+                out = out - top - np.log(np.exp(out - top).sum(2, keepdims=True))
+                star = np.zeros((*out.shape[:2], 1))
+                rows = list(np.concatenate([out, star], axis=2).reshape(-1, out.shape[2] + 1))
+                index = part[["job_index", "window_index", "samples"]].loc[part.index.repeat(window)]
+                yield index.assign(at=np.tile(np.arange(window), len(part)) + context, scores=rows)
+
+    kind = dict(recordings.dtypes)["job_index"]
+    made = clips.repartition("job_index", "window_index").mapInPandas(run, f"job_index {kind}, window_index long, samples long, at long, scores array<double>")
+    # the last window's frames past the end, as whole frames of its missing samples
+    total = F.ceil(F.col("samples") / size) * window - F.floor((F.ceil(F.col("samples") / size) * size - F.col("samples")) / ratio)
+    return stitched_rows(made.withColumn("total", total), "frame", window, context, "total").select("job_index", "frame", "scores")
+
+
 def vocabulary(labels: dict[str, int], columns: int, blanks: tuple[str, ...] = ("<blank>", "<pad>", "[PAD]", "|")) -> tuple[dict[str, int], dict[int, str], int]:
     """(label to column, column to label, blank's column): lower-cased, with the star as the last column."""
     lower = {k.lower(): v for k, v in labels.items()} | {"<star>": columns - 1}
@@ -110,7 +172,7 @@ def vocabulary(labels: dict[str, int], columns: int, blanks: tuple[str, ...] = (
 
 
 def plain_tokens(text: str) -> list[str]:
-    """Each word's letters a to z and apostrophes; a romaniser's place is here."""
+    """Each word's letters a to z and apostrophes; :func:`romanize.roman_tokens` knows other scripts."""
     return [re.sub("[^a-z']", "", w.lower()) for w in text.split()]
 
 

@@ -18,6 +18,7 @@ from ..operators import align, intervals, models, state, stats, timing
 from ..operators import cues as cue_ops
 from ..operators import text as text_ops
 from ..options import OptionError, Options
+from ..sources.publish import manifest, publish
 from ..sources.scratch import Scratch
 
 SpeechModel = Callable[[np.ndarray], np.ndarray]
@@ -149,6 +150,19 @@ class Run:
             out = out.join(done.select("job_index", text_ops.pretty_text(F.to_json(body, {"ignoreNullFields": "false"})).alias("json")), "job_index")
         return out
 
+    def publish(self, root: str) -> DataFrame:
+        """Publish the documents below a folder that the executors share, each beside its recording's path; returns the manifest's rows of this run."""
+        docs = self.documents().join(self.results.select("job_index", "digest", "asr_key", "render_key"), "job_index")
+        stem = F.regexp_replace(F.ltrim("path", F.lit("/")), r"(?<=[^/])\.[^./]+$", "")
+        each = F.array(*(F.struct(F.lit(f).alias("form"), F.col(f).alias("content")) for f in self.options.formats))
+        files = docs.select(F.col("path").alias("job"), "path", "digest", "asr_key", "render_key", stem.alias("stem"), F.explode(each).alias("f"))
+        return publish(files.select("job", "path", "digest", "asr_key", "render_key", F.concat("stem", F.lit("."), "f.form").alias("name"), "f.content"), root, ("path", "digest", "asr_key", "render_key"))
+
+    def published(self, root: str) -> DataFrame:
+        """``(path, digest, asr_key, render_key)`` of what is published below a folder: the manifest that :func:`transcribe` skips by."""
+        rows = manifest(self.results.sparkSession, root)
+        return rows.select(*(F.col("fields")[k].alias(k) for k in ("path", "digest", "asr_key", "render_key")))
+
 
 def transcribe(recordings: DataFrame, options: Options, make: Callable[[], models.Recognizer] = models.StubRecognizer, model: SpeechModel = loudness, manifest: DataFrame | None = None, checkpoints: DataFrame | None = None, emissions: Callable[[np.ndarray], np.ndarray] | None = None, letters: dict[str, int] | None = None, stride_ms: float = 20.0, most_seconds: float | None = None) -> Run:
     """Run over ``recordings(job_index, path, pcm)`` of 16-bit mono samples at 16 kHz.

@@ -3,7 +3,7 @@
 import pytest
 from compare import oracle_rows, spark_rows
 
-from spanloom.plans import driver, results  # noqa: F401 - registers its queries
+from spanloom.plans import driver, media, results  # noqa: F401 - registers its queries
 
 
 @pytest.mark.parametrize("name", sorted(driver.QUERIES))

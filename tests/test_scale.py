@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import intervals, stats
-from spanloom.plans import driver, results  # noqa: F401 - registers its queries
+from spanloom.plans import driver, media, results  # noqa: F401 - registers its queries
 from spanloom.sources.scratch import Scratch
 
 
