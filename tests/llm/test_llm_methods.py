@@ -16,7 +16,6 @@ from hypothesis import strategies as st
 
 from spanloom.sources.scratch import Scratch
 from spanloom.llm import audio, decontaminate, graph, licenses, linededup, lm, packing, secrets, simhash, toxicity, urls
-from spanloom.sources.scratch import Scratch
 
 
 @settings(max_examples=50, deadline=None)
