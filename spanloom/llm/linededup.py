@@ -5,6 +5,10 @@ a passage is found wherever it stands in a paragraph.  A line's id is a 96-bit
 hash of its trimmed text.  All texts stand one after the other, by id and then
 by content, so that a line has one global position.
 
+Whole copies of a text are told by its hash first, and only the first of them
+has suffixes: were they all there, the first copy's lines would come first in
+every run of the others, whose lines all go if the text has ``min_words`` words.
+
 *Prefix doubling.*  Each round ranks the suffixes by twice as many lines, twice
 over: the ranks by n lines at a position and n, 2n and 3n lines on, sorted, give
 the rank by 4n lines.  A suffix whose rank nothing shares leaves, since it
@@ -45,6 +49,8 @@ from .texts import others
 LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )"
 #: Bits for the positions of one task's texts.
 PLACE_BITS = 42
+#: Rows of a list of copies that may be sent to every task.
+FEW = 500_000
 
 
 def lines(text: Column) -> Column:
@@ -68,13 +74,25 @@ def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("row", "doc", "pos", body.alias("body")).select("row", "pos", *content(F.col("body")), words.alias("words"), F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
 
 
-def documents(each: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(row, id, h, g, start)``: a row for each document, and the global position of its first line."""
+def documents(each: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(row, id, h, g, start)``, a row for each document but whole copies, with the global position of its first line; and ``(row, id, h, g)`` of the copies.
+
+    A copy has the text of an earlier document: all that can be said of its lines is known.
+    """
     docs = each.filter("doc is not null").select("row", "doc.*").groupBy("id", "h", "g").agg(F.min("row").alias("row"), F.first("size").alias("size"))
-    placed = docs.orderBy(F.col("id").asc_nulls_last(), "h", "g")
+    docs = scratch.save(docs)
+    # by text, summed up before the exchange, and written, so that Spark can split a hot text
+    first = scratch.save(docs.groupBy("h", "g").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "g", F.col("first.row").alias("row")))
+    copies = scratch.save(docs.join(first.select("h", "g", F.col("row").alias("first")), ["h", "g"]).filter("row != first").select("row", "id", "h", "g"))
+    placed = docs.join(copies.select("row"), "row", "left_anti").orderBy(F.col("id").asc_nulls_last(), "h", "g")
     placed = scratch.save(placed.select("*", F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("place")))
     before = F.sum("size").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.select("row", "id", "h", "g", (F.shiftleft("part", PLACE_BITS) + F.coalesce(before, F.lit(0))).alias("start"))
+    return placed.select("row", "id", "h", "g", (F.shiftleft("part", PLACE_BITS) + F.coalesce(before, F.lit(0))).alias("start")), copies
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` sent to every task if it has few rows; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def ranked(keyed: DataFrame, *keys: str) -> DataFrame:
@@ -123,16 +141,20 @@ def further(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
     return seen.select(*(c.alias(name) for name, c in out.items()))
 
 
-def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``(row, at, n)``, the shortest repeated runs but for the first of each, and the documents."""
-    each = scratch.save(line_table(df, id_col, text_col))
-    docs = scratch.save(documents(each, scratch))
+def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(row, at, n)``, the shortest repeated runs but for the first of each; the documents; and ``(row, id, h, g, lines, words)`` of whole copies."""
+    whole = scratch.save(line_table(df, id_col, text_col))
+    docs, copies = documents(whole, scratch)
+    docs = scratch.save(docs)
+    gone = few(copies.select("row"))
+    copies = scratch.save(copies.join(whole.join(gone, "row", "left_semi").groupBy("row").agg(F.count("*").alias("lines"), F.sum("words").alias("words")), "row"))
+    each = whole.join(gone, "row", "left_anti")
     ids = scratch.save(ranked(each, "h", "g"))
     level = each.drop("doc").join(ids, ["h", "g"]).join(docs.select("row", "start"), "row")
     level = level.select("row", (F.col("start") + F.col("pos")).alias("at"), "rank", "words", F.col("words").alias("first"), F.col("words").alias("last"))
     earlier = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     level = level.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    size, found, done = 1, [], [each]
+    size, found, done = 1, [], [whole]
     while True:
         seen = scratch.save(further(level, size, min_words))
         for old in done:
@@ -151,7 +173,7 @@ def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scra
     runs = reduce(DataFrame.unionByName, found)
     firsts = runs.groupBy(*name).agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).filter("earliest < latest").drop("latest")
     firsts = scratch.save(firsts)  # written, so that Spark can split the join's hot keys
-    return runs.join(firsts, name).filter("at > earliest").select("row", "at", "n"), docs
+    return runs.join(firsts, name).filter("at > earliest").select("row", "at", "n"), docs, copies
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
@@ -160,14 +182,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     A column of that name in ``df`` is replaced.
     """
     scratch = Scratch(df.sparkSession, "lines")
-    runs, docs = later_copies(df, id_col, text_col, min_words, scratch)
+    runs, docs, copies = later_copies(df, id_col, text_col, min_words, scratch)
     # each line once: those up to the end of the runs that begin before
     earlier = Window.partitionBy("row").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("at") + F.col("n")
     new = runs.withColumn("from", F.greatest(F.col("at"), F.max(end).over(earlier))).filter(F.col("from") < end)
     gone = new.select("row", F.explode(F.sequence(F.col("from"), end - 1)).alias("at"))
     cut = gone.groupBy("row").agg(F.collect_list("at").alias("gone")).join(docs, "row")
-    cut = scratch.save(cut.select(F.col("id").alias("\x00id"), F.col("h").alias("\x00h"), F.col("g").alias("\x00g"), F.transform("gone", lambda x: (x - F.col("start")).cast("int")).alias("\x00gone")))
+    cut = cut.select("id", "h", "g", F.transform("gone", lambda x: (x - F.col("start")).cast("int")).alias("gone"))
+    # a copy of enough words is one repeated run
+    cut = cut.unionByName(copies.filter(F.col("words") >= min_words).select("id", "h", "g", F.sequence(F.lit(0), F.col("lines").cast("int") - 1).alias("gone")))
+    cut = scratch.save(cut.select(*(F.col(c).alias(f"\x00{c}") for c in ("id", "h", "g", "gone"))))
     keep = others(df, "deleted")
     text = F.col(text_col).cast("string")
     h, g = content(text)
