@@ -68,6 +68,37 @@ def opened_envelopes(df: DataFrame, column: str) -> DataFrame:
     return df.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes if c != column) + ", payload string, fault string")
 
 
+SEGMENTS = "array<struct<segment_index:bigint,start:double,end:double,speech:array<struct<start:double,end:double>>,text:string>>"
+CHECKPOINT = f"struct<path:string,digest:string,asr_key:string,segments:{SEGMENTS}>"
+
+
+def stored_checkpoints(rows: DataFrame) -> DataFrame:
+    """``(path, state)``: an envelope for each row ``(path, digest, asr_key, segments)``, as text to be stored."""
+
+    @F.pandas_udf("string")
+    def sealed(payload: pd.Series) -> pd.Series:
+        return payload.map(lambda t: envelope(json.loads(t)))
+
+    return rows.select("path", sealed(F.to_json(F.struct("path", "digest", "asr_key", "segments"), {"ignoreNullFields": "false"})).alias("state"))
+
+
+def read_checkpoints(stored: DataFrame, column: str = "state") -> tuple[DataFrame, DataFrame]:
+    """``(path, digest, asr_key, segments)`` of the envelopes that hold, and the other rows with their ``fault``.
+
+    A payload of another shape, or whose segments are out of order, outside
+    their own bounds or overlapping, has a fault too: nothing of it is used.
+    """
+    opened = opened_envelopes(stored, column)
+    opened = opened.withColumn("c", F.from_json("payload", CHECKPOINT))
+    segments = F.col("c.segments")
+    sound = F.forall(segments, lambda x: (x["start"] >= 0) & (x["end"] > x["start"]) & x["text"].isNotNull() & (F.abs(x["end"]) < float("inf")))
+    ordered = F.forall(F.zip_with(segments, F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1))), lambda a, b: F.coalesce((a["end"] <= b["start"] + 1e-6) & (a["segment_index"] < b["segment_index"]), F.lit(True))), lambda x: x)
+    whole = F.col("c.path").isNotNull() & F.col("c.digest").isNotNull() & F.col("c.asr_key").isNotNull() & segments.isNotNull()
+    fault = F.coalesce("fault", F.when(~F.coalesce(whole & sound & ordered, F.lit(False)), "checkpoint is not valid"))
+    judged = opened.withColumn("fault", fault)
+    return judged.filter("fault is null").select("c.*"), judged.filter("fault is not null").drop("c", "payload")
+
+
 def _written(path: str, content: bytes) -> str:
     """A synced temporary file beside a path."""
     fd, temp = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=".publish-")

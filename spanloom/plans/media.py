@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import align, cues, romanize
+from ..operators import align, cues, identity, romanize, stats
+from ..operators import text as text_ops
 from ..sources import pcm, publish
 from ..sources.scratch import scratch_folder
 from ..sources.tables import table
@@ -76,3 +77,47 @@ def romanised_words(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text", romanize.romanized("text").alias("r"))
     words = F.when(F.col("text").isNotNull(), F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")))
     return d.select("doc_id", words.cast("long").alias("tokens"), F.sha2("r", 256).alias("sha256"))
+
+
+#: Configurations as JSON, by a part's size modulo their number: dense, int8 and int4, and what can't be used.
+CONFIGS = (
+    '{"model_type":"speech","architectures":["Speech"]}',
+    '{"model_type":"speech","quantization_config":{"quant_method":"BitsAndBytes","load_in_8bit":true}}',
+    '{"model_type":"speech","architectures":[],"quantization_config":{"quant_method":"bitsandbytes","_load_in_4bit":true,"load_in_8bit":false}}',
+    '{"model_type":"text"}',
+    '{"model_type":"speech","architectures":["Other"]}',
+    '{"model_type":"speech","quantization_config":"int8"}',
+    '{"model_type":"speech","quantization_config":{"quant_method":"bitsandbytes","load_in_4bit":"true"}}',
+    '{"model_type":"speech","quantization_config":{"quant_method":"gptq","load_in_4bit":true}}',
+    '{"model_type":"speech","quantization_config":{"quant_method":"bitsandbytes","load_in_4bit":true,"load_in_8bit":true}}',
+    '{"model_type":"speech","quantization_config":null}',
+    '{"model_type":',
+    '["speech"]',
+)
+ADAPTER = """'{"peft_type":"' || CASE WHEN p_partkey % 7 = 0 THEN 'ia3' ELSE 'lora' END || '","task_type":"' || CASE WHEN p_partkey % 11 = 0 THEN 'CAUSAL_LM' ELSE 'seq_2_seq_lm' END || '","base_model_name_or_path":"' || CASE WHEN p_partkey % 5 = 0 THEN 'other' ELSE 'base' END || '"' || CASE WHEN p_partkey % 3 = 0 THEN ',"revision":"r' || p_partkey % 2 || '"' ELSE '' END || '}'"""
+
+
+@query(f"""
+WITH c AS (SELECT p_partkey, [{", ".join("'" + c + "'" for c in CONFIGS)}][p_size % {len(CONFIGS)} + 1] AS t, {ADAPTER} AS a, CASE WHEN p_partkey % 4 > 0 THEN 'r1' END AS rev FROM part),
+j AS (SELECT *, CASE WHEN json_valid(t) THEN t ELSE '0' END::JSON AS j FROM c),
+x AS (SELECT *, json_type(j, '$.quantization_config') AS q, coalesce(json_type(j, '$.quantization_config.load_in_4bit'), json_type(j, '$.quantization_config._load_in_4bit'), 'BOOLEAN') AS k4, coalesce(json_type(j, '$.quantization_config.load_in_8bit'), json_type(j, '$.quantization_config._load_in_8bit'), 'BOOLEAN') AS k8,
+  coalesce(json_extract_string(j, '$.quantization_config.load_in_4bit'), json_extract_string(j, '$.quantization_config._load_in_4bit'), 'false') = 'true' AS f4, coalesce(json_extract_string(j, '$.quantization_config.load_in_8bit'), json_extract_string(j, '$.quantization_config._load_in_8bit'), 'false') = 'true' AS f8 FROM j),
+f AS (SELECT *, CASE WHEN json_type(j) <> 'OBJECT' THEN 'configuration is unreadable' WHEN coalesce(json_extract_string(j, '$.model_type'), '') <> 'speech' THEN 'another type of model' WHEN json_array_length(j, '$.architectures') > 0 AND NOT list_contains(json_extract_string(j, '$.architectures[*]'), 'Speech') THEN 'architecture is not declared'
+  WHEN coalesce(q, 'NULL') NOT IN ('NULL', 'OBJECT') THEN 'quantization is not valid' WHEN q = 'OBJECT' AND (k4 <> 'BOOLEAN' OR k8 <> 'BOOLEAN') THEN 'load flags must be boolean' WHEN q = 'OBJECT' AND (lower(coalesce(json_extract_string(j, '$.quantization_config.quant_method'), '')) <> 'bitsandbytes' OR f4 = f8) THEN 'quantization is not supported' END AS fault FROM x),
+m AS (SELECT *, CASE WHEN fault IS NULL THEN CASE WHEN coalesce(q, 'NULL') = 'NULL' THEN 'dense' WHEN f4 THEN 'int4' ELSE 'int8' END END AS format FROM f)
+SELECT p_partkey, format, fault, CASE WHEN coalesce(format, '') <> 'dense' THEN 'adapters need a dense base model' WHEN p_partkey % 7 = 0 THEN 'not a LoRA adapter' WHEN p_partkey % 11 = 0 THEN 'another task' WHEN rev IS NOT NULL AND p_partkey % 5 = 0 THEN 'another base model'
+  WHEN rev IS NOT NULL AND p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'another revision of the base model' END AS adapter_fault FROM m""")
+def model_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """What configurations of models and of adapters say, a pair for each part."""
+    text = F.element_at(F.array(*map(F.lit, CONFIGS)), (F.col("p_size") % len(CONFIGS) + 1).cast("int"))
+    parts = table(spark, sf, "part").select("p_partkey", text.alias("t"), F.expr(ADAPTER).alias("a"), F.when(F.col("p_partkey") % 4 > 0, "r1").alias("rev"))
+    judged = parts.select("*", identity.model_format(F.col("t"), "speech", "Speech").alias("m"))
+    return judged.select("p_partkey", "m.format", "m.fault", identity.adapter_fault(F.col("a"), F.col("m.format"), F.lit("base"), F.col("rev")).alias("adapter_fault"))
+
+
+@query()
+def scored_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Word errors of each turn against the one before it, by the scoring profile; tests hold them against plain steps, as DuckDB has no composition."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", text_ops.scored(F.col("text")).alias("hypothesis"))
+    pairs = c.withColumn("reference", F.lag("hypothesis").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("reference is not null")
+    return stats.word_errors(pairs, "reference", "hypothesis").select("conv_id", "turn", "units", "substitutions", "deletions", "insertions")

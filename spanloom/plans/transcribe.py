@@ -103,6 +103,14 @@ class Run:
 
     options: Options
     results: DataFrame
+    recognised: DataFrame | None = None
+
+    def checkpoints(self) -> DataFrame:
+        """``(path, state)``: recognised texts of each recording without an error, as envelopes that :func:`state.read_checkpoints` opens for a later run."""
+        whole = self.results.filter("error is null and status != 'skipped'").select("job_index", "path", "digest", "asr_key")
+        parts = self.recognised.filter("segment_index is not null").groupBy("job_index").agg(F.array_sort(F.collect_list(F.struct("segment_index", "start", "end", "speech", "text"))).alias("segments"))
+        rows = whole.join(parts, "job_index", "left").select("path", "digest", "asr_key", F.coalesce("segments", F.expr(f"cast(array() as {state.SEGMENTS})")).alias("segments"))
+        return state.stored_checkpoints(rows)
 
     def ordered(self) -> DataFrame:
         return self.results.orderBy("job_index")
@@ -225,4 +233,4 @@ def transcribe(recordings: DataFrame, options: Options, make: Callable[[], model
     lines = F.filter(F.transform(F.coalesce("segments", F.expr("cast(array() as array<struct<segment_index:bigint,start:double,end:double,text:string>>)")), lambda s: F.trim(s["text"])), lambda t: t != "")
     text = F.when(status == "completed", F.array_join(lines, "\n"))
     full = lambda name: F.coalesce(name, F.array().cast(out.schema[name].dataType)).alias(name)
-    return Run(options, out.select("job_index", "path", status.alias("status"), text.alias("text"), "duration", full("segments"), full("words"), full("cues"), "error", "digest", "asr_key", "render_key"))
+    return Run(options, out.select("job_index", "path", status.alias("status"), text.alias("text"), "duration", full("segments"), full("words"), full("cues"), "error", "digest", "asr_key", "render_key"), texts)

@@ -127,6 +127,30 @@ def test_word_alignment_follows_the_scores(spark, sf):
                 assert w.word_start <= inner + 0.05 and w.word_end >= min(b, a + (at - 3) * 0.02) - 0.05
 
 
+def test_scored_errors_against_plain_steps(spark, sf, tmp_path):
+    import unicodedata
+
+    from spanloom.operators.stats import edit_counts
+
+    fold = dict(zip("پڤآأإٱؤئىیک", "بفااااويييك", strict=True))
+
+    def plain(t):
+        t = "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if unicodedata.category(c)[0] != "M" and c not in "ـء")
+        t = "".join(" " if unicodedata.category(c)[0] == "P" else fold.get(c, c) for c in t)
+        return "".join(str(unicodedata.digit(c)) if "٠" <= c <= "٩" or "۰" <= c <= "۹" else c for c in t).split()
+
+    rows = [(r.conv_id, r.turn, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    rows += [(-1, 0, "أَهْلًا، وسهـــلًا! جزء ٢٠٢٤ ۴"), (-1, 1, "اهلا وسهلا جز 2024 4 straße"), (-1, 2, "STRASSE, پاکستان ﬁne مدرسة"), (-1, 3, None), (-1, 4, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want, last = {}, {}
+    for conv, turn, text in sorted(rows, key=lambda r: r[:2]):
+        if last.get(conv) is not None:
+            want[conv, turn] = (len(plain(last[conv])), *edit_counts(plain(last[conv]), plain(text or "")))
+        last[conv] = text
+    got = {(r.conv_id, r.turn): tuple(r)[2:] for r in driver.QUERIES["scored_errors"](spark, str(tmp_path)).collect()}
+    assert got == want and got[-1, 1] == (5, 0, 0, 1) and got[-1, 2] == (6, 4, 2, 0)
+
+
 def test_lock_offset_vector(spark, sf):
     import hashlib
 

@@ -92,3 +92,31 @@ def test_clips_join_up_to_the_samples(spark):
         rows = sorted(plan.segmented(recordings, options).collect(), key=lambda r: r.segment_index)
         assert [len(r.clip) // 2 for r in rows] == [min(window, 5_000 - a) for a in range(0, 5_000, window)]
         assert b"".join(bytes(r.clip) for r in rows) == pcm and not any(r.error for r in rows)
+
+
+def test_checkpoints_from_stored_text(spark, recordings, tmp_path):
+    """Envelopes written by one run are read by the next, which recognises nothing again; broken ones are told and not used."""
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import state
+
+    options = Options(vad="none", max_dur=2.0)
+    first = transcribe(recordings, options)
+    first.checkpoints().write.parquet(str(tmp_path / "states"))
+    stored = spark.read.parquet(str(tmp_path / "states"))
+    good, bad = state.read_checkpoints(stored)
+    assert {r.path for r in good.collect()} == {"a.wav", "c.wav"} and bad.count() == 0
+
+    class Never:
+        def __call__(self, items):
+            raise RuntimeError("recognised again")
+
+    again = transcribe(recordings, options, make=Never, checkpoints=good)
+    texts = lambda run: {r.path: (r.status, r.text) for r in run.results.collect()}
+    assert texts(again) == texts(first) and texts(again)["a.wav"][0] == "completed"
+    broken = stored.withColumn("state", F.when(F.col("path") == "a.wav", F.regexp_replace("state", "w[0-9]+", "other")).otherwise(F.col("state")))
+    good, bad = state.read_checkpoints(broken)
+    assert [r.path for r in good.collect()] == ["c.wav"] and [(r.path, r.fault) for r in bad.collect()] == [("a.wav", "state integrity check failed")]
+    odd = [{"path": "x", "digest": "d", "asr_key": "k", "segments": s} for s in ([{"segment_index": 0, "start": 2.0, "end": 1.0, "speech": [], "text": "t"}], [{"segment_index": k, "start": 0.0, "end": 1.0, "speech": [], "text": "t"} for k in range(2)], None)] + [[1, 2], {"path": "x"}]
+    good, bad = state.read_checkpoints(spark.createDataFrame([(str(k), state.envelope(x)) for k, x in enumerate(odd)], "name string, state string"))
+    assert good.count() == 0 and {r.fault for r in bad.collect()} == {"checkpoint is not valid"} and bad.count() == 5
