@@ -22,7 +22,9 @@ The unigram base score looks up the counts of the most frequent words, at most
 a join on their hash.
 
 Defined results: a null text is empty, and scores its end alone; repeated rows
-score alike; without training texts every code is uniform.
+score alike, and each of them teaches; a row that the training condition is
+null for, as it is for a null id where it is by id, is held out; an empty table
+gives no rows; without training texts every code is uniform.
 """
 
 from __future__ import annotations

@@ -343,7 +343,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links are confirmed by their shingle sets.  At the similarity itself a
     pair shares a shard with probability 1 - (1 - s * s) ** keys: 0.99996, and
     is within the radius with about as much.  Texts of one 256-bit fingerprint
-    are taken as one.
+    are taken as one.  Null and blank texts are copies of each other; a null
+    id gets the least id of its group, rows that share an id each get their
+    own group's; texts are read whole, and an empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "neardup")
 
