@@ -10,8 +10,8 @@ has suffixes: were they all there, the first copy's lines would come first in
 every run of the others, whose lines all go if the text has ``min_words`` words.
 
 *Prefix doubling.*  Each round ranks the suffixes by twice as many lines, twice
-over: the ranks by n lines at a position and n, 2n and 3n lines on, sorted, give
-the rank by 4n lines.  A suffix whose rank nothing shares leaves, since it
+over, and n more: the ranks by n lines at a position and n, 2n, 3n and 4n lines
+on, sorted, give the rank by 5n lines.  A suffix whose rank nothing shares leaves, since it
 repeats nothing; so does one whose lines have ``min_words`` words even without
 their first or last line, since no shortest run is that long.  So the rounds end
 at a depth of ``min_words`` lines, however long a repeat is.
@@ -49,6 +49,8 @@ from .texts import others
 LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )"
 #: Bits for the positions of one task's texts.
 PLACE_BITS = 42
+#: Ranks that one round joins: two doublings and a fifth part, so that twenty lines take two rounds.
+FOLD = 5
 #: Rows of a list of copies that may be sent to every task.
 FEW = 500_000
 
@@ -107,18 +109,18 @@ def short(words: Column, first: Column, last: Column, min_words: int) -> Column:
 
 
 def further(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
-    """The suffixes ranked by ``size`` lines: ``row, at, rank, runs, before, first, words, last, x0 .. x3``.
+    """The suffixes ranked by ``size`` lines: ``row, at, rank, runs, before, first, words, last, x0 .. x4``.
 
-    ``runs(n, x1, x2, x3)`` are the shortest runs of ``size`` lines up to four times
-    as many, each covered by the rank and three that overlap.  The last six are
-    of four times as many lines, which the ranks ``x0`` to ``x3`` cover: null
+    ``runs(n, x1 .. x4)`` are the shortest runs of ``size`` lines up to ``FOLD`` times
+    as many, each covered by the rank and others that overlap.  ``words``, ``last``
+    and the ranks are of ``FOLD`` times as many lines, which the ranks cover: null
     where no shortest run is that long, and missing where none can be.
     """
     by = Window.partitionBy("row").orderBy("at")
     shown = F.struct("at", "rank", "before", "words", "last")
-    most = min(4 * size - 1, min_words)  # a line has a word at least
-    grows = 4 * size <= min_words
-    steps = range(1, max(most - size, 3 * size * grows) + 1)
+    most = min(FOLD * size - 1, min_words)  # a line has a word at least
+    grows = FOLD * size <= min_words
+    steps = range(1, max(most - size, (FOLD - 1) * size * grows) + 1)
     # each step lands on the line it should if no line between is alone in its rank, as none in a repeated run is
     seen = suffixes.select("*", *(F.lead(shown, n).over(by).alias(f"n{n}") for n in steps))
     there = lambda n: F.col(f"n{n}") if n else F.struct("at", "rank", "before", "words", "last")
@@ -128,7 +130,7 @@ def further(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
     fits = lambda n: held(n) & (total(n) >= min_words)
 
     def run(end: int) -> Column:
-        parts = (there(min(k * size, end))["rank"].alias(f"x{k}") for k in range(1, 4))
+        parts = (there(min(k * size, end))["rank"].alias(f"x{k}") for k in range(1, FOLD))
         return F.when(fits(end), F.struct(F.lit(size + end).alias("n"), *parts))
 
     ends = range(most - size + 1)
@@ -136,8 +138,9 @@ def further(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
     runs = F.when(reduce(Column.__or__, map(fits, ends)), F.array_compact(F.array(*map(run, ends))))
     out = {c: F.col(c) for c in ("row", "at", "before", "first", "rank")} | {"runs": runs}
     if grows:
-        ends = {"words": total(3 * size), "last": there(3 * size)["last"]} | {f"x{k}": there(k * size)["rank"] for k in range(4)}
-        out |= {name: F.when(held(3 * size), x) for name, x in ends.items()}
+        end = (FOLD - 1) * size
+        ends = {"words": total(end), "last": there(end)["last"]} | {f"x{k}": there(k * size)["rank"] for k in range(FOLD)}
+        out |= {name: F.when(held(end), x) for name, x in ends.items()}
     return seen.select(*(c.alias(name) for name, c in out.items()))
 
 
@@ -154,22 +157,21 @@ def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scra
     level = level.select("row", (F.col("start") + F.col("pos")).alias("at"), "rank", "words", F.col("words").alias("first"), F.col("words").alias("last"))
     earlier = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     level = level.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    size, found, done = 1, [], [whole]
+    size, found, done, keys = 1, [], [whole], [f"x{k}" for k in range(FOLD)]
     while True:
         seen = scratch.save(further(level, size, min_words))
         for old in done:
             scratch.drop(old)
         runs = seen.select("row", "at", "rank", F.explode("runs").alias("r"))
-        found.append(scratch.save(runs.select("row", "at", "r.n", F.col("rank").alias("x0"), "r.x1", "r.x2", "r.x3")))
-        size *= 4
+        found.append(scratch.save(runs.select("row", "at", "r.n", F.col("rank").alias("x0"), *(f"r.x{k}" for k in range(1, FOLD)))))
+        size *= FOLD
         if size > min_words:
             break
-        keys = ["x0", "x1", "x2", "x3"]
-        four = seen.filter("x3 is not null").select("row", "at", "before", "first", "words", "last", *keys)
-        ranks = scratch.save(ranked(four, *keys))
-        level, done = four.join(ranks, keys).drop(*keys), [seen, ranks]
+        longer = seen.filter(F.col(keys[-1]).isNotNull()).select("row", "at", "before", "first", "words", "last", *keys)
+        ranks = scratch.save(ranked(longer, *keys))
+        level, done = longer.join(ranks, keys).drop(*keys), [seen, ranks]
     scratch.drop(seen)
-    name = ["n", "x0", "x1", "x2", "x3"]
+    name = ["n", *keys]
     runs = reduce(DataFrame.unionByName, found)
     firsts = runs.groupBy(*name).agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).filter("earliest < latest").drop("latest")
     firsts = scratch.save(firsts)  # written, so that Spark can split the join's hot keys
