@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import Scratch
 
@@ -112,14 +115,11 @@ MIXERS = (0x21F0AAAD, 0x735A2D97)
 POISSON = [round(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) * (1 << 32)) for n in range(12)]
 
 
-def mixed(df: DataFrame) -> DataFrame:
-    """``df`` with a 32-bit hash of its column ``x`` in its place, in 64-bit arithmetic that any engine has.
-
-    Each step is a column of its own, as it reads the one before twice.
-    """
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of 32-bit numbers, in 64-bit arithmetic that any engine has."""
     for multiplier, shift in zip(MIXERS, (16, 15), strict=True):
-        df = df.withColumn("x", F.col("x").bitwiseXOR(F.shiftright("x", shift)) * multiplier % (1 << 32))
-    return df.withColumn("x", F.col("x").bitwiseXOR(F.shiftright("x", 15)))
+        x = (x ^ (x >> shift)) * multiplier % (1 << 32)
+    return x ^ (x >> 15)
 
 
 def cluster_words(cluster: Column) -> list[Column]:
@@ -128,14 +128,32 @@ def cluster_words(cluster: Column) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"w{k}") for k in range(2)]
 
 
-def multiplicities(df: DataFrame, seed: int = 0) -> DataFrame:
-    """``df(w0, w1, r, ...)`` with ``m``: how often the replicate ``r`` draws the cluster, a Poisson(1) number from a hash of both, so that no draw is stored."""
-    x = mixed(df.withColumn("x", (F.col("w0") + F.col("r") * 2654435769 + seed) % (1 << 32)))
-    x = mixed(x.withColumn("x", F.col("x").bitwiseXOR(F.col("w1"))))
-    m = F.when(F.col("x") >= POISSON[0], 1).otherwise(0)
-    for bound in POISSON[1:]:
-        m = m + F.when(F.col("x") >= bound, 1).otherwise(0)
-    return x.withColumn("m", m.cast("long")).drop("x")
+def multiplicities(w0: np.ndarray, w1: np.ndarray, replicates: int, seed: int = 0) -> np.ndarray:
+    """How often each replicate (column) draws each cluster (row): Poisson(1) numbers from a hash of both, so that no draw is stored."""
+    x = mixed((w0[:, None] + np.arange(replicates) * 2654435769 + seed) % (1 << 32))
+    return np.searchsorted(POISSON, mixed(x ^ w1[:, None]), side="right")
+
+
+def replicate_sums(sums: DataFrame, keys: list[str], replicates: int, seed: int, block: int = 128) -> DataFrame:
+    """``sums(*keys, w0, w1, u, a, b)``, a row for each cluster -> ``(*keys, r, u, a, b)``, a row for each replicate and batch of clusters."""
+    fields = [*(sums.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in ("r", "u", "a", "b"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys), strict=True) if keys else [()] * batch.num_rows):
+                members.setdefault(key, []).append(k)
+            w0, w1, *counts = (batch.column(c).to_numpy() for c in ("w0", "w1", "u", "a", "b"))
+            counts = np.stack(counts)
+            for rows in members.values():
+                total = np.zeros((3, replicates), np.int64)
+                for at in range(0, len(rows), block):
+                    part = np.array(rows[at : at + block])
+                    total += counts[:, part] @ multiplicities(w0[part], w1[part], replicates, seed)
+                own = [batch.column(c).take(pa.array([rows[0]] * replicates)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(replicates)), *map(pa.array, total)], names=[f.name for f in fields])
+
+    return sums.select(*keys, "w0", "w1", "u", "a", "b").mapInArrow(run, T.StructType(fields))
 
 
 def bootstrap_interval(counts: DataFrame, cluster: Column, units: str, errors: str, others: str, *keys: str, replicates: int = 5000, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -143,13 +161,12 @@ def bootstrap_interval(counts: DataFrame, cluster: Column, units: str, errors: s
 
     ``counts`` has the units of each row and the errors of two systems on it.
     Rows of a cluster are drawn together: their counts are summed once, and
-    each replicate multiplies the sums, which add up by replicate before the
-    exchange.  A replicate without units counts for nothing.
+    each replicate multiplies the sums, which add up in the tasks, so that the
+    exchange has a row for each replicate and batch of clusters.  A replicate without units counts for nothing.
     """
     sums = counts.groupBy(*keys, cluster.alias("cluster")).agg(*(F.first(w).alias(f"w{k}") for k, w in enumerate(cluster_words(cluster))), F.sum(units).cast("long").alias("u"), F.sum(errors).cast("long").alias("a"), F.sum(others).cast("long").alias("b"))
     sums = Scratch(counts.sparkSession, "bootstrap").save(sums)
-    drawn = multiplicities(sums.select(*keys, "u", "a", "b", "w0", "w1", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("r")), seed)
-    drawn = drawn.filter("m > 0").groupBy(*keys, "r").agg(*(F.sum(F.col("m") * F.col(c)).alias(c) for c in ("u", "a", "b")))
+    drawn = replicate_sums(sums, list(keys), replicates, seed).groupBy(*keys, "r").agg(*(F.sum(c).alias(c) for c in ("u", "a", "b")))
     # one number for each replicate, however many clusters there are
     tails = F.percentile((F.col("a") - F.col("b")) / F.nullif(F.col("u"), F.lit(0)), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     found = drawn.groupBy(*keys).agg(tails.alias("q"))

@@ -344,8 +344,9 @@ def repetition_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT doc_id, [length(w)::BIGINT FOR w IN string_split_regex(trim(text), '\\s+')] AS a FROM documents),
-p AS (SELECT doc_id, a, unnest(range(8, 33)) AS p FROM t), i AS (SELECT doc_id, a, p, unnest(range(1, len(a) + 1)) AS i FROM p),
-r AS (SELECT doc_id, p, i, i - coalesce(max(i) FILTER (i <= p OR a[i] <> a[i - p]) OVER (PARTITION BY doc_id, p ORDER BY i), 0) AS run FROM i),
+x AS (SELECT doc_id, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS i FROM t),
+e AS (SELECT x.doc_id, p, x.i, coalesce(x.x = y.x, false) AS same FROM x CROSS JOIN range(8, 33) q(p) LEFT JOIN x y ON y.doc_id = x.doc_id AND y.i = x.i - p),
+r AS (SELECT doc_id, p, i, i - coalesce(max(CASE WHEN NOT same THEN i END) OVER (PARTITION BY doc_id, p ORDER BY i), 0) AS run FROM e),
 h AS (SELECT doc_id, min(i) FILTER (run >= 3 * p AND i >= 96) AS point FROM r GROUP BY doc_id)
 SELECT t.doc_id, point::BIGINT AS point, CASE WHEN list_position(a, 12) IS NULL OR list_position(a, 12) > point THEN point END::BIGINT AS stopped FROM t LEFT JOIN h USING (doc_id)""")
 def loop_points(spark: SparkSession, sf: str) -> DataFrame:

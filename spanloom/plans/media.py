@@ -84,7 +84,7 @@ def romanised_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH x AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, round(least(value, 100.0) * 300)::BIGINT AS x FROM events),
-w AS (SELECT job, i // 10 AS k FROM x GROUP BY job, i // 10 HAVING count(*) = 10 AND 20 * log10(sqrt(avg(x * x)) + 1e-9::DOUBLE) >= 80),
+w AS (SELECT job, i // 10 AS k FROM x GROUP BY job, i // 10 HAVING count(*) = 10 AND 20 * log10(sqrt(avg(x * x)) + 1e-9::DOUBLE) >= 85),
 g AS (SELECT job, k, CASE WHEN k - lag(k) OVER (PARTITION BY job ORDER BY k) <= 3 THEN 0 ELSE 1 END AS new FROM w), s AS (SELECT job, k, sum(new) OVER (PARTITION BY job ORDER BY k) AS s FROM g),
 r AS (SELECT job, min(k) AS a, max(k) + 1 AS b FROM s GROUP BY job, s HAVING max(k) + 1 - min(k) >= 2)
 SELECT job, (row_number() OVER (PARTITION BY job ORDER BY a) - 1)::BIGINT AS span_index, a::BIGINT AS first, b::BIGINT AS "end" FROM r""")
@@ -92,7 +92,7 @@ def energy_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Loud spans of each user's values as samples, in windows of ten: joined over up to two quiet windows, of two windows at least."""
 
     def fold(samples: list[int]) -> list[tuple]:
-        spans = intervals.energy_spans(np.array(samples), rate=200, floor_db=80, min_s=0.1, max_s=1e9, max_silence_s=0.1, step_s=0.05)
+        spans = intervals.energy_spans(np.array(samples), rate=200, floor_db=85, min_s=0.1, max_s=1e9, max_silence_s=0.1, step_s=0.05)
         return [(k, round(a / 0.05), round(b / 0.05)) for k, (a, b) in enumerate(spans)]
 
     e = table(spark, sf, "events").select(F.col("user_id").alias("job"), "ts", "event_id", F.round(F.least("value", F.lit(100.0)) * 300).cast("long").alias("x"))
