@@ -54,6 +54,7 @@ class Options:
     model_revision: str | None = None
     text_only: bool = False
     vad: str = "silero"
+    vad_engine: str = "auto"
     vad_merge: bool = False
     min_dur: float = 0.5
     max_dur: float = 30.0
@@ -104,7 +105,7 @@ class Options:
         """The contract of recognised text: settings of other modes don't count."""
         silero, auditok = self.vad == "silero", self.vad == "auditok"
         used: dict[str, Any] = {k: getattr(self, k) for k in ("language", "model", "model_revision", "vad", "max_dur", "batch_size", "max_new_tokens", "max_retry_tokens", "truncation_policy")}
-        used |= {k: getattr(self, k) if silero else None for k in ("vad_merge", "vad_threshold", "min_silence_ms", "speech_pad_ms")}
+        used |= {k: getattr(self, k) if silero else None for k in ("vad_engine", "vad_merge", "vad_threshold", "min_silence_ms", "speech_pad_ms")}
         used |= {k: getattr(self, k) if auditok else None for k in ("max_silence", "energy_threshold")}
         used["min_dur"] = self.min_dur if self.vad != "none" else None
         return contract_key({"version": ASR_CONTRACT, "settings": used})

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import align, models, packing, state, stats, timing
+from ..operators import align, models, packing, profile, state, stats, timing
 from ..operators import results as ops
 from ..operators.folds import fold_groups
 from ..operators.intervals import validate_spans
 from ..sources import probe
 from ..sources.domain import SEGMENTS, SPANS, segments, spans
+from ..sources.scratch import Scratch
 from ..sources.tables import table
 from .driver import query
 
@@ -84,6 +85,29 @@ def warning_counts(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(*(F.col(n).cast("long").alias(n) for n in got.columns))
 
 
+@query(f"""WITH {SEGMENTS}, x AS (SELECT job, segment_index, (end_ms - start_ms) / 1000.0::DOUBLE AS d, ceil(length(text) * 6 / 10.0)::BIGINT AS f, job // 24 AS b, job % 5 = 0 AS restored, CASE WHEN job % 7 = 3 AND segment_index = 1 THEN 'broken' END AS error FROM segments),
+calls AS (SELECT b, count(*) AS n, sum(f) AS valid, count(*) * max(f) AS padded, b % 3 AS failures FROM x WHERE NOT restored GROUP BY b),
+q AS (SELECT d FROM x WHERE NOT restored AND error IS NULL)
+SELECT (SELECT count(*) FROM x) AS segments, (SELECT count(*) FROM q) AS inferred_segments, (SELECT count(*) FROM x WHERE restored) AS restored_segments, (SELECT count(*) FROM x WHERE error IS NOT NULL) AS errors, c.*, a.*, i.*,
+ (SELECT list_sort(list(DISTINCT 'engine' || job % 3)) FROM x WHERE NOT restored) AS engines, (SELECT list_sort(list(DISTINCT 'engine' || (job % 3 - 1) || ' is not here')) FROM x WHERE NOT restored AND job % 3 > 0) AS engine_reasons
+FROM (SELECT count(*) AS batches, sum(n)::BIGINT AS batch_rows, sum(valid)::BIGINT AS valid_frames, sum(padded)::BIGINT AS padded_frames, sum(failures)::BIGINT AS memory_failures, min(n) AS least_batch, max(n) AS largest_batch, round(1 - sum(valid) / sum(padded), 9) AS padding FROM calls) AS c,
+(SELECT round(sum(d), 6) AS segment_seconds, min(d) AS all_min, round(quantile_cont(d, 0.5), 9) AS all_p50, round(quantile_cont(d, 0.9), 9) AS all_p90, round(quantile_cont(d, 0.99), 9) AS all_p99, max(d) AS all_max FROM x) AS a,
+(SELECT min(d) AS inferred_min, round(quantile_cont(d, 0.5), 9) AS inferred_p50, round(quantile_cont(d, 0.9), 9) AS inferred_p90, round(quantile_cont(d, 0.99), 9) AS inferred_p99, max(d) AS inferred_max FROM q) AS i""")
+def run_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's profile, observed while its segments are written: turns as segments, a batch for each 24 conversations' turns that no checkpoint has."""
+    job, frames = F.col("job"), F.ceil(F.length("text") * 6 / 10.0).cast("long")
+    s = segments(spark, sf).select("job", "segment_index", ((F.col("end_ms") - F.col("start_ms")) / 1000).alias("duration"), frames.alias("frames"), F.expr("job div 24").alias("b"), (job % 5 == 0).alias("restored"), F.when((job % 7 == 3) & (F.col("segment_index") == 1), "broken").alias("error"))
+    whole = Window.partitionBy("b", "restored")
+    n, valid, padded = F.count("*").over(whole), F.sum("frames").over(whole), F.count("*").over(whole) * F.max("frames").over(whole)
+    call = F.struct(n.alias("rows"), valid.alias("valid"), padded.alias("padded"), (F.col("b") % 3).alias("failures"), (valid / 50).alias("seconds"))
+    first = F.row_number().over(whole.orderBy("job", "segment_index")) == 1
+    new = ~F.col("restored")
+    rows = s.withColumn("batch", F.when(new & first, call)).withColumn("engine", F.when(new, F.concat(F.lit("engine"), job % 3))).withColumn("engine_reason", F.when(new & (job % 3 > 0), F.concat(F.lit("engine"), job % 3 - 1, F.lit(" is not here"))))
+    written, seen = profile.observed(rows, Scratch(spark, "profile"), profile.segment_metrics())
+    got = profile.segment_profile(written, seen).drop("recognition_seconds")
+    return got.withColumns({"padding": F.round("padding", 9), "segment_seconds": F.round("segment_seconds", 6)})
+
+
 @query("SELECT doc_id AS job_index, source FROM documents ORDER BY doc_id LIMIT 25 OFFSET 15")
 def result_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Results 15 to 40 in the order of their inputs: the slice is the feature."""

@@ -6,15 +6,18 @@ the scratch folder so that no recogniser runs twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, intervals, models, state, stats, timing
+from ..functions.worker import once
+from ..operators import align, intervals, models, profile, state, stats, timing
 from ..operators import cues as cue_ops
 from ..operators import text as text_ops
 from ..options import OptionError, Options
@@ -23,7 +26,7 @@ from ..sources.scratch import Scratch
 
 SpeechModel = Callable[[np.ndarray], np.ndarray]
 ALIGNED = "array<struct<word:string,word_start:double,word_end:double,timing_source:string>>"
-SEGMENT = "job_index long, segment_index long, start double, end double, speech array<struct<start:double,end:double>>, clip binary, error string"
+SEGMENT = "job_index long, segment_index long, start double, end double, speech array<struct<start:double,end:double>>, clip binary, error string, engine string, engine_reason string"
 
 
 def loudness(pcm: np.ndarray) -> np.ndarray:
@@ -52,12 +55,24 @@ def recording_segments(pcm: np.ndarray, options: Options, model: SpeechModel) ->
     return check(intervals.merge_sorted(a[:, 0], a[:, 1], options.max_dur, 1e-9)), speech
 
 
-def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loudness, most_seconds: float | None = None) -> DataFrame:
-    """A row for each segment with its clip; a recording that can't be read, or lasts too long, has one row with its error."""
+def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loudness, most_seconds: float | None = None, engines: dict[str, Callable[[], SpeechModel]] | None = None) -> DataFrame:
+    """A row for each segment with its clip; a recording that can't be read, or lasts too long, has one row with its error.
+
+    ``engines`` make speech models in place of ``model``, by name: the one that the
+    options ask for, or with ``auto`` the first that loads in a worker, whose name
+    and reason ``engine`` and ``engine_reason`` tell.  A worker makes it once.
+    """
+    by_model = options.vad == "silero"
+
+    def engine() -> tuple[str | None, SpeechModel, str | None]:
+        if not by_model or engines is None:
+            return ("model" if by_model else None), model, None
+        return once(f"speech_{options.vad_engine}_{'_'.join(engines)}", lambda: models.first_available(engines, options.vad_engine))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
+            used = reason = None
             for job, content in zip(pdf["job_index"], pdf["pcm"], strict=True):
                 try:
                     if content is None or len(content) % 2:
@@ -65,7 +80,8 @@ def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loud
                     if most_seconds is not None and len(content) > 2 * intervals.SAMPLE_RATE * most_seconds:
                         raise ValueError(f"over the limit of {most_seconds} seconds")
                     pcm = np.frombuffer(content, "<i2").astype(np.float64)
-                    segs, speech = recording_segments(pcm, options, model)
+                    used, speech_model, reason = engine()
+                    segs, speech = recording_segments(pcm, options, speech_model)
                     own = []
                     for k, (a, b) in enumerate(segs):
                         inside = [{"start": max(a, s), "end": min(b, e)} for s, e in speech if e > a and s < b]
@@ -74,11 +90,11 @@ def segmented(recordings: DataFrame, options: Options, model: SpeechModel = loud
                         clip = content[2 * first : 2 * end]
                         if not clip:
                             raise ValueError(f"segment {k} has no samples")
-                        own.append((job, k, a, b, inside, clip, None))
+                        own.append((job, k, a, b, inside, clip, None, used, reason))
                     rows += own
                 except Exception as e:  # noqa: BLE001 - a recording's failure is its own
-                    rows.append((job, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["job_index", "segment_index", "start", "end", "speech", "clip", "error"]).astype({"segment_index": "Int64"})
+                    rows.append((job, None, None, None, None, None, f"{type(e).__name__}: {e}", None, None))
+            yield pd.DataFrame(rows, columns=["job_index", "segment_index", "start", "end", "speech", "clip", "error", "engine", "engine_reason"]).astype({"segment_index": "Int64"})
 
     return recordings.select("job_index", "pcm").mapInPandas(run, SEGMENT)
 
@@ -104,6 +120,7 @@ class Run:
     options: Options
     results: DataFrame
     recognised: DataFrame | None = None
+    seen: dict[str, Any] | None = None
 
     def checkpoints(self) -> DataFrame:
         """``(path, state)``: recognised texts of each recording without an error, as envelopes that :func:`state.read_checkpoints` opens for a later run."""
@@ -143,6 +160,31 @@ class Run:
     def statistics(self, elapsed: float) -> DataFrame:
         return stats.run_statistics(self.results, elapsed)
 
+    def profile(self, elapsed: float) -> DataFrame:
+        """One row: :meth:`statistics`, and what was observed while the segments were written, with quantiles of their lengths."""
+        totals = self.statistics(elapsed).first().asDict()
+        return profile.segment_profile(self.recognised, self.seen).select(*(F.lit(v).alias(k) for k, v in totals.items()), "*")
+
+    def batches(self) -> DataFrame:
+        """``(rows, valid, padded, failures, seconds, padding)`` of each batch of the recogniser that succeeded; frames are of 20 ms."""
+        return profile.batch_log(self.recognised)
+
+    def recordings(self) -> DataFrame:
+        """``(job_index, path, status, duration, segment_count, speech_span_count, speech_seconds, selected_seconds, engine, engine_reason, restored, error)`` of each recording."""
+        spans = F.coalesce("speech", F.array().cast("array<struct<start:double,end:double>>"))
+        seconds = F.aggregate(spans, F.lit(0.0), lambda t, s: t + s["end"] - s["start"])
+        per = self.recognised.filter("segment_index is not null").groupBy("job_index").agg(F.count("*").alias("segment_count"), F.sum(F.size(spans)).alias("speech_span_count"), F.sum(seconds).alias("speech_seconds"), F.sum("duration").alias("selected_seconds"), F.max("engine").alias("engine"), F.max("engine_reason").alias("engine_reason"), F.bool_or("restored").alias("restored"))
+        none = {"segment_count": 0, "speech_span_count": 0, "speech_seconds": 0.0, "selected_seconds": 0.0, "restored": False}
+        rows = self.results.select("job_index", "path", "status", "duration", "error").join(per, "job_index", "left").fillna(none)
+        return rows.select("job_index", "path", "status", "duration", *per.columns[1:], "error")
+
+    def write_profile(self, root: str, elapsed: float) -> DataFrame:
+        """Publish ``profile.json`` into a folder of its own: the options, the run's row, and no more than that, however long the run was."""
+        row = self.profile(elapsed)
+        body = F.struct(F.lit(1).alias("schema_version"), F.from_json(F.lit(json.dumps(self.options.settings())), F.schema_of_json(F.lit(json.dumps(self.options.settings())))).alias("configuration"), F.struct(*row.columns).alias("run"))
+        text = text_ops.pretty_text(F.to_json(body, {"ignoreNullFields": "false"}))
+        return publish(row.select(F.lit("profile").alias("job"), F.lit("profile.json").alias("name"), text.alias("content")), root, ())
+
     def documents(self) -> DataFrame:
         """``(job_index, path, txt, srt, vtt, json)``: rendered texts of completed results, those of the options' formats."""
         done = self.successful
@@ -172,12 +214,13 @@ class Run:
         return rows.select(*(F.col("fields")[k].alias(k) for k in ("path", "digest", "asr_key", "render_key")))
 
 
-def transcribe(recordings: DataFrame, options: Options, make: Callable[[], models.Recognizer] = models.StubRecognizer, model: SpeechModel = loudness, manifest: DataFrame | None = None, checkpoints: DataFrame | None = None, emissions: Callable[[np.ndarray], np.ndarray] | None = None, letters: dict[str, int] | None = None, stride_ms: float = 20.0, most_seconds: float | None = None) -> Run:
+def transcribe(recordings: DataFrame, options: Options, make: Callable[[], models.Recognizer] = models.StubRecognizer, model: SpeechModel = loudness, manifest: DataFrame | None = None, checkpoints: DataFrame | None = None, emissions: Callable[[np.ndarray], np.ndarray] | None = None, letters: dict[str, int] | None = None, stride_ms: float = 20.0, most_seconds: float | None = None, engines: dict[str, Callable[[], SpeechModel]] | None = None) -> Run:
     """Run over ``recordings(job_index, path, pcm)`` of 16-bit mono samples at 16 kHz.
 
     Word alignment needs ``emissions``, the scores (frames x labels, the star last)
     of a clip, and ``letters``, the columns of the labels; texts from checkpoints
     have no clips, and get uniform timing.  Longer recordings than ``most_seconds`` fail.
+    ``engines`` make speech models by name, in place of ``model``, as in :func:`segmented`.
 
     ``manifest(path, digest, asr_key, render_key)`` names published results,
     which are skipped; ``checkpoints(path, digest, asr_key, segments)`` names
@@ -196,12 +239,16 @@ def transcribe(recordings: DataFrame, options: Options, make: Callable[[], model
         same = ["path", "digest", "asr_key"]
         loaded = todo.select("job_index", *same).join(checkpoints.select(*same, "segments"), same).select("job_index", F.explode("segments").alias("s")).select("job_index", "s.*")
         todo = state.to_run(todo, checkpoints, same)
-    texts = models.recognize(segmented(todo, options, model, most_seconds).withColumnRenamed("error", "broken"), "clip", make, batch=options.batch_size)
+    cut = segmented(todo, options, model, most_seconds, engines).withColumnRenamed("error", "broken")
+    frame = intervals.SAMPLE_RATE // 50
+    texts = models.recognize(cut.withColumn("frames", F.expr(f"octet_length(clip) div {2 * frame}")), "clip", make, batch=options.batch_size, frames="frames")
     texts = aligned(texts, emissions, letters, stride_ms) if by_word else texts.withColumn("aligned", F.expr(f"cast(null as {ALIGNED})"))
-    texts = texts.select("job_index", "segment_index", "start", "end", "speech", "aligned", F.col("transcript").alias("text"), F.coalesce("broken", F.when(F.col("segment_index").isNotNull(), F.col("error"))).alias("error"))
+    texts = texts.select("job_index", "segment_index", "start", "end", "speech", "aligned", F.col("transcript").alias("text"), F.coalesce("broken", F.when(F.col("segment_index").isNotNull(), F.col("error"))).alias("error"), F.lit(False).alias("restored"), "engine", "engine_reason", "batch")
     if loaded is not None:
-        texts = texts.unionByName(loaded.withColumn("error", F.lit(None).cast("string")).withColumn("aligned", F.expr(f"cast(null as {ALIGNED})")).select(texts.columns))
-    texts = scratch.save(texts)
+        empty = {c: F.lit(None).cast(texts.schema[c].dataType) for c in ("error", "aligned", "engine", "engine_reason", "batch")}
+        texts = texts.unionByName(loaded.withColumns(empty | {"restored": F.lit(True)}).select(texts.columns))
+    # observed in the stage that writes
+    texts, seen = profile.observed(texts.withColumn("duration", F.col("end") - F.col("start")), scratch, profile.segment_metrics())
     errors = texts.groupBy("job_index").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.coalesce("segment_index", F.lit(-1)))).alias("error"))
     good = texts.join(errors.filter("error is not null").select("job_index"), "job_index", "left_anti").filter("segment_index is not null")
     keys = ["job_index", "segment_index"]
@@ -233,4 +280,4 @@ def transcribe(recordings: DataFrame, options: Options, make: Callable[[], model
     lines = F.filter(F.transform(F.coalesce("segments", F.expr("cast(array() as array<struct<segment_index:bigint,start:double,end:double,text:string>>)")), lambda s: F.trim(s["text"])), lambda t: t != "")
     text = F.when(status == "completed", F.array_join(lines, "\n"))
     full = lambda name: F.coalesce(name, F.array().cast(out.schema[name].dataType)).alias(name)
-    return Run(options, out.select("job_index", "path", status.alias("status"), text.alias("text"), "duration", full("segments"), full("words"), full("cues"), "error", "digest", "asr_key", "render_key"), texts)
+    return Run(options, out.select("job_index", "path", status.alias("status"), text.alias("text"), "duration", full("segments"), full("words"), full("cues"), "error", "digest", "asr_key", "render_key"), texts, seen)
