@@ -312,3 +312,14 @@ def test_smith_waterman():
     for _ in range(200):
         a, b = rng.integers(0, 4, rng.integers(1, 14)), rng.integers(1, 4, rng.integers(1, 9))
         assert align(a, b) == plain(a.tolist(), b.tolist())
+
+
+def test_op10_rules_of_the_contract(spark, tmp_path):
+    """Each rule by its own word, and the longest of two."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://x.example.com/en/77": ("example.com/en/7", "allow"), "http://b.example.net/de/7": ("net/de/", "allow"),
+        "http://example.net/de/81": ("example.net/de/8", "block"), "http://c.org/es/": ("org/es/", "block"), "http://c.org/de/": (None, "allow"), "nourl": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op10_urls(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
