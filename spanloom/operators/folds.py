@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,7 +39,8 @@ def fold_groups(df: DataFrame, key: str, order: list[str], values: list[str], fo
             begins = [k for k, f in enumerate(firsts) if f]
             for h, c in zip(held, columns, strict=True):
                 h += c[: begins[0] if begins else len(c)]
-            for a, b in zip(begins, [*begins[1:], len(keys)], strict=True):
+            # none in a batch that a long key fills
+            for a, b in pairwise([*begins, len(keys)]):
                 if open_:
                     close(out)
                 now, open_, held = keys[a], True, [c[a:b] for c in columns]

@@ -30,6 +30,21 @@ def test_cue_vector(spark):
     assert [(r.start, r.end) for r in cues.extend_cues(df, F.lit(2.0), limits).orderBy("cue_index").collect()] == [(0.0, 0.4), (1.5, 2.0)]
 
 
+def test_cues_of_a_recording_longer_than_a_batch(spark):
+    """The words of one recording fill whole Arrow batches, between recordings of a word or two."""
+    words = [(0, 0, 0.0, 0.1, "a"), *((1, k, k * 0.3, k * 0.3 + 0.2, f"w{k}" + "." * (k % 17 == 16)) for k in range(100)), (2, 0, 0.0, 0.1, "b"), (2, 1, 0.2, 0.3, "c")]
+    df = spark.createDataFrame(words, "job int, word_index int, word_start double, word_end double, word string").repartition(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8")
+    try:
+        got = cues.build_cues(df, cues.CueLimits(), order=("word_index",)).collect()
+    finally:
+        spark.conf.set(key, before)
+    want = [(job, k, *c) for job in (0, 1, 2) for k, c in enumerate(cues.fold_cues([w[2:] for w in words if w[0] == job], cues.CueLimits()))]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_rendering(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 1.234, "a"), (1, 1, 3661.005, 3662.5, "b")], "job int, cue_index long, start double, end double, text string")
     assert cues.srt(df).first().srt == "1\n00:00:00,000 --> 00:00:01,234\na\n\n2\n01:01:01,005 --> 01:01:02,500\nb\n\n"
