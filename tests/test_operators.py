@@ -61,6 +61,13 @@ def test_oom_split(d):
     assert cost(got) == min(map(cost, range(1, len(d)))) and all(cost(i) > cost(got) for i in range(1, got))
 
 
+def test_oom_split_of_costs_equal_but_for_rounding(spark):
+    """5 * 316 and 2 * 790 are one cost, and so are 3 * 688 and 2 * 1032, whatever a unit of 0.06 makes of them."""
+    rows = [[n * 0.06 for n in x] for x in ([790, 316, 272, 220, 166, 158], [1032, 688, 210, 66])]
+    df = spark.createDataFrame([(x,) for x in rows], "x array<double>")
+    assert [packing.oom_split(x) for x in rows] == [1, 1] == [r[0] for r in df.select(packing.oom_split_column(F.col("x"))).collect()]
+
+
 def test_batches():
     assert packing.oom_split([30, 20, 10, 10, 10, 10]) == 2
     assert packing.next_fit([5, 5, 20, 1, 1, 1], 10, 2) == [0, 0, 1, 2, 2, 3]
