@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spanloom.operators import align, intervals
 
@@ -123,3 +124,45 @@ def test_stitching():
     outputs = [np.full((14, 3), k, float) for k in range(2)]
     got = align.stitched(n, outputs, window, context, ratio)
     assert got.shape == (-(-n // ratio), 4) and (got[:, 3] == 0).all() and got[9, 0] == 0 and got[10, 0] == 1
+
+
+def plain_path(scores, targets):
+    """The table stated plainly: a path stays, else takes one step, else passes over a blank, on a tie in that order."""
+    labels = [0, *(x for t in targets for x in (t, 0))]
+    best, back = [scores[0][0], scores[0][labels[1]], *[-np.inf] * (len(labels) - 2)], []
+    for row in scores[1:]:
+        ways = [(best[s], best[s - 1] if s else -np.inf, best[s - 2] if s > 2 and s % 2 and labels[s] != labels[s - 2] else -np.inf) for s in range(len(labels))]
+        back.append([w.index(max(w)) for w in ways])
+        best = [max(w) + row[x] for w, x in zip(ways, labels, strict=True)]
+    at = len(labels) - 1 if best[-1] >= best[-2] else len(labels) - 2
+    if not np.isfinite(best[at]):
+        return None
+    path = [labels[at]]
+    for row in reversed(back):
+        at -= row[at]
+        path.append(labels[at])
+    return path[::-1]
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 12])
+def test_best_paths_of_many(monkeypatch, cells):
+    """Groups of paths of unlike sizes, with ties, doubled labels, labels that can't be and too few frames."""
+    monkeypatch.setattr(align, "ROW_CELLS", cells)
+    rng, items = np.random.default_rng(3), []
+    for k in range(400):
+        shape = rng.integers(1, 24), 4
+        scores = rng.choice([0.0, -1.0, -9.0], shape) if k % 2 else rng.normal(size=shape)
+        scores[rng.random(shape) < (0.2 if k % 5 == 0 else 0)] = -np.inf
+        items.append((scores, rng.integers(1, 4, rng.integers(1, 12)).tolist()))
+    got = [None if p is None else p.tolist() for p in align.best_paths(items)]
+    assert got == [plain_path(*x) for x in items] and 40 < got.count(None) < 300
+
+
+def test_alignment_is_spread_over_tasks(spark):
+    """A few small rows, each much work, are not left to one task."""
+    from spanloom.plans import driver, results  # noqa: F401 - registers its queries
+
+    words = driver.QUERIES["word_alignment"](spark, "/root/testdata/sf0.001")
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert len({r[0] for r in words.select(F.spark_partition_id()).distinct().collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
