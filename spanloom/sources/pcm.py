@@ -1,8 +1,9 @@
 """A data source of PCM files: RIFF containers read by byte ranges.
 
-A partition has some stretches of files, of ``range_bytes`` together: small
-files share one, and a long recording is read by many tasks, each of which
-reads the container's chunk headers and then only its own stretch.  Rows are
+A stretch has ``range_bytes`` at most, and a partition some stretches, up to
+``RANGE_BYTES`` (or ``range_bytes``, if that is more) and ``STRETCHES`` together:
+small files share one, and a long recording is read by many tasks, each of which
+reads the container's chunk headers and then only its own stretches.  Rows are
 ``(path, rate, channels, bits, first, samples, pcm, error)``: ``first`` is the
 stretch's place in sample frames after the start, ``samples`` how many the
 whole range has.  With a ``limit`` of seconds the range has one sample frame
@@ -28,6 +29,8 @@ from .publish import opened
 FORMAT = "spanloom_pcm"
 SCHEMA = "path string, rate int, channels int, bits int, first bigint, samples bigint, pcm binary, error string"
 RANGE_BYTES = 32 << 20
+#: Stretches of a partition: a file costs the same however short it is.
+STRETCHES = 1000
 
 
 class Header(NamedTuple):
@@ -86,20 +89,24 @@ class PcmReader(DataSourceReader):
         info = system.get_file_info(path)
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=True))
         out: list[list[tuple[str, int, int, int]]] = [[]]
-        room = self.range_bytes
+        most = room = max(RANGE_BYTES, self.range_bytes)
         for f in sorted((f for f in files if f.type == fs.FileType.File and f.extension.lower() in ("wav", "wave")), key=lambda f: f.path):
             for a in range(0, max(1, f.size), self.range_bytes):
                 b = min(f.size, a + self.range_bytes)
-                if out[-1] and b - a > room:
+                if out[-1] and (b - a > room or len(out[-1]) == STRETCHES):
                     out.append([])
-                    room = self.range_bytes
+                    room = most
                 out[-1].append((f.path, f.size, a, b))
                 room -= b - a
         return [Stretches(p) for p in out]
 
     def read(self, partition: Stretches) -> Iterator[tuple]:
         system, _ = opened(self.root)
+        # how far the last file is read, by its path
+        seen: tuple[str, int] | None = None
         for path, size, a, b in partition.parts:
+            if seen and seen[0] == path and a >= seen[1]:
+                continue
             try:
                 with system.open_input_file(path) as f:
                     h = header(f, size)
@@ -107,6 +114,7 @@ class PcmReader(DataSourceReader):
                     have = max(0, h.size // h.frame - skip)
                     if self.limit is not None:
                         have = min(have, round(float(self.limit) * h.rate) + 1)
+                    seen = path, have * h.frame
                     # stretches are whole sample frames
                     first, end = min(have, -(-a // h.frame)), min(have, -(-b // h.frame))
                     if end > first or a == 0:

@@ -32,6 +32,8 @@ from pyspark.sql.types import StructType
 
 FORMAT, MANIFEST = "spanloom_publish", "_manifest"
 MANIFEST_SCHEMA = "run string, job string, fields map<string,string>, files array<struct<name:string,size:bigint,sha256:string>>, fault string"
+#: Renames that a thread of the commit takes at once.
+BLOCK = 64
 CHANGED = "source changed while it was processed"
 
 
@@ -110,7 +112,10 @@ class PublishWriter(DataSourceWriter):
         if len({to for _, to in moves}) < len(moves):
             self.abort(messages)
             raise ValueError("two jobs have files of one name")
-        for parent in {to.rpartition("/")[0] for _, to in moves} | {f"{root}/{MANIFEST}"}:
+        parents = sorted({to.rpartition("/")[0] for _, to in moves} | {f"{root}/{MANIFEST}"})
+        # a folder that wasn't there has no files to be replaced
+        fresh = {p for p in parents if system.get_file_info(p).type == fs.FileType.NotFound}
+        for parent in parents:
             system.create_dir(parent)
         old: dict[str, str] = {}
         done: list[str] = []
@@ -125,10 +130,14 @@ class PublishWriter(DataSourceWriter):
             system.move(*pair)
             done.append(pair[1])
 
+        # a thread takes some at once, as handing out costs more than a rename
+        blocks = lambda x: [x[k : k + BLOCK] for k in range(0, len(x), BLOCK)]
+        each = lambda f: lambda block: [f(x) for x in block]
+
         try:
             with ThreadPoolExecutor(16) as pool:
-                list(pool.map(keep, range(len(moves))))
-                list(pool.map(move, moves))
+                list(pool.map(each(keep), blocks([k for k, (_, to) in enumerate(moves) if to.rpartition("/")[0] not in fresh])))
+                list(pool.map(each(move), blocks(moves)))
             # what names the files as published comes last
             for k, m in enumerate(messages):
                 if m.manifest:

@@ -222,3 +222,25 @@ def test_arabic_segment_is_aligned():
 def test_romanised_column(spark):
     df = spark.createDataFrame([(1, "Москва 1"), (2, ""), (3, None)], "i int, t string")
     assert [r.r for r in df.orderBy("i").select(romanize.romanized(F.col("t")).alias("r")).collect()] == ["moskva 1".replace("1", ""), "", None]
+
+
+def test_small_recordings_share_a_task(tmp_path, monkeypatch):
+    """Tasks grow with the files' bytes and number and not with the length of a stretch, and a file isn't opened past its limit."""
+    from spanloom.sources import pcm
+
+    for k in range(2100):
+        (tmp_path / f"{k}.wav").write_bytes(pcm.container(bytes(range(200)), 8000, 1, 8))
+    reader = pcm.PcmReader({"path": str(tmp_path), "limit": "0.01", "rangeBytes": "100"})
+    parts = reader.partitions()
+    # containers of 244 bytes are three stretches each
+    assert [len(p.parts) for p in parts] == [1000] * 6 + [300]
+    opens, whole = [], pcm.header
+    monkeypatch.setattr(pcm, "header", lambda f, size: opens.append(1) or whole(f, size))
+    rows = [r for p in parts for r in reader.read(p)]
+    got = {}
+    for path, _, _, _, first, samples, data, error in rows:
+        assert samples == 81 and error is None
+        got.setdefault(path, {})[first] = data
+    assert len(got) == 2100 and all(b"".join(x[k] for k in sorted(x)) == bytes(range(81)) for x in got.values())
+    # six of the files are cut by the bounds of partitions
+    assert len(opens) <= 2100 + 6
