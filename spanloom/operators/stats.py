@@ -247,15 +247,39 @@ def _edit_group(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
     return np.stack([cost - deletions - insertions, deletions, insertions], axis=1)
 
 
+#: Characters of the pairs whose words are held at once.
+HELD_CHARS = 1 << 19
+
+
+def counted(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Units and errors of each pair of texts, null as empty; pairs of about one length are split into words together, some at a time."""
+    chars = [(len(r or ""), len(h or "")) for r, h in zip(ref, hyp, strict=True)]
+    out = np.zeros((len(chars), 4), np.int64)
+
+    def count(part: list[int]) -> None:
+        words = [((ref.iloc[k] or "").split(), (hyp.iloc[k] or "").split()) for k in part]
+        out[part, 0] = [len(r) for r, _ in words]
+        out[part, 1:] = edit_counts_of(words)
+
+    part: list[int] = []
+    held = 0
+    for k in sorted(range(len(chars)), key=lambda k: (chars[k][0] // 64, chars[k][1])):
+        if part and held + sum(chars[k]) > HELD_CHARS:
+            count(part)
+            part, held = [], 0
+        part.append(k)
+        held += sum(chars[k])
+    if part:
+        count(part)
+    return pd.DataFrame(out, columns=["units", "substitutions", "deletions", "insertions"])
+
+
 def word_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """``pairs`` with ``units, substitutions, deletions, insertions``, over words."""
 
     @F.pandas_udf("units long, substitutions long, deletions long, insertions long")
     def count(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-        words = [((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp, strict=True)]
-        out = pd.DataFrame(edit_counts_of(words), columns=["substitutions", "deletions", "insertions"])
-        out.insert(0, "units", [len(r) for r, _ in words])
-        return out
+        return counted(ref, hyp)
 
     return pairs.withColumn("_c", count(reference, hypothesis)).select(*pairs.columns, "_c.*")
 

@@ -191,6 +191,23 @@ def test_edit_counts_of_many():
     assert edit_counts_of([]).shape == (0, 3)
 
 
+def test_words_of_few_pairs_are_held(monkeypatch):
+    """Long batches are counted some pairs at a time, with the counts of all at once; nulls are empty."""
+    import numpy as np
+    import pandas as pd
+
+    from spanloom.operators import stats
+
+    rng = np.random.default_rng(8)
+    texts = [None if n == 0 else " ".join(f"w{x}" for x in rng.integers(0, 5, n)) for n in rng.integers(0, 60, 301)]
+    most, whole = [], stats.edit_counts_of
+    monkeypatch.setattr(stats, "HELD_CHARS", 2000)
+    monkeypatch.setattr(stats, "edit_counts_of", lambda pairs: most.append(sum(len(" ".join(x)) for p in pairs for x in p)) or whole(pairs))
+    got = stats.counted(pd.Series(texts[:-1]), pd.Series(texts[1:]))
+    want = [((r or "").split(), (h or "").split()) for r, h in zip(texts, texts[1:], strict=False)]
+    assert got.to_numpy().tolist() == [[len(r), *stats.edit_counts(r, h)] for r, h in want] and max(most) <= 2000
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
