@@ -47,12 +47,16 @@ from .texts import others
 
 #: Zero-width: after newlines, and after the blank that ends a sentence.
 LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )"
+#: The same places, but for the blank or newline before them: few characters are looked at twice, and a trimmed line doesn't have it.
+LINE_BREAK = r"[ \n](?:(?<=[.!?] )|(?<=\n)(?!\n))"
 #: Bits for the positions of one task's texts.
 PLACE_BITS = 42
 #: Ranks that one round joins: two doublings and a fifth part, so that twenty lines take two rounds.
 FOLD = 5
 #: Rows of a list of copies that may be sent to every task.
 FEW = 500_000
+#: More words than a text can have: what a line that isn't there counts for.
+GAP = 1 << 31
 
 
 def lines(text: Column) -> Column:
@@ -65,15 +69,24 @@ def content(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h"), F.hash(text).alias("g")]
 
 
+def trimmed(part: Column) -> Column:
+    """``part`` without white space around it; most lines have none, and are told so by their ends."""
+    spaces = " \t\r\n"
+    spaced = reduce(Column.__or__, (at(part, F.lit(c)) for c in spaces for at in (F.startswith, F.endswith)))
+    return F.when(spaced, F.btrim(part, F.lit(spaces))).otherwise(part)
+
+
 def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(row, pos, h, g, words, doc)``: each line's id and words; a row's first line has ``doc(id, h, g, size)``."""
     text = F.col(text_col).cast("string")
-    doc = F.struct(F.col(id_col).alias("id"), *content(text), (F.length(text) + 2).cast("long").alias("size"))
-    rows = df.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), F.split(text, LINE_END).alias("parts"))
-    each = rows.select("row", "doc", F.posexplode("parts").alias("pos", "part")).filter("part != ''")
-    body, blank = F.btrim("part", F.lit(" \t\r\n")), F.lit(" ")
-    words = F.length("body") - F.length(F.replace(F.col("body"), blank, F.lit(""))) + 1
-    return each.select("row", "doc", "pos", body.alias("body")).select("row", "pos", *content(F.col("body")), words.alias("words"), F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
+    doc = F.struct(F.col(id_col).alias("id"), *content(text), (F.octet_length(text) + 2).cast("long").alias("size"))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), F.split(text, LINE_BREAK).alias("parts"))
+    # nothing follows the last break of a text that ends with one
+    rows = rows.select("row", "doc", "parts", (F.size("parts") - (F.element_at("parts", -1) == "").cast("int")).alias("n"))
+    each = rows.select("row", "doc", "n", F.posexplode("parts").alias("pos", "part")).filter("pos < n")
+    blank = F.lit(" ")
+    words = F.octet_length("body") - F.octet_length(F.replace(F.col("body"), blank, F.lit(""))) + 1
+    return each.select("row", "doc", "pos", trimmed(F.col("part")).alias("body")).select("row", "pos", *content(F.col("body")), words.alias("words"), F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
 
 
 def documents(each: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -97,51 +110,54 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def ranked(keyed: DataFrame, *keys: str) -> DataFrame:
+def ranked(keyed: DataFrame, scratch: Scratch, *keys: str) -> DataFrame:
     """``(keys, rank)`` of the keys that more than one row has, ranked by their order."""
-    shared = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    # written, since the order's bounds are taken from a pass of their own
+    shared = scratch.save(keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
     return shared.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("rank"))
 
 
-def short(words: Column, first: Column, last: Column, min_words: int) -> Column:
-    """Whether a run of lines has too few words without its first or without its last line."""
-    return words - F.greatest(first, last) < min_words
-
-
 def further(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
-    """The suffixes ranked by ``size`` lines: ``row, at, rank, runs, before, first, words, last, x0 .. x4``.
+    """The suffixes ranked by ``size`` lines: ``row, pos, first, upto, low, high, r0, r1 ..``, and ``words`` where they can grow.
 
-    ``runs(n, x1 .. x4)`` are the shortest runs of ``size`` lines up to ``FOLD`` times
-    as many, each covered by the rank and others that overlap.  ``words``, ``last``
-    and the ranks are of ``FOLD`` times as many lines, which the ranks cover: null
+    ``r0, r1 ..`` are the ranks of the suffix and of the next ones.  The shortest
+    runs of ``size`` lines up to ``FOLD`` times as many end ``low`` to ``high``
+    suffixes on, and each is covered by ranks that overlap; ``low`` is null where
+    there are none.  ``words`` are those of ``FOLD`` times as many lines: null
     where no shortest run is that long, and missing where none can be.
     """
-    by = Window.partitionBy("row").orderBy("at")
-    shown = F.struct("at", "rank", "before", "words", "last")
+    by = Window.partitionBy("row").orderBy("pos")
     most = min(FOLD * size - 1, min_words)  # a line has a word at least
     grows = FOLD * size <= min_words
-    steps = range(1, max(most - size, (FOLD - 1) * size * grows) + 1)
-    # each step lands on the line it should if no line between is alone in its rank, as none in a repeated run is
-    seen = suffixes.select("*", *(F.lead(shown, n).over(by).alias(f"n{n}") for n in steps))
-    there = lambda n: F.col(f"n{n}") if n else F.struct("at", "rank", "before", "words", "last")
-    total = lambda n: there(n)["before"] + there(n)["words"] - F.col("before")
-    held = lambda n: (there(n)["at"] == F.col("at") + n) & short(total(n), F.col("first"), there(n)["last"], min_words)
-
-    fits = lambda n: held(n) & (total(n) >= min_words)
-
-    def run(end: int) -> Column:
-        parts = (there(min(k * size, end))["rank"].alias(f"x{k}") for k in range(1, FOLD))
-        return F.when(fits(end), F.struct(F.lit(size + end).alias("n"), *parts))
-
-    ends = range(most - size + 1)
-    # most suffixes have none, and are spared the array
-    runs = F.when(reduce(Column.__or__, map(fits, ends)), F.array_compact(F.array(*map(run, ends))))
-    out = {c: F.col(c) for c in ("row", "at", "before", "first", "rank")} | {"runs": runs}
+    ends, end = range(most - size + 1), (FOLD - 1) * size
+    steps = range(1, max(ends[-1], end * grows) + 1)
+    counted = suffixes.select("*", F.row_number().over(by).alias("nth"))
+    # a line alone in its rank isn't there, and none in a repeated run is: words up to a place past it are too many
+    counted = counted.withColumn("from", F.col("upto") - F.col("first") + (F.col("pos") - F.col("nth")) * F.lit(GAP))
+    placed = counted.select("row", "pos", "first", "upto", "from", (F.col("from") + F.col("words")).alias("s0"), F.col("rank").alias("r0"))
+    far = 3 << 61  # past all places, and differences fit
+    seen = placed.select("*", *(F.lead("s0", n, far).over(by).alias(f"s{n}") for n in steps), *(F.lead("r0", n).over(by).alias(f"r{n}") for n in steps))
+    # words only grow from end to end
+    below = lambda words: reduce(Column.__add__, ((F.col(f"s{n}") - F.col("from") < words).cast("int") for n in ends))
+    out = ["row", "pos", "first", "upto", *(f"r{n}" for n in (0, *steps))]
     if grows:
-        end = (FOLD - 1) * size
-        ends = {"words": total(end), "last": there(end)["last"]} | {f"x{k}": there(k * size)["rank"] for k in range(FOLD)}
-        out |= {name: F.when(held(end), x) for name, x in ends.items()}
-    return seen.select(*(c.alias(name) for name, c in out.items()))
+        words = F.col(f"s{end}") - F.col("from")
+        # without the first or the last line
+        held = (words < GAP) & ((words - F.col("first") < min_words) | (F.col(f"s{end - 1}") - F.col("from") < min_words))
+        out.append(F.when(held, words).alias("words"))
+    # of the ends that are there, the first with enough words, and the last whose run has too few without its first line
+    seen = seen.select(*out, below(min_words).alias("low"), below(min_words + F.col("first")).alias("high"), below(GAP).alias("there"))
+    seen = seen.withColumn("low", F.when(F.col("low") < F.col("there"), F.col("low")))
+    return seen.withColumn("high", F.greatest(F.col("low"), F.col("high") - 1)).drop("there")
+
+
+def runs_of(seen: DataFrame, size: int, min_words: int) -> DataFrame:
+    """``(row, at, n, x0 .. x4)``: the shortest runs that :func:`further` found, named by ranks up to the last one's."""
+    ranks = [f"r{n}" for n in range(min(FOLD * size - 1, min_words) - size + 1)]
+    # a filter before would count all ends once more
+    ends = seen.select("row", (F.col("start") + F.col("pos")).alias("at"), *ranks, F.explode_outer(F.sequence("low", "high")).alias("end")).filter("end is not null")
+    parts = (F.get(F.array(*ranks), F.least(F.lit(k * size), "end")).alias(f"x{k}") for k in range(FOLD))
+    return ends.select("row", "at", (F.col("end") + size).alias("n"), *parts)
 
 
 def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -152,25 +168,25 @@ def later_copies(df: DataFrame, id_col: str, text_col: str, min_words: int, scra
     gone = few(copies.select("row"))
     copies = scratch.save(copies.join(whole.join(gone, "row", "left_semi").groupBy("row").agg(F.count("*").alias("lines"), F.sum("words").alias("words")), "row"))
     each = whole.join(gone, "row", "left_anti")
-    ids = scratch.save(ranked(each, "h", "g"))
-    level = each.drop("doc").join(ids, ["h", "g"]).join(docs.select("row", "start"), "row")
-    level = level.select("row", (F.col("start") + F.col("pos")).alias("at"), "rank", "words", F.col("words").alias("first"), F.col("words").alias("last"))
-    earlier = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    level = level.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    ids = scratch.save(ranked(each, scratch, "h", "g"))
+    level = each.drop("doc").join(ids, ["h", "g"])
+    level = level.select("row", F.col("pos").cast("long"), "rank", F.col("words").cast("long"), F.col("words").cast("long").alias("first"))
+    so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = level.select("*", F.sum("words").over(so_far).alias("upto"))
     size, found, done, keys = 1, [], [whole], [f"x{k}" for k in range(FOLD)]
     while True:
-        seen = scratch.save(further(level, size, min_words))
+        # the starts join rows that are in order for the window
+        seen, last = further(level, size, min_words).join(docs.select("row", "start"), "row"), FOLD * size > min_words
+        seen = seen if last else scratch.save(seen)
+        found.append(scratch.save(runs_of(seen, size, min_words)))
         for old in done:
             scratch.drop(old)
-        runs = seen.select("row", "at", "rank", F.explode("runs").alias("r"))
-        found.append(scratch.save(runs.select("row", "at", "r.n", F.col("rank").alias("x0"), *(f"r.x{k}" for k in range(1, FOLD)))))
-        size *= FOLD
-        if size > min_words:
+        if last:
             break
-        longer = seen.filter(F.col(keys[-1]).isNotNull()).select("row", "at", "before", "first", "words", "last", *keys)
-        ranks = scratch.save(ranked(longer, *keys))
+        longer = seen.filter("words is not null").select("row", "pos", "first", "upto", "words", *(F.col(f"r{k * size}").alias(x) for k, x in enumerate(keys)))
+        ranks = scratch.save(ranked(longer, scratch, *keys))
         level, done = longer.join(ranks, keys).drop(*keys), [seen, ranks]
-    scratch.drop(seen)
+        size *= FOLD
     name = ["n", *keys]
     runs = reduce(DataFrame.unionByName, found)
     firsts = runs.groupBy(*name).agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).filter("earliest < latest").drop("latest")

@@ -235,6 +235,32 @@ def test_line_dedup_deletes_only_what_repeats(spark):
     assert got == sorted([(1, rows[0][1], 0), (2, long[3] + "\n", 1), (2, rows[2][1], 0), (None, "x", 1), (None, "y only", 0)], key=repr)
 
 
+def test_lines_of_odd_texts(spark):
+    """Lines told by their breaks have the numbers and words of those that keep their ends."""
+    texts = ["\nabc", "\n", " ", " \n ", "a.\n\n\nb. ", "\t x y \r\n\r\nz", ". . a! ?  b", "a. \nb", "no end", "", None, "\n\n", "a.b ! c"]
+    each = linededup.line_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "doc_id", "text")
+    got = sorted((r.row, r.pos, r.words, r.h) for r in each.collect())
+    parts = [(i, k, p.strip(" \t\r\n")) for i, t in enumerate(texts) for k, p in enumerate(p for p in re.split(r"(?<=\n)(?!\n)|(?<=[.!?] )", t or "") if p)]
+    h = [r.h for r in spark.createDataFrame(parts, "row int, pos int, body string").coalesce(1).selectExpr("xxhash64(body) h").collect()]
+    assert got == sorted((i, k, b.count(" ") + 1, x) for (i, k, b), x in zip(parts, h, strict=True))
+
+
+@pytest.mark.parametrize("size", [1, 5])
+def test_line_runs_are_compiled(spark, size):
+    """The step over neighbouring lines is compiled whole, in methods that the JVM doesn't leave to its interpreter."""
+    level = spark.range(1).selectExpr("id row", "id pos", "id rank", "id words", "id first", "id last", "id before", "id upto", "id at")
+    seen = linededup.further(level, size, 20)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        said = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(seen._jdf.queryExecution(), "codegen")
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", said)) < 8000
+    assert not re.findall(r"^[ :+-]*Project", plan, re.M)
+
+
 def test_ppm_tables_equal_the_trie():
     texts = [b"abracadabra", b"abra", b"", b"cadabra\xff", b"aaaa"]
     for order in (0, 1, 3):
