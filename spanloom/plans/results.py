@@ -354,10 +354,12 @@ def word_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Words of turns aligned with scores that spell them; held against where the scores put the words."""
     letters = "abcdefghijklmnopqrstuvwxyz'"
     ids = {c: k + 1 for k, c in enumerate(letters)}
+    codes = np.array([ids.get(chr(k), 0) for k in range(128)])
 
     def scores(text: str, start: float, end: float) -> np.ndarray:
         """Two frames for each letter and a blank between words, as an emission model would see clear speech."""
-        path = [x for w in align.plain_tokens(text) for c in (*w, None) for x in ([ids[c]] * 2 + [0] if c else [0])]
+        spelt = codes[np.frombuffer("".join(f"{w} " for w in align.plain_tokens(text)).encode(), np.uint8)]
+        path = np.stack([spelt, spelt, np.zeros_like(spelt)], axis=1)[np.stack([spelt > 0, spelt > 0, spelt >= 0], axis=1)]
         out = np.full((max(1, len(path)), len(letters) + 2), -9.0)
         out[np.arange(len(path)), path] = 0.0
         out[:, -1] = 0.0

@@ -158,6 +158,65 @@ def test_best_paths_of_many(monkeypatch, cells):
     assert got == [plain_path(*x) for x in items] and 40 < got.count(None) < 300
 
 
+@pytest.mark.parametrize(("band", "cut"), [(64, 32), (64, 1), (64, 4), (5, 2)])
+def test_best_paths_in_bands(monkeypatch, band, cut):
+    """Paths that the scores spell more or less clearly, with a star, ties, doubled labels and frames that say something else, from narrow bands and from whole tables."""
+    monkeypatch.setattr(align, "BAND", band)
+    monkeypatch.setattr(align, "CUT", cut)
+    whole, group = [], align._path_group
+    monkeypatch.setattr(align, "_path_group", lambda items, blank: whole.extend(items) or group(items, blank))
+    rng, items = np.random.default_rng(5), []
+    for k in range(400):
+        targets = rng.integers(1, 5, rng.integers(1, 16)).tolist()
+        path = [x for t in targets for x in [t] * rng.integers(1, 4) + [0] * rng.integers(0, 3)]
+        scores = np.full((len(path), 6), -9.0)
+        scores[np.arange(len(path)), path] = 0.0
+        scores[:, 5] = 0.0 if k % 2 else -9.0
+        targets = [x for n, t in enumerate(targets) for x in ([5, t] if k % 2 and n % 4 == 0 else [t])]
+        if k % 3 == 0:
+            # sums of quarters are exact, so these are ties of whole paths
+            scores[rng.random(scores.shape) < 0.2] = 0.0
+            scores -= rng.integers(0, 2, scores.shape) * 0.25
+        if k % 7 == 0:
+            scores[rng.integers(len(path))] = -rng.integers(0, 4, 6)
+        items.append((scores, targets))
+    got = [None if p is None else p.tolist() for p in align.best_paths(items)]
+    assert got == [plain_path(s, t) if len(t) <= len(s) else None for s, t in items] and got.count(None) < 200
+    assert len(whole) < 350 and (band > 5 or len(whole) > 50)
+
+
+def test_clear_speech_takes_no_square(monkeypatch):
+    """An hour of speech, which spells 36,000 letters clearly but for one: its table would have five thousand million states."""
+
+    def table(items, blank):
+        raise AssertionError("every state is looked at")
+
+    monkeypatch.setattr(align, "_path_group", table)
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice([*"abcdefgh"], rng.integers(1, 9))) for _ in range(8_000)]
+    ids = {c: k + 1 for k, c in enumerate("abcdefgh")}
+    path = [x for w in words for c in f"{w} " for x in ([ids[c], ids[c], 0] if c in ids else [0])]
+    scores = np.full((len(path), 10), -9.0)
+    scores[np.arange(len(path)), path] = 0.0
+    scores[path.index(3), 3] = -0.5
+    scores[:, 9] = 0.0
+    got = align.segment_words(scores, " ".join(words), 100.0, 100.0 + len(path) * 0.02, ids, 20.0)
+    assert [w[0] for w in got] == words and {w[3] for w in got} == {"ctc"}
+    at = 0
+    for w, (_, start, end, _) in zip(words, got, strict=True):
+        # a star before each word takes some of the blanks between
+        assert 100 + (at - 2.5) * 0.02 < start < end < 100 + (at + 3 * len(w) + 2.5) * 0.02
+        at += 3 * len(w) + 1
+
+
+def test_scores_are_held_by_cells(monkeypatch):
+    monkeypatch.setattr(align, "HELD", 100)
+    rows = [("job", k, "x" * n, 0.0, 1.0) for k, n in enumerate([1, 4, 5, 10, 11, 300, 2])]
+    parts = list(align._parts(rows, lambda text, start, end: np.zeros((len(text), 10))))
+    assert [[x[1] for x in part] for part in parts] == [[0, 1, 2], [3], [4], [5], [6]]
+    assert [(*x[:2], *x[3:]) for part in parts for x in part] == rows
+
+
 def test_alignment_is_spread_over_tasks(spark):
     """A few small rows, each much work, are not left to one task."""
     from spanloom.plans import driver, results  # noqa: F401 - registers its queries
